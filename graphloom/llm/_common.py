@@ -63,3 +63,29 @@ def narrow(df: DataFrame, *columns: str) -> DataFrame:
     """Only these columns, by exact name even where others differ by case alone."""
     places = [df.columns.index(c) for c in columns]
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{i}").alias(c) for i, c in zip(places, columns, strict=True)])
+
+
+def put(uri: str, data: bytes) -> None:
+    """Writes a whole file: under a name of this attempt, then moved into place."""
+    fs, path = open_fs(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    own = f"{path}.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(own) as f:
+        f.write(data)
+    fs.move(own, path)
+
+
+def get(uri: str) -> bytes:
+    fs, path = open_fs(uri)
+    with fs.open_input_stream(path) as f:
+        return f.read()
+
+
+def partition_id() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality_rules
+from . import decontam, quality_rules, token_counts, token_output
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(_read(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_read(spark, sf_dir, "documents")).drop("failed")
 
@@ -19,6 +23,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op6_decontamination)}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_output, op4_quality_rules, op6_decontamination, op8_token_counts)}
 
 ORACLE_SQL = {"op4_quality_rules": quality_rules.sql(), "op6_decontamination": decontam.SQL}
