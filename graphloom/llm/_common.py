@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise, scratch
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session sets none (tests, a single machine) is one made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-    return sc.getCheckpointDir()
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder name under the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """Writes ``df`` into the shared folder and reads it back, which cuts its lineage.
-
-    A later loss of an executor costs only what came after, and values drawn
-    while computing (file names, partition ids) can't change on a retry.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["as_bytes", "as_texts", "get", "materialise", "narrow", "open_fs", "partition_id", "put", "scratch", "shuffle_partitions"]
 
 
 def open_fs(uri: str):

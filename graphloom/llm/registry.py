@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality_rules, token_counts, token_output
+from . import decontam, quality_rules, simhash, token_counts, token_output
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_read(spark, sf_dir, "documents"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(_read(spark, sf_dir, "documents"))
 
@@ -27,6 +31,6 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_output, op4_quality_rules, op6_decontamination, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_token_output, op4_quality_rules, op6_decontamination, op8_token_counts)}
 
 ORACLE_SQL = {"op4_quality_rules": quality_rules.sql(), "op6_decontamination": decontam.SQL}
