@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality_rules, simhash, token_counts, token_output
+from . import decontam, quality_rules, simhash, token_counts, token_output, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_token_output, op4_quality_rules, op6_decontamination, op8_token_counts)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages")).drop("url")
 
-ORACLE_SQL = {"op4_quality_rules": quality_rules.sql(), "op6_decontamination": decontam.SQL}
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_token_output, op4_quality_rules, op6_decontamination, op8_token_counts, op10_warc)}
+
+ORACLE_SQL = {"op4_quality_rules": quality_rules.sql(), "op6_decontamination": decontam.SQL, "op10_warc": warc.SQL}
