@@ -71,8 +71,8 @@ class Package:
         tail_at = max(0, total - 22 - _MAX16 - 20)
         tail = self.read(tail_at, total - tail_at)
         end = tail.rfind(b"PK\5\6")
-        while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
-            end = tail.rfind(b"PK\5\6", 0, end)
+        while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
+            end = tail.rfind(b"PK\5\6", 0, end + 3)
         if end < 0:
             raise ValueError("no end record: not a ZIP file")
         n, size, at = struct.unpack_from("<HLL", tail, end + 10)
