@@ -13,6 +13,7 @@ its own token ids by how often they come, so that frequent ids take one byte:
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -20,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,19 +30,20 @@ from ._pretokens import BYTE_BPE, load, safe, special_strings
 
 MAGIC = b"GLT1"
 BLOCK_IDS = 1 << 20
-#: Remembered pre-tokens of a worker; beyond it the memory starts anew (speed only).
-MEMO = 400_000
+#: Remembered words of a worker; beyond it new ones are forgotten after their batch (speed only).
+MEMO = 900_000
 #: Lengths of the four ids of each control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
 def encode_block(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-    distinct, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    order = np.lexsort((distinct, -count))
-    rank_of = np.empty(len(distinct), np.uint32)
-    rank_of[order] = np.arange(len(distinct), dtype=np.uint32)
-    ranks = rank_of[inverse].astype("<u4")
+    count = np.bincount(flat)
+    distinct = np.flatnonzero(count)
+    order = np.lexsort((distinct, -count[distinct]))
+    rank_of = np.zeros(len(count), "<u4")
+    rank_of[distinct[order]] = np.arange(len(distinct), dtype=np.uint32)
+    ranks = rank_of[flat]
     size = (1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
     padded = np.zeros(-(-len(size) // 4) * 4, np.uint8)
     padded[: len(size)] = size - 1
@@ -90,36 +93,101 @@ def decode_blocks(f) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
         yield [None if z else i for i, z in zip(own, null, strict=True)], np.split(ids, np.cumsum(lengths)[:-1]) if docs else []
 
 
+#: A space between white space: there words do not part at each space.
+_RUN = re.compile(r"\s \s")
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x85\xa0]")
+
+
+def _byte_letters() -> str:
+    """The letter of each byte in byte-level vocabularies: itself if it prints, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(rest)) for b in range(256))
+
+
 class Encoder:
-    """Token ids of texts, as little-endian uint32 bytes."""
+    """Token ids of texts.
+
+    A text is parted at its spaces, and what stands between two is encoded by
+    the library's model once and remembered. Texts where that is not exact
+    (code points beyond the compared ones, special strings) go to the library whole.
+    """
 
     def __init__(self, tokenizer: str):
         self.tokenizer, self.memo = load(tokenizer), {}
-        self.special = special_strings(self.tokenizer)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        self.model, self.special = self.tokenizer.model, special_strings(self.tokenizer)
+        self.model._resize_cache(0)  # words come here once; the memory above serves the rest
+        letters = _byte_letters()
+        self.letters, self.space = str.maketrans({chr(b): c for b, c in enumerate(letters)}), letters[32]
+        self.marks = {m: self._ids(m) for m in ".,;:!?"}
+
+    def _ids(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of letters behind a space, which are one pre-token."""
+        if (known := self.memo.get(word)) is not None:
+            return known
+        if not word.isascii():
+            return self._ids(" " + word)
+        ids = [t.id for t in self.model.tokenize(self.space + word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _spaced(self, word: str) -> bytes:
+        """Ids of what follows a space, up to the next one."""
+        if word.isalpha():
+            return self._word(word)
+        if word[:-1].isalpha() and (mark := self.marks.get(word[-1])):
+            return self._word(word[:-1]) + mark
+        return self._pieces(" " + word)
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self._ids, BYTE_BPE.findall(text)))
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of each word behind a space."""
+        get, out, new = self.memo.get, [], []
+        for w in words:
+            if (ids := get(w)) is None:
+                self.memo[w] = ids = self._spaced(w)
+                new.append(w)
+            out.append(ids)
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        split = [BYTE_BPE.findall(t) if safe(t, self.special) else None for t in texts]
-        new: set[str] = set()
-        for w in split:
-            if w:
-                new.update(w)
-        new -= self.memo.keys()
-        words = list(new)
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.memo[w] = struct.pack(f"<{len(ids)}I", *ids)
-        known = self.memo.__getitem__
-        out = []
-        for t, w in zip(texts, split, strict=True):
-            if w is None:
-                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
-                out.append(struct.pack(f"<{len(ids)}I", *ids))
+            for w in new:
+                del self.memo[w]
+        return out
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a column; words are looked up once a column."""
+        texts = as_texts(column)
+        out: list = [None] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if not safe(t, self.special):
+                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
+            elif ("  " in t or "\n \n" in t or _OTHER_SPACE.search(t)) and _RUN.search(t):
+                out[i] = np.frombuffer(self._pieces(t), "<u4")
             else:
-                out.append(b"".join(map(known, w)))
+                plain.append(i)
+        if not plain:
+            return out
+        parts = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        offsets = parts.offsets.to_numpy()
+        words = parts.values.dictionary_encode()
+        index = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = self._known(words.dictionary.to_pylist())
+        first = offsets[:-1]
+        index[first] = len(ids) + np.arange(len(plain))  # the first word has no space before it
+        ids += [self._pieces(w) for w in parts.values.take(pa.array(first)).to_pylist()]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start, each = np.cumsum(size) - size, size[index]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        place = np.arange(upto[-1]) + np.repeat(start[index] - upto[:-1], each)
+        flat = np.frombuffer(b"".join(ids), "<u4")[place]
+        for i, x in zip(plain, np.split(flat, upto[offsets[1:-1]]), strict=True):
+            out[i] = x
         return out
 
 
@@ -130,7 +198,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.setdefault(tokenizer, None) or Encoder(tokenizer)
         _ENCODERS[tokenizer] = encoder
-        end = struct.pack("<I", end_id)
+        end = np.array([end_id], "<u4")
         shard, path = partition_id(), f"{folder}/{partition_id():06d}-{uuid.uuid4().hex}.tok"
         fs, at = open_fs(path)
         fs.create_dir(at.rpartition("/")[0], recursive=True)
@@ -139,10 +207,10 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         ids: list[np.ndarray] = []
         out = None
         for batch in batches:
-            for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
-                for d, raw in zip(part.column(0).to_pylist(), encoder(as_texts(part.column(1))), strict=True):
+            for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
+                for d, own in zip(part.column(0).to_pylist(), encoder(part.column(1)), strict=True):
                     doc_ids.append(d)
-                    ids.append(np.frombuffer(raw + end, "<u4"))
+                    ids.append(np.append(own, end))
                     held += len(ids[-1])
                     if held >= BLOCK_IDS:
                         out = out or fs.open_output_stream(at)
