@@ -15,16 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_texts, get, narrow, open_fs, partition_id, put, scratch, shuffle_partitions
+from ._common import as_texts, get, narrow, partition_id, put, scratch, shuffle_partitions
 from ._pretokens import WORD_BPE, load, safe, special_strings
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
 #: Remembered pre-tokens of a worker that counts; beyond it the memory starts anew (speed only).
-MEMO = 1_000_000
+MEMO = 300_000
 
 _LOADED: dict = {}
 
@@ -71,6 +72,11 @@ def _unpack(raw: bytes) -> tuple[pa.Table, pa.Table]:
     return tuple(pa.ipc.open_stream(source).read_all() for _ in range(2))
 
 
+def _rows(batch: pa.RecordBatch, step: int = 500) -> Iterator[tuple]:
+    for part in (batch.slice(k, step) for k in range(0, batch.num_rows, step)):
+        yield from zip(part.column(0).to_pylist(), as_texts(part.column(1)), strict=True)
+
+
 def _blocks(folder: str, tokenizer: str, buckets: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _loaded(_Splitter, tokenizer)
@@ -81,8 +87,7 @@ def _blocks(folder: str, tokenizer: str, buckets: int, block_bytes: int):
         def close() -> pa.RecordBatch:
             name = f"{folder}/{partition_id():06d}-{k:06d}"
             put(name, _pack(block))
-            words = list(number)
-            raw = [w.encode() for w in words]
+            raw = [w.encode() for w in number]
             of = np.array([zlib.crc32(r) % buckets for r in raw], np.int64)
             order = np.argsort(of, kind="stable")
             cut = np.searchsorted(of[order], np.arange(buckets + 1))
@@ -93,11 +98,11 @@ def _blocks(folder: str, tokenizer: str, buckets: int, block_bytes: int):
                     rows["bucket"].append(b)
                     rows["block"].append(name)
                     rows["pos"].append(pos.astype("<u4").tobytes())
-                    rows["words"].append([words[p] for p in pos])
+                    rows["words"].append(zstandard.compress(b"\n".join([raw[p] for p in pos]), 1))
             return pa.RecordBatch.from_pydict(rows, schema=_WORDS)
 
         for batch in batches:
-            for d, text in zip(batch.column(0).to_pylist(), as_texts(batch.column(1)), strict=True):
+            for d, text in _rows(batch):
                 found, extra = split(text)
                 c = Counter(found)
                 index = np.fromiter((number.setdefault(w, len(number)) for w in c), np.uint32, len(c))
@@ -113,7 +118,7 @@ def _blocks(folder: str, tokenizer: str, buckets: int, block_bytes: int):
     return run
 
 
-_WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("pos", pa.binary()), ("words", pa.list_(pa.string()))])
+_WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("pos", pa.binary()), ("words", pa.binary())])
 
 
 def _count(tokenizer: str):
@@ -122,7 +127,9 @@ def _count(tokenizer: str):
         memo: dict[str, int] = {}
         for batch in batches:
             counts = []
-            for words in batch.column(3).to_pylist():
+            for packed in batch.column(3):
+                joined = zstandard.decompress(packed.as_py()).decode()
+                words = joined.split("\n") if joined else []
                 new = [w for w in words if w not in memo]
                 if len(memo) + len(new) > MEMO:
                     memo, new = {}, words
@@ -159,7 +166,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     spark = docs.sparkSession
     d = narrow(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     folder, n = scratch(spark, "token-counts"), shuffle_partitions(spark)
-    words = d.mapInArrow(_blocks(folder, tokenizer, n, block_bytes), "bucket int, block string, pos binary, words array<string>")
+    words = d.mapInArrow(_blocks(folder, tokenizer, n, block_bytes), "bucket int, block string, pos binary, words binary")
     pieces = words.repartition(n, "bucket").mapInArrow(_count(tokenizer), "block string, pos binary, pieces binary")
     back = pieces.groupBy("block").agg(F.collect_list(F.struct("pos", "pieces")).alias("parts"))
     out = back.mapInArrow(_sums, "d long, n_bytes long, n_tokens long")
