@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality_rules, simhash, token_counts, token_output, url_filter, warc
+from . import decontam, quality_rules, simhash, suffix_dedup, token_counts, token_output, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_read(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.passages(_read(spark, sf_dir, "documents"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(_read(spark, sf_dir, "documents"))
 
@@ -39,6 +43,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages")).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_token_output, op4_quality_rules, op6_decontamination, op7_url_filter, op8_token_counts, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_token_output, op4_quality_rules, op6_decontamination, op7_url_filter, op8_token_counts, op10_warc)}
 
 ORACLE_SQL = {"op4_quality_rules": quality_rules.sql(), "op6_decontamination": decontam.SQL, "op10_warc": warc.SQL}
