@@ -299,7 +299,7 @@ def repeats(raw: list[bytes], hi: np.ndarray, lo: np.ndarray, many: np.ndarray)
     return flags, right
 
 
-_VERDICT = pa.schema([("block", pa.int64()), ("ctx", pa.int32()), ("flags", pa.binary()), ("h", pa.binary()), ("bucket", pa.int32()), ("a", pa.int32())])
+_VERDICT = pa.schema([("block", pa.int64()), ("ctx", pa.int32()), ("flags", pa.binary()), ("h", pa.binary()), ("bucket", pa.int32()), ("open", pa.bool_())])
 
 
 def _sort(splitters: list[bytes]):
@@ -312,22 +312,28 @@ def _sort(splitters: list[bytes]):
         some = np.flatnonzero(flags.any(axis=1))
         packed = np.packbits(flags[some], axis=1)
         m = len(some)
-        yield pa.RecordBatch.from_pydict({"block": [block[i] for i in some], "ctx": [ctx[i] for i in some], "flags": [x.tobytes() for x in packed], "h": [None] * m, "bucket": [None] * m, "a": [None] * m}, schema=_VERDICT)
+        yield pa.RecordBatch.from_pydict({"block": [block[i] for i in some], "ctx": [ctx[i] for i in some], "flags": [x.tobytes() for x in packed], "h": [None] * m, "bucket": [None] * m, "open": [None] * m}, schema=_VERDICT)
         edge = np.zeros(len(rows), np.int64)
         for s in splitters[max(0, bucket - 1) : bucket + 1]:
             edge = np.maximum(edge, _common(right, np.broadcast_to(np.frombuffer(s, np.uint8)[:LENGTH], right.shape)))
         out: dict[str, list] = {n: [] for n in _VERDICT.names}
+        known: set[bytes] = set()
         for i in np.flatnonzero(edge >= LENGTH - hi).tolist():
             for a in range(max(int(lo[i]), LENGTH - int(edge[i])), int(hi[i]) + 1):
                 at = int(hi[i]) - a
+                h = xxhash.xxh3_128_digest(raw[i][at : at + LENGTH] + bytes([a]))
+                if flags[i, a]:  # known to repeat: one of them goes out, to be found by other buckets
+                    if h in known:
+                        continue
+                    known.add(h)
                 bit = np.zeros(REACH, bool)
                 bit[a] = True
-                for n, v in zip(_VERDICT.names, (block[i], ctx[i], np.packbits(bit).tobytes(), xxhash.xxh3_128_digest(raw[i][at : at + LENGTH] + bytes([a])), bucket, a), strict=True):
+                for n, v in zip(_VERDICT.names, (block[i], ctx[i], np.packbits(bit).tobytes(), h, bucket, not flags[i, a]), strict=True):
                     out[n].append(v)
-            if len(out["a"]) > 50_000:
+            if len(out["h"]) > 50_000:
                 yield pa.RecordBatch.from_pydict(out, schema=_VERDICT)
                 out = {n: [] for n in _VERDICT.names}
-        if out["a"]:
+        if out["h"]:
             yield pa.RecordBatch.from_pydict(out, schema=_VERDICT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +423,7 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", with_text: bool = True
     n, folder = shuffle_partitions(spark), scratch(spark, "suffix-blocks")
     grams = docs.mapInArrow(_blocks(folder, text_col, n, block_bytes), "bucket int, block long, grams binary, twice binary")
     repeated = grams.repartition(n, "bucket").mapInArrow(_repeated, "block long, grams binary")
-    by_block = repeated.groupBy("block").agg(F.collect_list("grams").alias("grams"))
+    by_block = repeated.repartition(n, "block").groupBy("block").agg(F.collect_list("grams").alias("grams"))
     kinds = "block long, ctx int, hi int, lo int, many boolean, bytes binary"
     contexts = materialise(by_block.mapInArrow(_contexts(folder, text_col), kinds), "suffixes")
     suffixes = contexts.filter("ctx >= 0")
@@ -426,15 +432,15 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", with_text: bool = True
     sample = sorted(_key(r.bytes, r.hi) for r in suffixes.filter(F.pmod(F.xxhash64("block", "ctx"), F.lit(every)) == 0).select("bytes", "hi").toLocalIterator())
     splitters = sorted({sample[len(sample) * k // buckets] for k in range(1, buckets)}) if sample else []
     dealt = suffixes.mapInArrow(_bucket_of(splitters), kinds + ", bucket int").repartition(n, "bucket")
-    verdicts = materialise(dealt.mapInArrow(_sort(splitters), "block long, ctx int, flags binary, h binary, bucket int, a int"), "suffix-verdicts")
+    verdicts = materialise(dealt.mapInArrow(_sort(splitters), "block long, ctx int, flags binary, h binary, bucket int, open boolean"), "suffix-verdicts")
     edge = verdicts.filter("h is not null")
     across = edge.groupBy("h").agg(F.min("bucket").alias("b1"), F.max("bucket").alias("b2")).filter("b1 < b2").select("h")
     found = (
         verdicts.filter("h is null").select("block", "ctx", "flags")
-        .union(edge.join(across, "h", "left_semi").select("block", "ctx", "flags"))
+        .union(edge.filter("open").join(across, "h", "left_semi").select("block", "ctx", "flags"))
         .union(contexts.filter("ctx < 0").select("block", "ctx", F.lit(None).cast("binary").alias("flags")))
     )
-    found = found.groupBy("block").agg(F.collect_list(F.struct("ctx", "flags")).alias("found"))
+    found = found.repartition(n, "block").groupBy("block").agg(F.collect_list(F.struct("ctx", "flags")).alias("found"))
     extra = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField(c, T.StringType()) for c in ("kept_sha256", "kept")]
     out = found.mapInArrow(_cut(folder, text_col, with_text), T.StructType([*docs.schema.fields, *extra]))
     return out if with_text else out.drop("kept")
