@@ -44,6 +44,11 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _once(value: Column) -> Column:
+    """``value``, marked so that the optimizer does not copy it into filters and lambdas above."""
+    return F.when(F.monotonically_increasing_id() < 0, None).otherwise(value)
+
+
 def _repeat_words(words: Column, hashes: Column, window: int) -> Column:
     """Words covered by windows whose hash comes twice or more.
 
@@ -82,7 +87,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     d = d.select(F.col(id_col), F.col(text_col).alias("_t"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     d = d.select(
         "*",
-        F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_words"),
+        _once(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))).alias("_words"),
         F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
     )
     n = F.size("_words")
@@ -90,7 +95,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         n >= WINDOW,
         F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))),
     )
-    d = d.select("*", hashes.alias("_hashes"))
+    d = d.select("*", _once(hashes).alias("_hashes"))
     repeats = F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), _repeat_words(F.col("_words"), F.col("_hashes"), WINDOW))
     d = d.select(
         id_col,
@@ -99,7 +104,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(repeats, F.lit(0)).cast("long").alias("n_repeat_words"),
+        _once(F.coalesce(repeats, F.lit(0)).cast("long")).alias("n_repeat_words"),
         F.size(F.filter("_words", lambda w: w.isin(stop_forms()))).cast("long").alias("n_stop_words"),
         F.size("_lines").cast("long").alias("n_lines"),
     )
