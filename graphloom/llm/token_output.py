@@ -14,6 +14,7 @@ its own token ids by how often they come, so that frequent ids take one byte:
 from __future__ import annotations
 
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -119,7 +120,7 @@ class Encoder:
         self.model._resize_cache(0)  # words come here once; the memory above serves the rest
         letters = _byte_letters()
         self.letters, self.space = str.maketrans({chr(b): c for b, c in enumerate(letters)}), letters[32]
-        self.marks = {m: self._ids(m) for m in ".,;:!?"}
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, piece: str) -> bytes:
         """Ids of one pre-token."""
@@ -137,11 +138,17 @@ class Encoder:
 
     def _spaced(self, word: str) -> bytes:
         """Ids of what follows a space, up to the next one."""
-        if word.isalpha():
+        core = word.rstrip(string.punctuation)
+        if not core.isalpha():
+            return self._pieces(" " + word)
+        if core == word:
             return self._word(word)
-        if word[:-1].isalpha() and (mark := self.marks.get(word[-1])):
-            return self._word(word[:-1]) + mark
-        return self._pieces(" " + word)
+        tail = word[len(core) :]  # marks alone, so one pre-token
+        if (ids := self.marks.get(tail)) is None:
+            ids = self._ids(tail)
+            if len(self.marks) < MEMO:
+                self.marks[tail] = ids
+        return self._word(core) + ids
 
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self._ids, BYTE_BPE.findall(text)))
