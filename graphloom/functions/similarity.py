@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import fixed
 from .text import acronym, canonical_key, token_set, years_conflict
@@ -17,7 +18,7 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(x, y) / F.when(longest == 0, 1).otherwise(longest))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gestalt_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio, which Spark has no function for."""
     from difflib import SequenceMatcher

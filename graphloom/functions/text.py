@@ -73,9 +73,13 @@ def years_conflict(a: Column, b: Column) -> Column:
     return (F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y)
 
 
-def mention_quality(value: Column) -> Column:
-    """0 for noise, up to 1 for what reads like a name; the first rule that fits decides."""
-    v = normalize_mention(value)
+def mention_quality(value: Column, bare: bool = False) -> Column:
+    """0 for noise, up to 1 for what reads like a name; the first rule that fits decides.
+
+    ``bare`` says, here and below, that the value is normalised already, which
+    spares normalising it for each rule.
+    """
+    v = value if bare else normalize_mention(value)
     zero = (
         (F.length(v) < 2)
         | v.rlike(r"^[\W_]+$")
@@ -143,23 +147,23 @@ def extract_jurisdiction(text: Column) -> Column:
     return F.when(near != "", near).otherwise(F.coalesce(known, F.lit("")))
 
 
-def infer_type(value: Column, current: Column) -> Column:
+def infer_type(value: Column, current: Column, bare: bool = False) -> Column:
     """DATE, CONTRACT or JURISDICTION by what the text holds, else the present label."""
-    v = normalize_mention(value)
+    v = value if bare else normalize_mention(value)
     place = F.lower(v).rlike("|".join(fixed.KNOWN_JURISDICTIONS))
     return F.when(v.rlike(fixed.ANY_DATE), "DATE").when(v.rlike(fixed.STRONG_CONTRACT), "CONTRACT").when(place, "JURISDICTION").otherwise(current)
 
 
-def is_entity_artifact(value: Column) -> Column:
+def is_entity_artifact(value: Column, bare: bool = False) -> Column:
     """Pronouns and clause numbers."""
-    v = F.lower(normalize_mention(value))
+    v = F.lower(value if bare else normalize_mention(value))
     parts = words(v)
     numbers = F.size(F.filter(parts, lambda w: w.rlike(r"^\d+$")))
     return (v == "") | v.isin(fixed.PRONOUN_ARTIFACTS) | v.rlike(r"^[\d\s]+$") | ((numbers >= 2) & (numbers >= F.size(parts) - 2))
 
 
-def is_plausible_party(value: Column) -> Column:
-    return ~is_entity_artifact(value) & (infer_type(value, F.lit("PARTY")) == "PARTY") & (mention_quality(value) > 0)
+def is_plausible_party(value: Column, bare: bool = False) -> Column:
+    return ~is_entity_artifact(value, bare) & (infer_type(value, F.lit("PARTY"), bare) == "PARTY") & (mention_quality(value, bare) > 0)
 
 
 def normalize_predicate(predicate: Column, whole_words: bool = False) -> Column:
