@@ -14,7 +14,12 @@ _Q = lambda c: QUALITY.replace("(n,", f"({norm_sql(c)},").replace("length(n)", f
 
 
 def part_mentions(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.lit("PARTY").alias("label"), F.col("p_brand").alias("filename"))
+    """Parts by name, some of them misspelt or with a word more."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), _typo(F.col("p_name"), F.col("p_size")).alias("text"), F.lit("PARTY").alias("label"), F.col("p_brand").alias("filename"))
+
+
+def _typo(name, size):
+    return F.when(size % 3 == 0, name).when(size % 3 == 1, F.substring(name, F.lit(1), F.length(name) - 1)).otherwise(F.concat(name, F.lit(" set")))
 
 
 KB = f"""kb AS (SELECT label, canonical, count(*) AS frequency FROM (SELECT p_type AS label, lower(trim(p_name, ' ')) AS canonical FROM part)
@@ -34,14 +39,13 @@ def kb_build(spark, sf_dir):
 def typos(spark, sf_dir):
     """Part names as written, and again without their last letter or with a word more."""
     p = table(spark, sf_dir, "part").select(F.col("p_type").alias("label"), F.col("p_name").alias("n"), F.col("p_size").alias("s"))
-    t = F.when(F.col("s") % 3 == 0, F.col("n")).when(F.col("s") % 3 == 1, F.expr("substring(n, 1, length(n) - 1)")).otherwise(F.concat("n", F.lit(" set")))
-    return p.select("label", t.alias("text"))
+    return p.select("label", _typo(F.col("n"), F.col("s")).alias("text"))
 
 
 LINKED = f"""{KB}, docs AS (SELECT *, substring(canonical, 1, 1) AS block, string_split(canonical, ' ') AS w FROM kb),
 size AS (SELECT label, block, count(*) AS n, avg(len(w)) AS avgdl FROM docs GROUP BY ALL),
 tf AS (SELECT label, block, canonical, frequency, l, term, count(*) AS tf FROM (SELECT label, block, canonical, frequency, len(w) AS l, unnest(w) AS term FROM docs) GROUP BY ALL),
-df0 AS (SELECT label, block, term, n, avgdl, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf JOIN size USING (label, block) GROUP BY ALL),
+df0 AS (SELECT *, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM (SELECT label, block, term, n, avgdl, count(*) AS df FROM tf JOIN size USING (label, block) GROUP BY label, block, term, n, avgdl)),
 df AS (SELECT * REPLACE (CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITION BY label, block) ELSE idf END AS idf) FROM df0),
 post AS (SELECT tf.*, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / avgdl)) AS part FROM tf JOIN df USING (label, block, term)),
 m AS (SELECT DISTINCT label, text FROM (SELECT p_type AS label, CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN substring(p_name, 1, length(p_name) - 1) ELSE p_name || ' set' END AS text FROM part)
@@ -111,7 +115,8 @@ def er_features(spark, sf_dir):
     return p.select("id_a", "id_b", F.round(er_probability(f), 6).alias("score"), hard_conflict(x, y, F.col("label_a"), F.col("label_b")).alias("conflict"), F.round(lev, 6).alias("lev"))
 
 
-REPS = f"""m AS (SELECT p_partkey AS id, p_name AS t, 'PARTY' AS label, p_brand AS filename, {key_sql("p_name", "'PARTY'")} AS key FROM part),
+REPS = f"""m0 AS (SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN substring(p_name, 1, length(p_name) - 1) ELSE p_name || ' set' END AS t, 'PARTY' AS label, p_brand AS filename FROM part),
+m AS (SELECT *, {key_sql("t", "'PARTY'")} AS key FROM m0),
 reps AS (SELECT label, key, min(id) AS rep, min_by(t, id) AS t, min_by(filename, id) AS filename, count(*) AS n FROM m GROUP BY ALL),
 blocks AS (SELECT *, substring(string_split(key, ' ')[1], 1, 4) || '|' || coalesce(substring(string_split(key, ' ')[2], 1, 4), '') AS block FROM reps),
 ranked AS (SELECT *, count(*) OVER (PARTITION BY label, block) AS size, row_number() OVER (PARTITION BY label, block ORDER BY rep) AS rn FROM blocks),
