@@ -1 +1,89 @@
-"""Queries."""
+"""Coreference and learnt operators; learnt ones give rows that no SQL can."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import coref, extract, learn
+from ..operators import graph as graph_ops
+from ..session import materialise
+from .graph_queries import supplier_graph
+from .registry import in_list, query, table
+from .text_queries import TOKENS
+from .triple_queries import raw_triples
+
+MARKED = f"""t AS (SELECT doc_id, i AS pos, w[i] AS w, regexp_replace(lower(w[i]), '[^a-z]', '', 'g') AS bare FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {TOKENS} AS w FROM documents))),
+m AS (SELECT *, bare IN {in_list(coref.SINGULAR + coref.PLURAL)} AS pro, bare IN {in_list(coref.PLURAL)} AS pl FROM t),
+k AS (SELECT doc_id, pos, w, pro, NOT pro AND regexp_matches(w, '^[A-Z]') AND length(bare) > 3 AS ph, CASE WHEN pro THEN pl ELSE bare LIKE '%s' OR bare LIKE '%parties%' END AS plural FROM m),
+a AS (SELECT *, last_value(CASE WHEN ph AND plural THEN w END IGNORE NULLS) OVER x AS many, last_value(CASE WHEN ph AND NOT plural THEN w END IGNORE NULLS) OVER x AS one, last_value(CASE WHEN ph THEN w END IGNORE NULLS) OVER x AS anyone
+  FROM k WINDOW x AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query(f"WITH {MARKED} SELECT doc_id, pos::INT AS pos, w AS pronoun, coalesce(CASE WHEN plural THEN many ELSE one END, anyone) AS antecedent FROM a WHERE pro")
+def asof_antecedent(spark, sf_dir):
+    """JOI15, NLP2 and NLP4: the nearest phrase before each pronoun."""
+    return coref.nearest_antecedent(coref.marked_tokens(table(spark, sf_dir, "documents")))
+
+
+@query(
+    """WITH c AS (SELECT count(*) FILTER (toxic = 1 AND quality = 0) AS tp, count(*) FILTER (toxic = 1 AND quality = 1) AS fp, count(*) FILTER (toxic = 0 AND quality = 0) AS fn, count(*) FILTER (toxic = 0 AND quality = 1) AS tn FROM labels)
+SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c"""
+)
+def classification_metrics(spark, sf_dir):
+    """AGG27."""
+    l = table(spark, sf_dir, "labels").withColumn("poor", 1 - F.col("quality"))  # noqa: E741
+    return learn.metrics(l, "toxic", "poor")
+
+
+@query()
+def tfidf_kmeans(spark, sf_dir):
+    """ML6, ML8, ML9, AGG10 and AGG11: clusters of part names by words."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    d = learn.word_tfidf(learn.stratified(p, "p_type", "p_partkey"), "p_name")
+    c, score = learn.clusters(d, 8)
+    return learn.profile(c, "p_type", "p_name").withColumn("silhouette", F.lit(score))
+
+
+@query()
+def char_bisecting(spark, sf_dir):
+    """ML7 and ML10: clusters of names by letters, divisive."""
+    d = learn.char_tfidf(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "p_name")
+    c, score = learn.clusters(d, 6, hierarchical=True)
+    return learn.profile(c, "p_type", "p_name").withColumn("silhouette", F.lit(score))
+
+
+@query()
+def link_prediction(spark, sf_dir):
+    """ML11, ML12, WIN11 and GRA10: suppliers that share much of their trade."""
+    v, e = supplier_graph(spark, sf_dir)
+    p = materialise(graph_ops.pair_features(e, v, "PARTY"), "pairs")
+    mean = p.agg(F.avg("jaccard").alias("m"))
+    p = p.join(F.broadcast(mean)).withColumn("label", (F.col("jaccard") > F.col("m")).cast("int")).withColumn("same", F.col("same_type").cast("int"))
+    links, report = learn.predict_links(p)
+    return links.join(F.broadcast(report.select("f1", "threshold")))
+
+
+@query()
+def coref_classifier(spark, sf_dir):
+    """ML2 to ML4, SIM12 and NLP6."""
+    return learn.coref_classifier(table(spark, sf_dir, "documents"))
+
+
+@query()
+def relation_classifiers(spark, sf_dir):
+    """ML5 and SIM13 over the triples of the star schema."""
+    r = raw_triples(spark, sf_dir).select(
+        F.col("seq").alias("pair_id"), F.col("subject_type").alias("label1"), F.col("object_type").alias("label2"), F.length("subject").alias("length1"), F.length("object").alias("length2"),
+        F.col("predicate").rlike(" (to|by|of|in|as)$").cast("int").alias("has_preposition"), "relation",
+    )
+    return learn.relation_classifiers(materialise(r, "relation-pairs"))
+
+
+@query()
+def token_tagger(spark, sf_dir):
+    """ML1: words of conversations tagged by who speaks, as a stand-in for labelled spans."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sid"), "text")
+    f = extract.token_features(c, "sid").withColumns({x: F.col(x).cast("string") for x in ("is_title", "has_mark", "is_upper")})
+    tag = F.when(F.col("w").rlike("^[A-Z]") & (F.col("length") > 4), "B-NAME").when(F.col("p1").isNotNull() & F.col("has_hyphen"), "I-NAME").otherwise("O")
+    rows = f.select("sid", "pos", F.col("w").alias("word"), tag.alias("tag"), "suffix2", "prefix2", "is_title", "has_mark", "is_upper", "length")
+    return learn.token_tagger(rows, ["suffix2", "prefix2", "is_title", "has_mark", "is_upper", "length"], ["O", "B-NAME", "I-NAME"])
