@@ -131,9 +131,10 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     in blocks of at most about ``block_bytes``, one broadcast and one scan of
     the documents each, chained in one stage without a shuffle. Null texts have
     no words; items without words match nothing; an item without id marks words
-    but is not listed; equal ids are listed once. Input names must not be
-    _n, _hit, _spans or _items.
+    but is not listed; equal ids are listed once. Input columns of
+    the new names are replaced.
     """
+    docs = docs.drop("_n", "_hit", "_spans", "_items")
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0

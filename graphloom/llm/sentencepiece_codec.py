@@ -252,9 +252,10 @@ def encode_texts(docs: DataFrame, model: str = "piece_bpe_32k.model", text_col:
 
     Each whole text is encoded, decoded again and compared (``round_trip``: a
     text that holds the marker itself comes back with a space). A null or empty
-    text has no pieces. No row meets another, so nothing is shuffled.
+    text has no pieces; input columns of the new names are replaced. No row meets another, so nothing is shuffled.
     """
     own = _OWN if with_pieces else _OWN[:-1]
+    docs = docs.drop(*[n for n, *_ in own])
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t, _ in own)])
     return docs.mapInArrow(_coder(model, text_col, with_pieces), schema)
 
@@ -269,6 +270,7 @@ def decode_pieces(pieces: DataFrame, model: str = "piece_bpe_32k.model", pieces_
             texts = [None if x is None else codec.decode(np.array(x, np.int32)).decode("utf-8", "replace") for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
 
+    pieces = pieces.drop(text_col)
     return pieces.mapInArrow(run, T.StructType([*pieces.schema.fields, T.StructField(text_col, T.StringType())]))
 
 

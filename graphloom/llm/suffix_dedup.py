@@ -416,9 +416,11 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", with_text: bool = True
     stays null); matches never cross documents, and all strings are judged on
     the input. ``kept`` leaves out characters that a cut has broken. Texts
     under 200 bytes are left whole; repeated rows are copies of each other and
-    go as such; an empty table gives no rows. ``docs`` should come from a table
+    go as such; an empty table gives no rows; input columns of the new names
+    are replaced. ``docs`` should come from a table
     (or a checkpoint), so that a repeated task makes equal blocks.
     """
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     spark = docs.sparkSession
     n, folder = shuffle_partitions(spark), scratch(spark, "suffix-blocks")
     grams = docs.mapInArrow(_blocks(folder, text_col, n, block_bytes), "bucket int, block long, grams binary, twice binary")

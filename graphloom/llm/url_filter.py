@@ -113,11 +113,12 @@ def bucket(token: str) -> int:
 def _learn(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = Segmenter.of(shared.value)
-        counts = np.zeros((2, BUCKETS), np.int64)
+        counts = np.zeros((2, BUCKETS + 1), np.int64)  # the last one counts URLs
         for batch in batches:
             for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = tokens_of(host, path, segment)
                 row = counts[int(seeded(tokens))]
+                row[BUCKETS] += 1
                 for t in tokens:
                     row[bucket(t)] += 1
         label, b = np.nonzero(counts)
@@ -167,12 +168,13 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     words = lexicon(d, html_col)
     known = spark.sparkContext.broadcast(words)
     learnt = urls.filter("host <> ''").select("host", "path").mapInArrow(_learn(known), "label int, b int, n long")
-    counts = np.zeros((2, BUCKETS))
+    every = np.zeros((2, BUCKETS + 1))
     for r in learnt.groupBy("label", "b").agg(F.sum("n").alias("n")).collect():
-        counts[r.label, r.b] = r.n
+        every[r.label, r.b] = r.n
+    counts, urls_of = every[:, :BUCKETS], every[:, BUCKETS]
     seen = max(1, np.count_nonzero(counts.sum(axis=0)))  # the vocabulary that add-one smoothing spreads over
     log_p = np.log((counts + 1) / (counts.sum(axis=1, keepdims=True) + seen))
-    model = spark.sparkContext.broadcast((words, log_p[1] - log_p[0], 0.0))
+    model = spark.sparkContext.broadcast((words, log_p[1] - log_p[0], float(np.log((urls_of[1] + 1) / (urls_of[0] + 1)))))
     ruled = urls.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
     id_type = urls.schema[id_col].dataType.simpleString()
     scored = ruled.mapInArrow(_score(model), f"`{id_col}` {id_type}, host string, path string, rule string, score double")
