@@ -32,7 +32,7 @@ from ._pretokens import BYTE_BPE, load, safe, special_strings
 MAGIC = b"GLT1"
 BLOCK_IDS = 1 << 20
 #: Remembered words of a worker; beyond it new ones are forgotten after their batch (speed only).
-MEMO = 900_000
+MEMO = 700_000
 #: Lengths of the four ids of each control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -180,18 +180,19 @@ class Encoder:
                 plain.append(i)
         if not plain:
             return out
-        parts = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        column = column if len(plain) == len(texts) else column.take(pa.array(plain))
+        parts = pc.split_pattern(pc.fill_null(column, ""), " ")
         offsets = parts.offsets.to_numpy()
         words = parts.values.dictionary_encode()
-        index = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        index = words.indices.to_numpy(zero_copy_only=False).copy()
         ids = self._known(words.dictionary.to_pylist())
         first = offsets[:-1]
-        index[first] = len(ids) + np.arange(len(plain))  # the first word has no space before it
+        index[first] = len(ids) + np.arange(len(plain), dtype=np.int32)  # the first word has no space before it
         ids += [self._pieces(w) for w in parts.values.take(pa.array(first)).to_pylist()]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        start, each = np.cumsum(size) - size, size[index]
-        upto = np.concatenate([[0], np.cumsum(each)])
-        place = np.arange(upto[-1]) + np.repeat(start[index] - upto[:-1], each)
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        start, each = np.cumsum(size, dtype=np.int32) - size, size[index]
+        upto = np.concatenate([np.zeros(1, np.int32), np.cumsum(each, dtype=np.int32)])  # a column holds under 2**31 ids
+        place = np.arange(upto[-1], dtype=np.int32) + np.repeat(start[index] - upto[:-1], each)
         flat = np.frombuffer(b"".join(ids), "<u4")[place]
         for i, x in zip(plain, np.split(flat, upto[offsets[1:-1]]), strict=True):
             out[i] = x
@@ -214,7 +215,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         ids: list[np.ndarray] = []
         out = None
         for batch in batches:
-            for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
+            for part in (batch.slice(k, 4000) for k in range(0, batch.num_rows, 4000)):
                 for d, own in zip(part.column(0).to_pylist(), encoder(part.column(1)), strict=True):
                     doc_ids.append(d)
                     ids.append(np.append(own, end))
