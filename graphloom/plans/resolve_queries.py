@@ -67,7 +67,7 @@ def link_mentions(spark, sf_dir):
 
 @query(
     f"""WITH {LINKED} SELECT label, count(*)::BIGINT AS total, count(*) FILTER (linked)::BIGINT AS linked, count(*) FILTER (changed)::BIGINT AS changed, round(count(*) FILTER (linked) / count(*), 6) AS rate,
-array_to_string(list_sort(list(DISTINCT CASE WHEN changed THEN text || ' -> ' || canonical END) FILTER (changed))[1:3], '; ') AS examples FROM linked GROUP BY label"""
+coalesce(array_to_string(list_sort(list(DISTINCT CASE WHEN changed THEN text || ' -> ' || canonical END) FILTER (changed))[1:3], '; '), '') AS examples FROM linked GROUP BY label"""
 )
 def link_report(spark, sf_dir):
     """AGG3."""
