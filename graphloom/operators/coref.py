@@ -61,3 +61,17 @@ def pair_features(a: Column, b: Column, distance: Column, a_pronoun: Column, b_p
         "inside": (F.contains(x, y) | F.contains(y, x)).cast("double"),
         "length_gap": F.abs(F.length(a) - F.length(b)).cast("double"),
     }
+
+
+def without_overlap(phrases: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Phrases (doc, start, end, ...) that no span (doc, start, end) of dates, numbers or money overlaps."""
+    s = spans.select(F.col(id_col).alias("_d"), F.col("start").alias("_a"), F.col("end").alias("_b"))
+    return phrases.join(s, (F.col(id_col) == F.col("_d")) & (F.col("start") < F.col("_b")) & (F.col("end") > F.col("_a")), "left_anti")
+
+
+def compare(by_rule: DataFrame, learnt: DataFrame, most: int = 20, id_col: str = "doc_id") -> DataFrame:
+    """(algorithm, doc, pos, pronoun, antecedent, found): the first ``most`` of each document and how many there are."""
+    both = by_rule.select(F.lit("rule").alias("algorithm"), id_col, "pos", "pronoun", "antecedent").union(learnt.select(F.lit("learnt"), id_col, "pos", "pronoun", "antecedent"))
+    both = both.filter("antecedent is not null")
+    of = Window.partitionBy("algorithm", id_col)
+    return both.withColumn("found", F.count("*").over(of)).withColumn("k", F.row_number().over(of.orderBy("pos"))).filter(F.col("k") <= most).drop("k")

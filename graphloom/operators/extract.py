@@ -164,3 +164,18 @@ def mentions(docs: DataFrame, most_chars: int = 15000, id_col: str = "doc_id", t
     title = title.select("doc_id", F.lit("CONTRACT").alias("label"), "text", F.lit(0).alias("start"), F.lit(0).alias("end"), "sentence")
     out = title.unionByName(found)
     return out.withColumn("mention_id", stable_id("m", F.col("doc_id"), text, label, F.col("start")))
+
+
+def occurrences(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_only: bool = False) -> DataFrame:
+    """(doc_id, name, label, start, end) of names (doc_id, name, label) in their documents, without regard to case.
+
+    Every occurrence counts; ``first_only`` keeps the first of each.
+    """
+    d = docs.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).join(names.dropDuplicates([id_col, "name", "label"]).filter("name <> ''"), id_col)
+    parts = F.split(F.col("t"), F.concat(F.lit("\\Q"), F.lower("name"), F.lit("\\E")), -1)
+    d = d.withColumn("p", parts).filter(F.size("p") > 1)
+    size = F.length("name")
+    d = d.select(id_col, "name", "label", "p", size.alias("n"), F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"))
+    start = F.length(F.array_join(F.slice("p", 1, F.col("k")), "")) + (F.col("k") - 1) * F.col("n")
+    out = d.select(id_col, "name", "label", start.alias("start"), (start + F.col("n")).alias("end"), "k")
+    return (out.filter("k = 1") if first_only else out).drop("k")

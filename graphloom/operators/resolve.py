@@ -95,16 +95,16 @@ def candidate_pairs(reps: DataFrame, max_block: int = 120, neighbours: int = 10)
     return left.join(right, ["label", "block", "rn"]).drop("rn")
 
 
-def score_pairs(pairs: DataFrame, gestalt: bool = False) -> DataFrame:
+def score_pairs(pairs: DataFrame, gestalt: bool = False, threshold: float = fixed.ER_THRESHOLD) -> DataFrame:
     """Features, probability and whether a pair merges; pairs in hard conflict are left out."""
     a, b, label = F.col("text_a"), F.col("text_b"), F.col("label")
     p = pairs.filter(~hard_conflict(a, b, label, label))
     f = pair_features(a, b, label, F.col("filename_a"), F.col("filename_b"), gestalt)
     p = p.select("*", *[c.alias(k) for k, c in f.items()])
-    return p.withColumn("score", er_probability({k: F.col(k) for k in f})).withColumn("merged", F.col("score") >= fixed.ER_THRESHOLD)
+    return p.withColumn("score", er_probability({k: F.col(k) for k in f})).withColumn("merged", F.col("score") >= threshold)
 
 
-def resolve(mentions: DataFrame, gestalt: bool = False) -> DataFrame:
+def resolve(mentions: DataFrame, gestalt: bool = False, threshold: float = fixed.ER_THRESHOLD) -> DataFrame:
     """Entities of mentions (id, text, label, filename).
 
     Equal keys are one; blocks, neighbours, conflicts and scores decide which
@@ -112,7 +112,7 @@ def resolve(mentions: DataFrame, gestalt: bool = False) -> DataFrame:
     frequent (the least of equals); the id hashes label and canonical form.
     """
     reps = representatives(mentions)
-    merged = score_pairs(candidate_pairs(reps), gestalt).filter("merged")
+    merged = score_pairs(candidate_pairs(reps), gestalt, threshold).filter("merged")
     comp = connected_components(merged, "rep_a", "rep_b")
     placed = reps.join(comp, reps["rep"] == comp["node"], "left").select("label", "key", F.coalesce("component", "rep").alias("cluster"))
     m = mentions.withColumn("key", F.array_join(canonical_tokens(F.col("text"), F.col("label")), " ")).join(placed, ["label", "key"])

@@ -227,6 +227,12 @@ class Engine:
         known = [f"{r['node']} {r['relation']} {r['other']}" + ("" if r["validated"] else " [UNVERIFIED]") for r in self.facts(text).collect()]
         return "\n".join([f"Question: {text}", "Passages:", *[f"- {s}" for s in said], "Facts:", *[f"- {f}" for f in known]])
 
+    def answer(self, text: str, answerer=None, k: int = 5) -> dict:
+        """Names, passages, facts and paths of a query, and what ``answerer`` makes of the prompt if one is given."""
+        rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
+        out = {"names": rows(self.recognised(text)), "passages": rows(self.search(text, k)), "facts": rows(self.facts(text)), "paths": rows(self.paths(text))}
+        return out | {"answer": answerer(self.prompt(text, k)) if answerer else None}
+
 
 def key_variants(records: DataFrame) -> DataFrame:
     """(subject, predicate, object) from rows that name them in any of the usual ways; incomplete rows go."""

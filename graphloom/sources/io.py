@@ -18,7 +18,7 @@ QUESTION_LABELS = [
 
 def text_folder(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(doc_id, path, text, sha256) of the ``.txt`` files of a folder, by name; ``limit`` keeps the first."""
-    d = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    d = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     d = d.select(F.col("_metadata.file_name").alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     d = d.withColumn("sha256", F.sha2("text", 256))
     return d.orderBy("path").limit(limit) if limit is not None else d
@@ -140,3 +140,36 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 def write_by_document(rows: DataFrame, path: str, key: str = "doc_id") -> None:
     """JSON in a folder per document; Spark's commit makes it whole or not at all."""
     rows.write.mode("overwrite").partitionBy(key).json(path)
+
+
+def write_outcomes(resolved: DataFrame, path: str) -> None:
+    """Validated, original, repaired and rejected triples in folders of their own, from one written table."""
+    from ..session import materialise
+
+    r = materialise(resolved, "outcomes")
+    status = F.col("validation_status")
+    parts = {"validated": status != "rejected", "original": status == "validated", "after_repair": status == "repaired", "rejected": status == "rejected"}
+    for name, cond in parts.items():
+        r.filter(cond).write.mode("overwrite").json(f"{path}/{name}")
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def pending(rows: DataFrame, done: DataFrame, key: str = "source_file") -> DataFrame:
+    """Rows whose key the finished ones do not have, to go on with after a stop."""
+    return rows.join(done.select(key).distinct(), key, "left_anti")
+
+
+def fresh_table(spark: SparkSession, path: str, inputs: list[str], build) -> DataFrame:
+    """The table at ``path`` if it is newer than all inputs, else what ``build()`` gives, written there."""
+
+    def newest(p: str):
+        d = optional(spark, lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p).select("modificationTime"), "modificationTime timestamp")
+        return d.agg(F.max("modificationTime")).first()[0]
+
+    own = newest(path)
+    if own is None or any((t := newest(p)) is not None and t >= own for p in inputs):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

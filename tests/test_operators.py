@@ -196,3 +196,46 @@ def test_ingest_upserts(spark, tmp_path):
         docs = spark.readStream.schema("doc_id long, text string").parquet(src)
         stream.ingest(docs, target, str(tmp_path / "state"))
     assert sorted(map(tuple, spark.read.parquet(f"{target}/v1").select("doc_id", "text").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_occurrences_and_overlaps(spark):
+    d = spark.createDataFrame([("d", "Acme, acme and A.c"), ("e", None)], "doc_id string, text string")
+    n = spark.createDataFrame([("d", "Acme", "PARTY"), ("d", "A.C", "PARTY"), ("e", "x", "PARTY")], "doc_id string, name string, label string")
+    got = sorted((r.name, r.start, r.end) for r in extract.occurrences(d, n).collect())
+    assert got == [("A.C", 15, 18), ("Acme", 0, 4), ("Acme", 6, 10)]
+    assert extract.occurrences(d, n, first_only=True).count() == 2
+    p = spark.createDataFrame([("d", 0, 4), ("d", 6, 10)], "doc_id string, start int, end int")
+    assert [r.start for r in coref.without_overlap(p, p.filter("start = 6")).collect()] == [0]
+
+
+def test_run_over_a_folder_and_again(spark, tmp_path):
+    from graphloom.__main__ import run
+    from graphloom.plans import fixtures
+
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    for name, body in fixtures.DOCUMENTS[:1]:
+        (src / name).write_text(body)
+    first = run(spark, str(src), out, None)
+    assert first["documents"] == 1 and first["accepted"] >= 3
+    (src / fixtures.DOCUMENTS[2][0]).write_text(fixtures.DOCUMENTS[2][1])
+    second = run(spark, str(src), out, None, incremental=True)
+    assert second["documents"] == 1
+    assert spark.read.json(f"{out}/validated_triples").select("doc_id").distinct().count() == 2
+    assert run(spark, str(src), out, None, incremental=True)["documents"] == 0
+    assert spark.read.json(f"{out}/validated_triples").select("doc_id").distinct().count() == 2
+
+
+def test_fresh_table_is_built_once(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a").write_text("x")
+    for _ in range(2):
+        assert io.fresh_table(spark, str(tmp_path / "t"), [str(src)], build).count() == 3
+    assert built == [1]
