@@ -53,4 +53,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_token_output, op4_quality_rules, op5_sentencepiece, op6_decontamination, op7_url_filter, op8_token_counts, op9_quality_classifier, op10_warc)}
 
-ORACLE_SQL = {"op4_quality_rules": quality_rules.sql(), "op6_decontamination": decontam.SQL, "op10_warc": warc.SQL}
+ORACLE_SQL = {"op2_suffix_dedup": suffix_dedup.SQL, "op4_quality_rules": quality_rules.sql(), "op6_decontamination": decontam.SQL, "op10_warc": warc.SQL}

@@ -470,3 +470,17 @@ def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
         out.append((len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+#: The same in DuckDB SQL over ``documents``: strings as hexadecimal digits, told apart by MD5.
+SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+s AS (SELECT r, p, md5(substring(h, 2 * p + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, n - 199)) AS p FROM d WHERE n >= 200)),
+hit AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY k) AS c FROM s) WHERE c > 1),
+g AS (SELECT r, p, sum(CASE WHEN p - prev <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS run FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS prev FROM hit)),
+span AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM g GROUP BY r, run),
+part AS (SELECT r, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS a, a AS b FROM span UNION ALL SELECT d.r, coalesce(max(b), 0), max(n) FROM d LEFT JOIN span ON span.r = d.r GROUP BY d.r),
+kept AS (SELECT r, string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM part JOIN d USING (r) GROUP BY r),
+gone AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)"""
