@@ -74,7 +74,7 @@ def link_report(spark, sf_dir):
     return resolve.link_report(resolve.link(typos(spark, sf_dir), kb(spark, sf_dir)))
 
 
-@query(f"WITH {LINKED} SELECT 0.72 AS threshold_a, 0.9 AS threshold_b, count(*) FILTER (linked)::BIGINT AS linked_a, count(*) FILTER (score >= 0.9)::BIGINT AS linked_b FROM linked")
+@query(f"WITH {LINKED} SELECT 0.72::DOUBLE AS threshold_a, 0.9::DOUBLE AS threshold_b, count(*) FILTER (linked)::BIGINT AS linked_a, count(*) FILTER (score >= 0.9)::BIGINT AS linked_b FROM linked")
 def link_versions(spark, sf_dir):
     """AGG4: two runs side by side."""
     a = resolve.link(typos(spark, sf_dir), kb(spark, sf_dir))
