@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import narrow
+from ._common import materialise, narrow
 
 #: Rules: (host and path, verdict).
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -144,10 +144,22 @@ def _score(shared):
 
 
 def lexicon(texts: DataFrame, column: str, words: int = LEXICON_WORDS) -> dict[str, int]:
-    """Counts of the most frequent words over all texts, and of the seed words (once more than the least)."""
+    """Counts of the most frequent words over all texts, and of the seed words (once more than the least).
+
+    All words are counted and the counts written once. A histogram of them, in
+    steps of a hundredth, finds the count above which at most ``words`` lie, so
+    that only those go to the driver, whatever the number of partitions.
+    """
     w = texts.select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace(F.col(column), "<[^>]*>", " ")), F.lit(r"[\p{L}]+"), F.lit(0))).alias("w"))
-    top = w.filter(F.length("w") <= MAX_WORD).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(words)
-    out = {r.w: r.n for r in top.collect()}
+    counts = materialise(w.filter(F.length("w") <= MAX_WORD).groupBy("w").agg(F.count("*").alias("n")), "words")
+    step = F.floor(F.log2("n") * 64)
+    steps = sorted(((r.s, r.c) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    held, least_step = 0, None
+    for s, c in steps:
+        if held + c > words:
+            break
+        held, least_step = held + c, s
+    out = {r.w: r.n for r in counts.filter(step >= least_step).collect()} if least_step is not None else {}
     least = min(out.values(), default=1) + 1
     return out | {s: max(out.get(s, 0), least) for s in SEED_WORDS}
 
