@@ -24,6 +24,14 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return d.select(id_col, (F.col("p") + 1).alias("sid"), "sentence")
 
 
+def sentence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, sid, start, text) of sentences as they stand, with their mark, so that offsets hold."""
+    parts = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^.\n]+[.\n]*|[.\n]+"), F.lit(0))
+    d = docs.select(id_col, parts.alias("p")).select(id_col, "p", F.posexplode("p").alias("k", "text"))
+    start = F.when(F.col("k") == 0, 0).otherwise(F.length(F.array_join(F.slice("p", 1, F.col("k")), "")))
+    return d.select(id_col, (F.col("k") + 1).alias("sid"), start.alias("start"), "text")
+
+
 def chunks(docs: DataFrame, size: int = 10, overlap: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Windows of ``size`` sentences that share ``overlap`` with the next."""
     d = docs.select(id_col, sentence_array(F.col(text_col)).alias("s")).filter(F.size("s") > 0)

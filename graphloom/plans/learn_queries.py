@@ -87,3 +87,18 @@ def token_tagger(spark, sf_dir):
     tag = F.when(F.col("w").rlike("^[A-Z]") & (F.col("length") > 4), "B-NAME").when(F.col("p1").isNotNull() & F.col("has_hyphen"), "I-NAME").otherwise("O")
     rows = f.select("sid", "pos", F.col("w").alias("word"), tag.alias("tag"), "suffix2", "prefix2", "is_title", "has_mark", "is_upper", "length")
     return learn.token_tagger(rows, ["suffix2", "prefix2", "is_title", "has_mark", "is_upper", "length"], ["O", "B-NAME", "I-NAME"])
+
+
+@query()
+def coref_comparison(spark, sf_dir):
+    """NLP6: the rule and the classifier side by side."""
+    d = table(spark, sf_dir, "documents")
+    return coref.compare(coref.nearest_antecedent(coref.marked_tokens(d)), learn.coref_classifier(d))
+
+
+@query()
+def inferred_links(spark, sf_dir):
+    """GRA10: the graph with inferred links after its own edges."""
+    _, e = supplier_graph(spark, sf_dir)
+    links = materialise(link_prediction(spark, sf_dir), "links")
+    return graph_ops.add_inferred(e, links)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import extract
+from ..operators import extract, triples
 from . import fixtures
 from .registry import in_list, query, table, values
 
@@ -286,3 +286,13 @@ def context_windows(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
     return c.select("conv_id", "turn", "role", F.lag("role").over(w).alias("prev_role"), F.sum("n").over(w.rowsBetween(-10, -1)).alias("context_chars"))
+
+
+@query()
+def relation_pairs(spark, sf_dir):
+    """EXP10, JOI6, JOI7 and JOI17: names in one sentence and the words between them, over the fixture of documents."""
+    d = spark.createDataFrame(fixtures.DOCUMENTS, "doc_id string, text string")
+    names = extract.mentions(d).select("doc_id", F.col("text").alias("name"), "label")
+    spans = extract.occurrences(d, names).select("doc_id", F.col("name").alias("text"), "label", "start", "end")
+    s = extract.sentence_spans(d)
+    return triples.entity_pairs(s, spans)
