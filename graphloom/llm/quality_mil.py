@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, narrow
+from ._common import as_bytes, materialise, narrow
 
 #: Bytes of a passage; the last one of a text may be shorter.
 PASSAGE = 512
@@ -226,7 +226,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     d = narrow(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     l = narrow(labels, id_col, label_col).select(F.col(id_col).cast("long").alias("d"), F.col(label_col).cast("int").alias("label"))  # noqa: E741
     l = l.dropna().filter(~held_out(F.col("d"))).groupBy("d").agg(F.max("label").alias("label"))
-    picked = l.orderBy(F.xxhash64("d"), "d").limit(train_docs)
+    l = materialise(l, "labels")  # noqa: E741
+    share = min(1.0, 0.95 * train_docs / max(1, l.count()))
+    draw = F.pmod(F.xxhash64("d"), F.lit(1 << 30)) < int(share * (1 << 30))  # so that no partition sends many to the driver
+    picked = l.filter(draw).orderBy(F.xxhash64("d"), "d").limit(train_docs)
     model = learn(d.join(F.broadcast(picked), "d").select("d", "label", "t"))
     shared = spark.sparkContext.broadcast(model)
     rows = d.select("d", F.coalesce(held_out(F.col("d")), F.lit(False)).alias("held_out"), "t")
