@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, scratch
 
-__all__ = ["as_bytes", "as_texts", "get", "materialise", "narrow", "open_fs", "partition_id", "put", "scratch", "shuffle_partitions"]
+__all__ = ["as_bytes", "as_texts", "freed", "get", "materialise", "narrow", "open_fs", "partition_id", "put", "scratch", "shuffle_partitions"]
 
 
 def open_fs(uri: str):
@@ -61,3 +61,27 @@ def partition_id() -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the system; idle workers then hold little."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def freed(run, after=None):
+    """``run`` for mapInArrow, with ``after()`` and a release at the end of each task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if after:
+                after()
+            release()
+
+    return wrapped

@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_texts, narrow
+from ._common import as_texts, freed, narrow
 
 MARK = "▁"
 UNKNOWN = 10.0
 #: Log scores are multiples of this, so that sums are exact in any order and precision.
 GRID = 1 / 256
 ZIPF_SHIFT = 2.7
-#: Remembered words of a worker; beyond it new ones are forgotten after their batch (speed only).
-MEMO = 900_000
+#: Remembered words of a task; beyond it new ones are forgotten after their batch (speed only).
+MEMO = 600_000
 
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -194,12 +194,12 @@ class Codec:
         if plain:
             parts = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
             words = parts.values.dictionary_encode()
-            index = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            index = words.indices.to_numpy(zero_copy_only=False)
             ids = self._known(words.dictionary.to_pylist())
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            start, each = np.cumsum(size) - size, size[index]
-            upto = np.concatenate([[0], np.cumsum(each)])
-            place = np.arange(upto[-1]) + np.repeat(start[index] - upto[:-1], each)
+            size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+            start, each = np.cumsum(size, dtype=np.int32) - size, size[index]
+            upto = np.concatenate([np.zeros(1, np.int32), np.cumsum(each, dtype=np.int32)])  # a part holds under 2**31 ids
+            place = np.arange(upto[-1], dtype=np.int32) + np.repeat(start[index] - upto[:-1], each)
             flat = np.frombuffer(b"".join(ids), "<i4")[place]
             for i, x in zip(plain, np.split(flat, upto[parts.offsets.to_numpy()[1:-1]]), strict=True):
                 out[i] = x
@@ -221,6 +221,12 @@ def _codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def _forget() -> None:
+    """Drops the words of a task, which would lie idle in the worker."""
+    for codec in _CODECS.values():
+        codec.memo = {}
+
+
 def model_path(model: str) -> str:
     return model if "/" in model else public_tokenizers.path(model)
 
@@ -257,7 +263,7 @@ def encode_texts(docs: DataFrame, model: str = "piece_bpe_32k.model", text_col:
     own = _OWN if with_pieces else _OWN[:-1]
     docs = docs.drop(*[n for n, *_ in own])
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t, _ in own)])
-    return docs.mapInArrow(_coder(model, text_col, with_pieces), schema)
+    return docs.mapInArrow(freed(_coder(model, text_col, with_pieces), _forget), schema)
 
 
 def decode_pieces(pieces: DataFrame, model: str = "piece_bpe_32k.model", pieces_col: str = "pieces", text_col: str = "text") -> DataFrame:

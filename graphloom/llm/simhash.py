@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ._common import as_bytes, materialise, narrow, shuffle_partitions
+from ._common import as_bytes, freed, materialise, narrow, shuffle_partitions
 
 DISTANCE = 3
 SHINGLE = 3
@@ -190,7 +190,7 @@ def near_links(fingerprints: DataFrame, column: str = "f") -> DataFrame:
     f = fingerprints.select(F.col(column).alias("f")).dropna().distinct()
     tasks = max(shuffle_partitions(spark), f.count() * 2 * _WIDTH // ROWS_A_TASK)
     rows = f.mapInArrow(_replicate, "a long, f long, home boolean")
-    return rows.repartition(tasks, "a").mapInArrow(_compare, "u long, v long")
+    return rows.repartition(tasks, "a").mapInArrow(freed(_compare), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -204,7 +204,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     d = narrow(docs, id_col, text_col).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
     id_type = d.schema["d"].dataType.simpleString()
-    prints = materialise(d.mapInArrow(_fingerprints(shingle), f"d {id_type}, f long"), "fingerprints")
+    prints = materialise(d.mapInArrow(freed(_fingerprints(shingle)), f"d {id_type}, f long"), "fingerprints")
     nodes = materialise(prints.groupBy("f").agg(F.min("d").alias("least")), "fingerprint-nodes")
     found = connected_components(near_links(nodes), "u", "v")
     placed = nodes.join(found.select(F.col("node").alias("f"), "component"), "f", "left").select("f", "least", F.coalesce("component", "f").alias("c"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, get, materialise, narrow, partition_id, put, scratch, shuffle_partitions
+from ._common import as_bytes, freed, get, materialise, narrow, partition_id, put, scratch, shuffle_partitions
 
 LENGTH, GRAM = 200, 64
 #: Grams in a string, and so the most bytes of a string before its anchor, plus one.
@@ -423,18 +423,18 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", with_text: bool = True
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     spark = docs.sparkSession
     n, folder = shuffle_partitions(spark), scratch(spark, "suffix-blocks")
-    grams = docs.mapInArrow(_blocks(folder, text_col, n, block_bytes), "bucket int, block long, grams binary, twice binary")
+    grams = docs.mapInArrow(freed(_blocks(folder, text_col, n, block_bytes)), "bucket int, block long, grams binary, twice binary")
     repeated = grams.repartition(n, "bucket").mapInArrow(_repeated, "block long, grams binary")
     by_block = repeated.repartition(n, "block").groupBy("block").agg(F.collect_list("grams").alias("grams"))
     kinds = "block long, ctx int, hi int, lo int, many boolean, bytes binary"
-    contexts = materialise(by_block.mapInArrow(_contexts(folder, text_col), kinds), "suffixes")
+    contexts = materialise(by_block.mapInArrow(freed(_contexts(folder, text_col)), kinds), "suffixes")
     suffixes = contexts.filter("ctx >= 0")
     buckets = 2 * n
     every = max(1, suffixes.count() // (buckets * OVERSAMPLE))
     sample = sorted(_key(r.bytes, r.hi) for r in suffixes.filter(F.pmod(F.xxhash64("block", "ctx"), F.lit(every)) == 0).select("bytes", "hi").toLocalIterator())
     splitters = sorted({sample[len(sample) * k // buckets] for k in range(1, buckets)}) if sample else []
     dealt = suffixes.mapInArrow(_bucket_of(splitters), kinds + ", bucket int").repartition(n, "bucket")
-    verdicts = materialise(dealt.mapInArrow(_sort(splitters), "block long, ctx int, flags binary, h binary, bucket int, open boolean"), "suffix-verdicts")
+    verdicts = materialise(dealt.mapInArrow(freed(_sort(splitters)), "block long, ctx int, flags binary, h binary, bucket int, open boolean"), "suffix-verdicts")
     edge = verdicts.filter("h is not null")
     across = edge.groupBy("h").agg(F.min("bucket").alias("b1"), F.max("bucket").alias("b2")).filter("b1 < b2").select("h")
     found = (
@@ -444,7 +444,7 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", with_text: bool = True
     )
     found = found.repartition(n, "block").groupBy("block").agg(F.collect_list(F.struct("ctx", "flags")).alias("found"))
     extra = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField(c, T.StringType()) for c in ("kept_sha256", "kept")]
-    out = found.mapInArrow(_cut(folder, text_col, with_text), T.StructType([*docs.schema.fields, *extra]))
+    out = found.mapInArrow(freed(_cut(folder, text_col, with_text)), T.StructType([*docs.schema.fields, *extra]))
     return out if with_text else out.drop("kept")
 
 
