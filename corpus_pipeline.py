@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, quality_rules, sentencepiece_codec, simhash, suffix_dedup
+from graphloom.llm import decontam, near_copies, quality_rules, sentencepiece_codec, suffix_dedup
 from graphloom.session import materialise
 
 
@@ -38,12 +38,12 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, that of the least id.
+    """One document of each group of near copies (0.8 or more on five-word shingles), that of the least id.
 
     A document without id can't be named as a copy and stays. Rows of equal id
     and text count as one document.
     """
-    groups = simhash.simhash_components(docs)
+    groups = near_copies.near_copies(docs)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
     again = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
