@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +25,7 @@ SEED_WORDS = (
 #: Seeds that are common words: they label a URL only beside another seed.
 WEAK_SEEDS = ("cheap", "free", "track", "win")
 
-#: The most frequent words of page texts that segmentation knows, besides the seeds.
-LEXICON_WORDS = 20_000
-#: Token counts are kept by a hash into so many buckets, which bounds the model.
-BUCKETS = 1 << 16
+#: Letters of the longest word that segmentation looks for.
 MAX_WORD = 24
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,8 +61,9 @@ class Segmenter:
     memo: dict[str, list[str]] = field(default_factory=dict)
 
     @staticmethod
-    def of(counts: dict[str, int]) -> Segmenter:
-        total = sum(counts.values()) or 1
+    def of(counts: dict[str, int], total: int | None = None) -> Segmenter:
+        """``total`` is that of all words, where ``counts`` has some of them."""
+        total = total or sum(counts.values()) or 1
         return Segmenter({w: math.log(n / total) for w, n in counts.items()}, math.log(0.1 / total))
 
     def __call__(self, name: str) -> list[str]:
@@ -95,73 +91,50 @@ class Segmenter:
 _PARTS = re.compile(r"[^\W\d_]+")
 
 
-def tokens_of(host: str, path: str, segment: Segmenter) -> list[str]:
-    """Segmented words of the host, each marked, and of the path."""
-    out = [f"h:{w}" for part in _PARTS.findall(host) for w in segment(part)]
-    return out + [f"p:{w}" for part in _PARTS.findall(path.lower()) for w in segment(part)]
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of letters of hosts and paths, each with its mark."""
+    for batch in batches:
+        k, mark, part = [], [], []
+        for key, host, path in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for m, text in (("h:", host), ("p:", path.lower())):
+                for name in _PARTS.findall(text):
+                    k.append(key)
+                    mark.append(m)
+                    part.append(name)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(mark, pa.string()), pa.array(part, pa.string())], names=["k", "mark", "part"])
 
 
-def seeded(tokens: list[str], seeds=frozenset(SEED_WORDS), weak=frozenset(WEAK_SEEDS)) -> bool:
-    found = {t[2:] for t in tokens if t[2:] in seeds}
-    return bool(found - weak) or len(found) > 1
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name in batch.column(0).to_pylist():
+            w = sorted({name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + MAX_WORD) + 1)})
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(w), pa.string()), pa.array(w, pa.string())], names=["part", "w"])
 
 
-def bucket(token: str) -> int:
-    return zlib.crc32(token.encode()) % BUCKETS
-
-
-def _learn(shared):
+def _segmented(total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = Segmenter.of(shared.value)
-        counts = np.zeros((2, BUCKETS + 1), np.int64)  # the last one counts URLs
         for batch in batches:
-            for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = tokens_of(host, path, segment)
-                row = counts[int(seeded(tokens))]
-                row[BUCKETS] += 1
-                for t in tokens:
-                    row[bucket(t)] += 1
-        label, b = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(b, pa.int32()), pa.array(counts[label, b])], names=["label", "b", "n"])
+            out = []
+            for name, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out.append(Segmenter.of({x["w"]: x["n"] for x in known or []}, total)(name))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["part", "words"])
 
     return run
 
 
-def _score(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weight, prior = shared.value
-        segment = Segmenter.of(words)
-        for batch in batches:
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            scores = [
-                prior + sum(weight[bucket(t)] for t in tokens_of(h, p, segment)) if h else None
-                for h, p in zip(col["host"].to_pylist(), col["path"].to_pylist(), strict=True)
-            ]
-            col["score"] = pa.array(scores, pa.float64())
-            yield pa.RecordBatch.from_arrays(list(col.values()), names=list(col))
-
-    return run
-
+def word_counts(texts: DataFrame, column: str) -> DataFrame:
+    """(w, n) of every word of all texts; seed words at least twice."""
+    w = texts.select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace(F.col(column), "<[^>]*>", " ")), F.lit(r"[\p{L}]+"), F.lit(0))).alias("w"))
+    counts = w.groupBy("w").agg(F.count("*").alias("n"))
+    seeds = texts.sparkSession.createDataFrame([(s, 2) for s in SEED_WORDS], "w string, n long")
+    return materialise(counts.union(seeds).groupBy("w").agg(F.max("n").alias("n")), "words")
 
-def lexicon(texts: DataFrame, column: str, words: int = LEXICON_WORDS) -> dict[str, int]:
-    """Counts of the most frequent words over all texts, and of the seed words (once more than the least).
 
-    All words are counted and the counts written once. A histogram of them, in
-    steps of a hundredth, finds the count above which at most ``words`` lie, so
-    that only those go to the driver, whatever the number of partitions.
-    """
-    w = texts.select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace(F.col(column), "<[^>]*>", " ")), F.lit(r"[\p{L}]+"), F.lit(0))).alias("w"))
-    counts = materialise(w.filter(F.length("w") <= MAX_WORD).groupBy("w").agg(F.count("*").alias("n")), "words")
-    step = F.floor(F.log2("n") * 64)
-    steps = sorted(((r.s, r.c) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect()), reverse=True)
-    held, least_step = 0, None
-    for s, c in steps:
-        if held + c > words:
-            break
-        held, least_step = held + c, s
-    out = {r.w: r.n for r in counts.filter(step >= least_step).collect()} if least_step is not None else {}
-    least = min(out.values(), default=1) + 1
-    return out | {s: max(out.get(s, 0), least) for s in SEED_WORDS}
+def segmented(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(part, words) of distinct parts, by the counts of all words that occur in them."""
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    known = parts.mapInArrow(_substrings, "part string, w string").join(counts, "w").groupBy("part").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    return parts.join(known, "part", "left").select("part", "known").mapInArrow(_segmented(total), "part string, words array<string>")
 
 
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, threshold: float = 0.0) -> DataFrame:
@@ -169,26 +142,33 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     The verdict is the rule's. Without a rule it is "block" where the log odds
     of naive Bayes exceed ``threshold``, else "allow". Words of all page texts
-    and tokens of all URLs are counted in Spark; the driver gets the most
-    frequent words and a table of fixed size. A null url or one without
-    ``://`` has an empty host and path, no score, and is allowed; repeated rows
-    each get a row; an empty table gives none; other columns are not read.
+    and tokens of all URLs are counted and joined in Spark; the driver gets
+    totals alone. A null url or one without ``://`` has an empty host and
+    path, no score, and is allowed; repeated rows each get a row; an empty
+    table gives none; other columns are not read.
     """
-    spark = pages.sparkSession
     d = narrow(pages, id_col, url_col, html_col)
-    urls = d.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    words = lexicon(d, html_col)
-    known = spark.sparkContext.broadcast(words)
-    learnt = urls.filter("host <> ''").select("host", "path").mapInArrow(_learn(known), "label int, b int, n long")
-    every = np.zeros((2, BUCKETS + 1))
-    for r in learnt.groupBy("label", "b").agg(F.sum("n").alias("n")).collect():
-        every[r.label, r.b] = r.n
-    counts, urls_of = every[:, :BUCKETS], every[:, BUCKETS]
-    seen = max(1, np.count_nonzero(counts.sum(axis=0)))  # the vocabulary that add-one smoothing spreads over
-    log_p = np.log((counts + 1) / (counts.sum(axis=1, keepdims=True) + seen))
-    model = spark.sparkContext.broadcast((words, log_p[1] - log_p[0], float(np.log((urls_of[1] + 1) / (urls_of[0] + 1)))))
-    ruled = urls.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
-    id_type = urls.schema[id_col].dataType.simpleString()
-    scored = ruled.mapInArrow(_score(model), f"`{id_col}` {id_type}, host string, path string, rule string, score double")
+    urls = d.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    named = urls.filter("host <> ''")
+    keys = materialise(named.groupBy("host", "path").agg(F.count("*").alias("m")).withColumn("k", F.monotonically_increasing_id()), "urls")
+    parts = materialise(keys.select("k", "host", "path").mapInArrow(_parts, "k long, mark string, part string"), "url-parts")
+    words = materialise(segmented(parts.select("part").distinct(), word_counts(d, html_col)), "url-words")
+    tokens = materialise(parts.join(words, "part").select("k", "mark", F.explode("words").alias("w")).groupBy("k", "mark", "w").agg(F.count("*").alias("c")), "url-tokens")
+    found = F.collect_set(F.when(F.col("w").isin(*SEED_WORDS), F.col("w")))
+    strong = F.max((F.col("w").isin(*SEED_WORDS) & ~F.col("w").isin(*WEAK_SEEDS)).cast("int"))
+    labels = tokens.groupBy("k").agg(F.greatest(strong, (F.size(found) > 1).cast("int")).alias("label"))
+    known = materialise(keys.select("k", "m").join(labels, "k", "left").select("k", "m", F.coalesce("label", F.lit(0)).alias("label")), "url-labels")
+    n, bad = (x or 0 for x in known.agg(F.sum("m"), F.sum(F.col("m") * F.col("label"))).first())
+    times = F.col("c") * F.col("m")
+    counts = materialise(tokens.join(known, "k").groupBy("mark", "w").agg(F.sum(times * F.col("label")).alias("n1"), F.sum(times * (1 - F.col("label"))).alias("n0")), "url-counts")
+    seen, all1, all0 = (x or 0 for x in counts.agg(F.count("*"), F.sum("n1"), F.sum("n0")).first())
+    seen = max(1, seen)  # the vocabulary that add-one smoothing spreads over
+    odds = F.log((F.col("n1") + 1) / F.lit(float(all1 + seen))) - F.log((F.col("n0") + 1) / F.lit(float(all0 + seen)))
+    sums = tokens.join(counts.select("mark", "w", odds.alias("odds")), ["mark", "w"]).groupBy("k").agg(F.sum(F.col("c") * F.col("odds")).alias("s"))
+    score = F.round(F.lit(math.log((bad + 1) / (n - bad + 1))) + F.coalesce("s", F.lit(0.0)), 9)  # sums differ by their order
+    by_url = keys.join(sums, "k", "left").select("host", "path", score.alias("score"))
+    scored = named.join(by_url, ["host", "path"], "left").select("_id", "host", "path", "score")
+    scored = scored.union(urls.filter("host = ''").select("_id", "host", "path", F.lit(None).cast("double")))
+    ruled = scored.select(F.col("_id").alias(id_col), "host", "path", rule_for(F.col("host"), F.col("path"), rules).alias("rule"), "score")
     by_rule = F.create_map(*[F.lit(x) for r in rules for x in r])[F.col("rule")] if rules else F.lit(None).cast("string")
-    return scored.withColumn("verdict", F.coalesce(by_rule, F.when(F.col("score") > threshold, "block").otherwise("allow")))
+    return ruled.withColumn("verdict", F.coalesce(by_rule, F.when(F.col("score") > threshold, "block").otherwise("allow")))
