@@ -70,7 +70,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 word = sum(b[k + j : len(b) - _GRAM + 1 + k + j].astype(np.uint64) << np.uint64(8 * j) for j in range(8))
                 h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-            pick = np.flatnonzero((h & np.uint64(3) == 0) & (within[: len(h)] >= _GRAM))  # a quarter, by content
+            pick = np.flatnonzero(within[: len(h)] >= _GRAM)  # all windows within a text
             key = h[pick] ^ doc[piece[pick]].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
             again = np.bincount(piece[pick], times[inverse] > 1, n)
