@@ -8,6 +8,8 @@ learnt together from document labels alone, in numpy.
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +23,8 @@ from ._common import as_bytes, materialise, narrow
 #: Bytes of a passage; the last one of a text may be shorter.
 PASSAGE = 512
 BUCKETS = 1024
-#: Labelled documents that are learnt from at most, and passages of each (evenly over its text).
-TRAIN_DOCS, TRAIN_PASSAGES = 3000, 32
+#: Labelled documents that are learnt from at most, each with all its passages.
+TRAIN_DOCS = 3000
 THRESHOLD = 0.3
 #: Bytes of text that are encoded at once.
 STEP = 2_000_000
@@ -123,7 +125,7 @@ class Model:
         return {"E": grams.T @ dh, "S": f["s"].T @ dh, "b": dh.sum(axis=0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ de, "c": f["z"].T @ dy, "d": dy.sum(keepdims=True)}
 
 
-def fit(grams: np.ndarray, stats: np.ndarray, doc: np.ndarray, label: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
+def fit(grams: np.ndarray | _Stored, stats: np.ndarray, doc: np.ndarray, label: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
     """Adam on the log loss of documents; ``doc`` ascends."""
     model = Model.new(stats, seed=seed)
     first = np.searchsorted(doc, np.arange(len(label) + 1))
@@ -158,36 +160,53 @@ def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
-def _examples(keep: int):
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, shares and ratios of the passages) of each document to learn from."""
+    for batch in batches:
+        ids, labels, done = batch.column(0), batch.column(1).to_pylist(), 0
+        for part in _parts(as_bytes(batch.column(2))):
+            grams, stats, doc = passages(part)
+            at = np.searchsorted(doc, np.arange(len(part) + 1))
+            g = [np.round(grams[a:b] * 255).astype(np.uint8).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            s = [stats[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([ids.slice(done, len(part)), pa.array(labels[done : done + len(part)], pa.int32()), pa.array(g, pa.binary()), pa.array(s, pa.binary())], names=["d", "label", "grams", "stats"])
+            done += len(part)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, labels, done = batch.column(0), batch.column(1).to_pylist(), 0
-            for part in _parts(as_bytes(batch.column(2))):
-                grams, stats, doc = passages(part)
-                rows = []
-                for i in range(len(part)):
-                    a, b = np.searchsorted(doc, [i, i + 1])
-                    some = np.unique(np.linspace(a, b - 1, min(keep, b - a)).astype(int))
-                    rows.append((np.round(grams[some] * 255).astype(np.uint8).tobytes(), stats[some].tobytes()))
-                g, s = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([ids.slice(done, len(part)), pa.array(labels[done : done + len(part)], pa.int32()), pa.array(g, pa.binary()), pa.array(s, pa.binary())], names=["d", "label", "grams", "stats"])
-                done += len(part)
 
-    return run
+@dataclass
+class _Stored:
+    """Trigram shares of passages in a file, read a batch at a time."""
 
+    data: np.ndarray
+    order: np.ndarray
 
-def learn(examples: DataFrame, keep: int = TRAIN_PASSAGES) -> Model | None:
-    """Fits on rows (d long, label int, t text), at most ``TRAIN_DOCS`` of them; None without any."""
-    rows = examples.mapInArrow(_examples(keep), "d long, label int, grams binary, stats binary").collect()
-    rows = sorted(rows, key=lambda r: (r.d, r.grams))
-    if not rows:
-        return None
-    grams = [np.frombuffer(r.grams, np.uint8).reshape(-1, BUCKETS) for r in rows]
-    stats = np.concatenate([np.frombuffer(r.stats, np.float32).reshape(-1, N_STATS) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
-    return fit(np.concatenate(grams).astype(np.float32) / 255, stats, doc, np.array([r.label for r in rows], np.float32))
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        return self.data[self.order[rows]].astype(np.float32) / 255
+
+
+def learn(examples: DataFrame) -> Model | None:
+    """Fits on rows (d long, label int, t text), on all passages of each; None without any.
+
+    The encoded passages are written, and go through a file of the driver, so
+    that long texts don't fill its memory.
+    """
+    rows = materialise(examples.mapInArrow(_examples, "d long, label int, grams binary, stats binary"), "examples")
+    docs, stats, n = [], [], 0
+    with tempfile.TemporaryFile() as file:
+        for r in rows.toLocalIterator():
+            file.write(r.grams)
+            own = np.frombuffer(r.stats, np.float32).reshape(-1, N_STATS)
+            docs.append((r.d, hashlib.blake2b(r.grams).digest(), r.label, n, len(own)))
+            stats.append(own)
+            n += len(own)
+        if not docs:
+            return None
+        file.flush()
+        docs.sort()
+        order = np.concatenate([np.arange(start, start + size) for *_, start, size in docs])
+        doc = np.repeat(np.arange(len(docs)), [size for *_, size in docs])
+        grams = _Stored(np.memmap(file, np.uint8, "r", shape=(n, BUCKETS)), order)
+        return fit(grams, np.concatenate(stats)[order], doc, np.array([x[2] for x in docs], np.float32))
 
 
 def _scores(shared):
@@ -216,7 +235,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """A row per document: held_out, score, predicted.
 
     Learns from at most ``train_docs`` labelled documents that are not held
-    out, picked by a hash of their id, so the driver's share is bounded; their
+    out, picked by a hash of their id, and from all passages of each; their
     ids are broadcast. Then every whole text is scored, a passage at a time.
     Only the text enters a score. A null or empty text is one empty passage; a
     null id is not held out and has no label; labels that are null are left

@@ -19,3 +19,17 @@ def test_every_window_counts():
         text = bytes(rng.integers(97, 123, size).tolist())
         text += text[:16]
         assert np.allclose(M.passages([b"x" * 30, text, b"y" * 40])[1][1:-1, 8], plain_repeats(text))
+
+
+def test_long_texts_are_learnt_whole(spark, monkeypatch):
+    seen = {}
+
+    def fit(grams, stats, doc, label):
+        seen.update(grams=grams[np.arange(len(doc))], stats=stats, n=np.bincount(doc).tolist(), label=label.tolist())
+
+    monkeypatch.setattr(M, "fit", fit)
+    texts = ["short", "word " * 10_000]
+    M.learn(spark.createDataFrame([(2, 1, texts[1]), (1, 0, texts[0])], "d long, label int, t string"))
+    grams, stats, _ = M.passages([t.encode() for t in texts])
+    assert seen["n"] == [1, 98] and seen["label"] == [0, 1]
+    assert np.allclose(seen["stats"], stats) and np.allclose(seen["grams"], grams, atol=0.003)
