@@ -141,14 +141,15 @@ def _matches(pattern: str, group: int):
     return find
 
 
-def mentions(docs: DataFrame, most_chars: int = 15000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mentions(docs: DataFrame, most_chars: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, mention_id, label, text, start, end, sentence) by patterns.
 
     The document's name gives a CONTRACT; dates, organisations, contract titles
-    and jurisdictions are found in the first ``most_chars`` characters, equal
-    ones at one place once.
+    and jurisdictions are found in the whole text, or in its first
+    ``most_chars`` characters, equal ones at one place once.
     """
-    head = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, most_chars)
+    head = F.coalesce(F.col(text_col), F.lit(""))
+    head = head if most_chars is None else F.substring(head, 1, most_chars)
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), head.alias("head"))
     kinds = (
         ("EFFECTIVE_DATE", fixed.LONG_DATE, 0),

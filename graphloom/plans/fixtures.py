@@ -1,5 +1,7 @@
 """Small inputs written for the patterns that the tables do not hold."""
 
+from .registry import table
+
 MENTIONS = [
     (1, "Acme Widgets, Inc.", "PARTY", "a.txt"),
     (2, "ACME WIDGETS INC", "PARTY", "b.txt"),
@@ -52,3 +54,9 @@ DOCUMENTS = [
     ("Gamma License.txt", "GAMMA SOFTWARE LICENSE\nGamma Software Corp. grants to Delta Systems Ltd. a license dated as of January 15, 2020. The parties meet in Ohio. It is seated in Ohio."),
     ("empty.txt", ""),
 ]
+
+
+def with_documents(spark, sf_dir):
+    """(doc_id, text) of the whole documents table and of DOCUMENTS."""
+    own = spark.createDataFrame(DOCUMENTS, "doc_id string, text string")
+    return table(spark, sf_dir, "documents").selectExpr("string(doc_id) AS doc_id", "text").union(own)

@@ -272,8 +272,8 @@ def bio_encode_overlap(spark, sf_dir):
 
 @query()
 def extracted_mentions(spark, sf_dir):
-    """EXP2 over the fixture of documents."""
-    return extract.mentions(spark.createDataFrame(fixtures.DOCUMENTS, "doc_id string, text string"))
+    """EXP2 over all documents and the fixture."""
+    return extract.mentions(fixtures.with_documents(spark, sf_dir))
 
 
 @query(
@@ -290,8 +290,8 @@ def context_windows(spark, sf_dir):
 
 @query()
 def relation_pairs(spark, sf_dir):
-    """EXP10, JOI6, JOI7 and JOI17: names in one sentence and the words between them, over the fixture of documents."""
-    d = spark.createDataFrame(fixtures.DOCUMENTS, "doc_id string, text string")
+    """EXP10, JOI6, JOI7 and JOI17: names in one sentence and the words between them, over all documents and the fixture."""
+    d = fixtures.with_documents(spark, sf_dir)
     names = extract.mentions(d).select("doc_id", F.col("text").alias("name"), "label")
     spans = extract.occurrences(d, names).select("doc_id", F.col("name").alias("text"), "label", "start", "end")
     s = extract.sentence_spans(d)

@@ -179,9 +179,8 @@ def prf_eval(spark, sf_dir):
 
 @query()
 def contract_graph(spark, sf_dir):
-    """EXP2, entity resolution, pattern relations and the two-tier check over the fixture of documents."""
-    docs = spark.createDataFrame(fixtures.DOCUMENTS, "doc_id string, text string")
-    m = materialise(extract.mentions(docs), "mentions")
+    """EXP2, entity resolution, pattern relations and the two-tier check over all documents and the fixture."""
+    m = materialise(extract.mentions(fixtures.with_documents(spark, sf_dir)), "mentions")
     e = resolve.resolve(m.select(F.col("mention_id").alias("id"), "text", "label", F.col("doc_id").alias("filename")))
     linked = materialise(e.select("entity_id", "canonical", F.explode("mention_ids").alias("mention_id")), "entities")
     return triples.two_tier(triples.rule_relations(m, linked))
