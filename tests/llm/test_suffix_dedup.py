@@ -63,6 +63,35 @@ def test_hot_passage_over_many_blocks_and_buckets(spark):
     compare(spark, texts, block_bytes=4000)
 
 
+def test_removed_joins_what_touches_but_no_texts():
+    runs = np.array([(0, 3, 5), (0, 4, 9), (1, 0, 0), (2, 0, 0)], S._RUN)
+    start, end = S.removed(runs, np.array([100, 500, 700, 1000]), np.array([0, 1, 2, 3]), np.array([700, 1300]))
+    assert list(zip(start.tolist(), end.tolist(), strict=True)) == [(91, 297), (500, 700), (700, 900)]
+
+
+def test_near_copies_over_many_buckets_send_a_row_each(spark, monkeypatch):
+    """Contexts near a boundary go out once each, however many of their strings may repeat beyond it."""
+    rng = random.Random(8)
+    base = words(rng, 120).split()
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for k in rng.sample(range(len(w)), 3):
+            w[k] = words(rng, 1)
+        texts.append(" ".join(w))
+    written, put = {}, S.materialise
+    monkeypatch.setattr(S, "materialise", lambda df, what: written.setdefault(what, put(df, what)))
+    monkeypatch.setattr(S, "SUFFIX_BUCKET", 40)
+    compare(spark, texts, block_bytes=3000)
+    assert 0 < written["suffix-verdicts"].filter("key is not null").count() <= written["suffixes"].filter("ctx >= 0").count()
+
+
+def test_a_block_that_differs_on_a_retry_is_an_error(spark, tmp_path):
+    with pytest.raises(ValueError, match="not the block"):
+        S.put(f"file://{tmp_path}/b", b"other")
+        S._load(f"file://{tmp_path}/b", check=1)
+
+
 def test_against_brute_force(spark, sf_dir):
     docs = sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     got = compare(spark, [r.text for r in docs])
