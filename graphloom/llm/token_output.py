@@ -18,6 +18,7 @@ import string
 import struct
 import uuid
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -109,75 +110,131 @@ def _byte_letters() -> str:
 class Encoder:
     """Token ids of texts.
 
-    A text is parted at its spaces, and what stands between two is encoded by
-    the library's model once and remembered. Texts where that is not exact
-    (code points beyond the compared ones, special strings) go to the library whole.
+    A text is parted at its spaces and what stands between two into pre-tokens,
+    of which each is encoded by the library's model once and remembered. New
+    ones go to the model many at a time: where no piece of the vocabulary has a
+    letter and a space behind it, or a zero byte beside anything, words joined
+    by spaces and others joined by zero bytes stay apart. Texts where that is not exact (code points beyond the compared ones,
+    special strings) go to the library whole.
     """
 
     def __init__(self, tokenizer: str):
-        self.tokenizer, self.memo = load(tokenizer), {}
+        self.tokenizer = load(tokenizer)
+        #: Ids of words behind a space, with or without marks at their end, and of other pre-tokens.
+        self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.model, self.special = self.tokenizer.model, special_strings(self.tokenizer)
-        self.model._resize_cache(0)  # words come here once; the memory above serves the rest
-        letters = _byte_letters()
-        self.letters, self.space = str.maketrans({chr(b): c for b, c in enumerate(letters)}), letters[32]
-        self.marks: dict[str, bytes] = {}
-
-    def _ids(self, piece: str) -> bytes:
-        """Ids of one pre-token."""
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: str) -> bytes:
-        """Ids of letters behind a space, which are one pre-token."""
-        if (known := self.memo.get(word)) is not None:
-            return known
-        if not word.isascii():
-            return self._ids(" " + word)
-        ids = [t.id for t in self.model.tokenize(self.space + word)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _spaced(self, word: str) -> bytes:
-        """Ids of what follows a space, up to the next one."""
-        core = word.rstrip(string.punctuation)
-        if not core.isalpha():
-            return self._pieces(" " + word)
-        if core == word:
-            return self._word(word)
-        tail = word[len(core) :]  # marks alone, so one pre-token
-        if (ids := self.marks.get(tail)) is None:
-            ids = self._ids(tail)
-            if len(self.marks) < MEMO:
-                self.marks[tail] = ids
-        return self._word(core) + ids
-
-    def _pieces(self, text: str) -> bytes:
-        return b"".join(map(self._ids, BYTE_BPE.findall(text)))
-
-    def _known(self, words: list[str]) -> list[bytes]:
-        """Ids of each word behind a space."""
-        get, out, new = self.memo.get, [], []
-        for w in words:
-            if (ids := get(w)) is None:
-                self.memo[w] = ids = self._spaced(w)
-                new.append(w)
-            out.append(ids)
-        if len(self.memo) > MEMO:
-            for w in new:
-                del self.memo[w]
-        return out
+        self.model._resize_cache(0)  # pre-tokens come here once; the memory above serves the rest
+        self.letters = _byte_letters()
+        zero, space = self.letters[0], self.letters[32]
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # pieces that begin with a space
+        self.spaced[[i for t, i in vocabulary.items() if t[0] == space]] = True
+        self.zero = vocabulary.get(zero)
+        inner = [t for t in vocabulary if space in t.lstrip(space) or (zero in t and t != zero)]
+        apart = not any(self._joins_letters(t) for t in inner)
+        self.together = 512 if apart and self.zero is not None else 1
+
+    def _joins_letters(self, piece: str) -> bool:
+        """Whether a piece of the vocabulary can hold the end of a word and a space or zero byte behind it."""
+        try:
+            text = bytes(map(self.letters.index, piece)).decode()
+        except ValueError:
+            return True
+        return "\0" in text or any(c.isalpha() for c, following in zip(text, text[1:], strict=False) if following == " ")
+
+    def _ids(self, text: str) -> np.ndarray:
+        """Ids of one pre-token, or of joined ones."""
+        return np.array([t.id for t in self.model.tokenize(charmap_decode(text.encode(), "strict", self.letters)[0])], "<u4")
+
+    def _learn(self, words: list[str], pieces: list[str]) -> None:
+        """Remembers words that stand behind a space and other pre-tokens."""
+        for k in range(0, len(words), self.together):
+            part = words[k : k + self.together]
+            ids = self._ids(" " + " ".join(part))
+            at = 4 * np.flatnonzero(self.spaced[ids]) if len(part) > 1 else np.zeros(1, int)
+            self._keep(self.memo, part, ids.tobytes(), at.tolist(), [*at[1:].tolist(), 4 * len(ids)])
+        odd = [p for p in pieces if "\0" in p]
+        plain = [p for p in pieces if "\0" not in p] if odd else pieces
+        for p in odd:
+            self.pieces[p] = self._ids(p).tobytes()
+        for k in range(0, len(plain), self.together):
+            part = plain[k : k + self.together]
+            ids = self._ids("\0".join(part))
+            at = 4 * np.flatnonzero(ids == self.zero) if len(part) > 1 else np.empty(0, int)
+            self._keep(self.pieces, part, ids.tobytes(), [0, *(at + 4).tolist()], [*at.tolist(), 4 * len(ids)])
+
+    @staticmethod
+    def _keep(memo: dict[str, bytes], keys: list[str], ids: bytes, starts: list[int], ends: list[int]) -> None:
+        if len(keys) != len(starts):
+            raise ValueError("pre-tokens did not stay apart")
+        memo.update(zip(keys, [ids[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+
+    def _cut(self, text: str) -> bytes:
+        """Ids of a text whose pre-tokens are known."""
+        return b"".join([self.memo[p[1:]] if p[0] == " " and p[1:].isalpha() else self.pieces[p] for p in BYTE_BPE.findall(text)])
+
+    def _known(self, words: list[str], texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of each word behind a space, and of each text."""
+        memo, pieces = self.memo, self.pieces
+        new: dict[str, None] = {}
+        other: dict[str, None] = {}
+
+        def look(text: str) -> None:
+            for p in BYTE_BPE.findall(text):
+                if p[0] == " " and p[1:].isalpha():
+                    if p[1:] not in memo:
+                        new[p[1:]] = None
+                elif p not in pieces:
+                    other[p] = None
+
+        out = list(map(memo.get, words))
+        tails, rest = [], []
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            w = words[i]
+            if w.isalpha():
+                new[w] = None
+                rest.append(i)
+                continue
+            core = w.rstrip(string.punctuation)
+            if core.isalpha():
+                if core not in memo:
+                    new[core] = None
+                if (tail := w[len(core) :]) not in pieces:  # marks alone, so one pre-token
+                    other[tail] = None
+                tails.append((i, w, core, tail))
+            else:
+                look(" " + w)
+                rest.append(i)
+        for t in texts:
+            look(t)
+        self._learn(list(new), list(other))
+        for i in rest:
+            out[i] = memo[words[i]] if words[i] in new else self._cut(" " + words[i])
+        cut = [self._cut(t) for t in texts]
+        for i, w, core, tail in tails:
+            memo[w] = out[i] = memo[core] + pieces[tail]
+            new[w] = None
+        for known, fresh, most in ((memo, new, MEMO), (pieces, other, MEMO // 4)):
+            if len(known) > most:
+                for w in fresh:
+                    del known[w]
+        return out, cut
 
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a column; words are looked up once a column."""
         texts = as_texts(column)
         out: list = [None] * len(texts)
-        plain = []
+        plain, whole = [], []
         for i, t in enumerate(texts):
             if not safe(t, self.special):
                 out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
             elif ("  " in t or "\n \n" in t or _OTHER_SPACE.search(t)) and _RUN.search(t):
-                out[i] = np.frombuffer(self._pieces(t), "<u4")
+                whole.append(i)
             else:
                 plain.append(i)
+        for i, ids in zip(whole, self._known([], [texts[i] for i in whole])[1], strict=True):
+            out[i] = np.frombuffer(ids, "<u4")
         if not plain:
             return out
         column = column if len(plain) == len(texts) else column.take(pa.array(plain))
@@ -185,10 +242,10 @@ class Encoder:
         offsets = parts.offsets.to_numpy()
         words = parts.values.dictionary_encode()
         index = words.indices.to_numpy(zero_copy_only=False).copy()
-        ids = self._known(words.dictionary.to_pylist())
         first = offsets[:-1]
+        ids, begun = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.values.take(pa.array(first)).to_pylist())
         index[first] = len(ids) + np.arange(len(plain), dtype=np.int32)  # the first word has no space before it
-        ids += [self._pieces(w) for w in parts.values.take(pa.array(first)).to_pylist()]
+        ids += begun
         size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         start, each = np.cumsum(size, dtype=np.int32) - size, size[index]
         upto = np.concatenate([np.zeros(1, np.int32), np.cumsum(each, dtype=np.int32)])  # a column holds under 2**31 ids
