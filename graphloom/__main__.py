@@ -1,14 +1,15 @@
-"""``python -m graphloom run``: from a folder of texts to checked triples."""
+"""``python -m graphloom run``: from a folder of texts to checked triples; ``ask`` answers from them."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import extract, resolve, triples
+from .operators import extract, graph, resolve, retrieve, triples
 from .session import materialise
 from .sources import io
 
@@ -18,15 +19,18 @@ TRIPLE = "subject string, predicate string, object string"
 def run(spark: SparkSession, data_dir: str, out_dir: str, limit: int | None = 25, incremental: bool = False, er_threshold: float = 0.72, min_triple_confidence: float = 0.75, gold: str | None = None) -> dict:
     """Mentions, entities, triples and metrics as JSON folders of ``out_dir``, and the manifest of all documents.
 
-    An incremental run works on new and changed documents and replaces their
-    rows; those of other documents stay.
+    An incremental run extracts from new and changed documents only and replaces
+    their rows; those of other documents stay. Entities are resolved over the
+    mentions of all documents, old and new, since a new mention may join an old
+    entity.
     """
     docs = io.text_folder(spark, data_dir, limit)
     known = io.optional(spark, lambda: spark.read.parquet(f"{out_dir}/manifest"), "path string, sha256 string")
     todo = io.changed(docs, known) if incremental else docs
     todo = materialise(todo.select("doc_id", "path", "text"), "documents")
     m = materialise(extract.mentions(todo), "mentions")
-    e = materialise(resolve.resolve(m.select(F.col("mention_id").alias("id"), "text", "label", F.col("doc_id").alias("filename")), threshold=er_threshold), "entities")
+    kept = materialise(_with_kept(spark, m, f"{out_dir}/mentions", todo.select("doc_id")), "all-mentions") if incremental else m
+    e = materialise(resolve.resolve(kept.select(F.col("mention_id").alias("id"), "text", "label", F.col("doc_id").alias("filename")), threshold=er_threshold), "entities")
     t = materialise(triples.two_tier(triples.rule_relations(m, e.select("entity_id", "canonical", F.explode("mention_ids").alias("mention_id"))), min_triple_confidence), "triples")
     accepted = t.filter("reason is null")
     metrics = {"documents": todo.count(), "mentions": m.count(), "entities": e.count(), "triples": t.count(), "accepted": accepted.count()}
@@ -41,17 +45,38 @@ def run(spark: SparkSession, data_dir: str, out_dir: str, limit: int | None = 25
     return metrics
 
 
+def _with_kept(spark: SparkSession, new: DataFrame, path: str, done: DataFrame) -> DataFrame:
+    """``new`` and the rows at ``path`` of documents that are not ``done`` again."""
+    old = io.optional(spark, lambda: spark.read.schema(new.schema).json(path), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema))
+    return new.unionByName(old.join(done, "doc_id", "left_anti").select(*new.columns))
+
+
 def _put(spark: SparkSession, new: DataFrame, path: str, done: DataFrame, keep: bool) -> None:
     if keep:
-        old = io.optional(spark, lambda: spark.read.schema(new.schema).json(path), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema))
-        new = materialise(new.unionByName(old.join(done, "doc_id", "left_anti").select(*new.columns)), "merged")
+        new = materialise(_with_kept(spark, new, path, done), "merged")
     new.write.mode("overwrite").json(path)
 
 
+def ask(spark: SparkSession, out_dir: str, question: str, k: int = 5) -> str:
+    """Passages and facts for a question from what ``run`` has written, as text; an empty question is an error."""
+    if not question.strip():
+        raise ValueError("an empty question")
+    m = spark.read.json(f"{out_dir}/mentions")
+    said = m.groupBy("doc_id", "sentence").agg(F.array_sort(F.collect_set(F.struct("text", "label"))).alias("entities"))
+    said = said.select(F.xxhash64("doc_id", "sentence").alias("sid"), F.col("sentence").alias("text"), "entities")
+    t = spark.read.json(f"{out_dir}/validated_triples").withColumn("seq", F.monotonically_increasing_id()).withColumnRenamed("predicate", "relation")
+    vertices, edges = graph.build(t)
+    e = retrieve.Engine(materialise(said, "sentences"), vertices, materialise(edges, "edges"))
+    facts = [f"{r['node']} {r['relation']} {r['other']}" for r in e.facts(question).orderBy("node", "rank").collect()]
+    passages = retrieve.render(e.search(question, k).collect())
+    return "\n".join(["Passages:", passages or "none", "Facts:", *(facts or ["none"])])
+
+
 def main() -> None:
     p = argparse.ArgumentParser(prog="graphloom")
-    p.add_argument("command", choices=["run"])
-    p.add_argument("--data-dir", required=True)
+    p.add_argument("command", choices=["run", "ask"])
+    p.add_argument("question", nargs="?", help="for ask; without one, questions are read line by line")
+    p.add_argument("--data-dir")
     p.add_argument("--out-dir", required=True)
     p.add_argument("--limit", type=int, default=25)
     p.add_argument("--incremental", action="store_true")
@@ -59,9 +84,16 @@ def main() -> None:
     p.add_argument("--min-triple-confidence", type=float, default=0.75)
     p.add_argument("--gold")
     a = vars(p.parse_args())
-    del a["command"]
+    command, question = a.pop("command"), a.pop("question")
+    if command == "run" and not a["data_dir"]:
+        p.error("run needs --data-dir")
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
-    print(json.dumps(run(spark, **a)))
+    if command == "run":
+        print(json.dumps(run(spark, **a)))
+        return
+    for line in [question] if question else sys.stdin:
+        if line.strip():
+            print(ask(spark, a["out_dir"], line))
 
 
 if __name__ == "__main__":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where the session sets none (tests, a single machine) is one made.
+    Only where the session sets none and runs on a single machine (a local
+    master) is one made; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
     return sc.getCheckpointDir()
 

@@ -67,9 +67,42 @@ def node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_node_link(vertices: DataFrame, edges: DataFrame, path: str) -> None:
-    """One JSON line per vertex or edge, in files of their own folders, which ``node_link`` of one file can't hold at scale."""
+    """One JSON line per vertex or edge, in files of their own folders, and a line of metadata; ``read_node_link`` reads them back."""
     vertices.write.mode("overwrite").json(f"{path}/nodes")
     edges.withColumnsRenamed({"src": "source", "dst": "target"}).write.mode("overwrite").json(f"{path}/links")
+    counts = vertices.agg(F.count("*").alias("nodes")).join(edges.agg(F.count("*").alias("links")))
+    counts.select(F.lit(True).alias("directed"), F.lit(True).alias("multigraph"), "nodes", "links").write.mode("overwrite").json(f"{path}/metadata")
+
+
+def read_node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges that ``write_node_link`` has written."""
+    e = spark.read.schema("source string, target string, relation string, confidence double, inferred boolean").json(f"{path}/links")
+    e = e.select(F.col("source").alias("src"), F.col("target").alias("dst"), "relation", "confidence", F.coalesce("inferred", F.lit(False)).alias("inferred"))
+    return spark.read.schema("id string, type string").json(f"{path}/nodes"), e
+
+
+def triples_of(spark: SparkSession, path: str, fallback: str | None = None, validated_only: bool = False) -> DataFrame:
+    """Triples of a JSON file that is a list, or holds one under ``triples``, ``validated`` or ``relations``.
+
+    Where ``path`` is missing, ``fallback`` is read; keys may have any of the
+    usual names and incomplete rows go. ``validated_only`` keeps rows whose
+    ``validated`` is true or whose ``validation_status`` is not "rejected".
+    """
+    from ..operators.retrieve import key_variants
+
+    names = ("source", "subject", "head", "canonical1", "entity1", "relation", "predicate", "label", "rel_type", "target", "object", "tail", "canonical2", "entity2", "validation_status")
+    row = ", ".join(f"{n}: string" for n in names) + ", validated: boolean"
+    flat = row.replace(": ", " ")
+    schema = f"{flat}, " + ", ".join(f"{k} array<struct<{row}>>" for k in ("triples", "validated_triples", "relations"))
+    raw = optional(spark, lambda: json_rows(spark, path, schema), schema)
+    if fallback and raw.isEmpty():
+        raw = optional(spark, lambda: json_rows(spark, fallback, schema), schema)
+    own = F.struct(*names, "validated")
+    wrapped = F.coalesce("triples", "validated_triples", "relations")
+    rows = raw.select(F.explode(F.when(wrapped.isNotNull(), wrapped).otherwise(F.array(own))).alias("t")).select("t.*")
+    if validated_only:
+        rows = rows.filter(F.coalesce("validated", F.col("validation_status") != "rejected", F.lit(False)))
+    return key_variants(rows)
 
 
 def escape_xml(c: Column) -> Column:
@@ -100,9 +133,14 @@ def write_graphml(vertices: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def sql_tables(vertices: DataFrame, edges: DataFrame, metrics: dict) -> dict[str, DataFrame]:
-    """Views entities (first type wins), relations and metrics (last value wins) for Spark SQL."""
+    """Views entities, relations and metrics (last value wins) for Spark SQL.
+
+    An entity has its first type by ``seq`` where vertices have that column,
+    else the least of its types.
+    """
     spark = vertices.sparkSession
-    first = vertices.groupBy(F.col("id").alias("name")).agg(F.min("type").alias("type"))
+    kind = F.min_by("type", F.struct("seq", "type")) if "seq" in vertices.columns else F.min("type")
+    first = vertices.groupBy(F.col("id").alias("name")).agg(kind.alias("type"))
     e = edges.select(F.col("src").alias("subject"), "relation", F.col("dst").alias("object"), "confidence", (F.col("inferred") if "inferred" in edges.columns else F.lit(False)).cast("int").alias("inferred"))
     m = spark.createDataFrame([(k, json.dumps(v)) for k, v in flatten(metrics).items()], "name string, value string")
     out = {"entities": first, "relations": e, "metrics": m}

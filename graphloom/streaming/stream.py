@@ -64,11 +64,15 @@ def run_once(stream: DataFrame, key: list[str] | None, what: str, mode: str = "u
 
 
 def ingest(documents: DataFrame, target: str, state: str, key: str = "doc_id") -> None:
-    """Streams documents into versions of a table at ``target``: each batch is upserted into the last one."""
+    """Streams documents into versions of a table at ``target``: each batch is upserted into the last one.
+
+    Of equal keys in a batch the last row in its order stays.
+    """
 
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
+        last = batch.withColumn("_at", F.monotonically_increasing_id()).groupBy(key).agg(F.max_by(F.struct(*batch.columns), "_at").alias("r"))
+        new = last.select("r.*")
         rows = new if epoch == 0 else upsert(spark.read.parquet(f"{target}/v{epoch - 1}"), new, [key])
         rows.write.mode("overwrite").parquet(f"{target}/v{epoch}")
 
