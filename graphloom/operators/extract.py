@@ -26,10 +26,9 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def sentence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sid, start, text) of sentences as they stand, with their mark, so that offsets hold."""
-    parts = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^.\n]+[.\n]*|[.\n]+"), F.lit(0))
-    d = docs.select(id_col, parts.alias("p")).select(id_col, "p", F.posexplode("p").alias("k", "text"))
-    start = F.when(F.col("k") == 0, 0).otherwise(F.length(F.array_join(F.slice("p", 1, F.col("k")), "")))
-    return d.select(id_col, (F.col("k") + 1).alias("sid"), start.alias("start"), "text")
+    parts = _matches(r"[^.\n]+[.\n]*|[.\n]+", 0)(F.col(text_col))
+    d = docs.select(id_col, F.posexplode(parts).alias("k", "m"))
+    return d.select(id_col, (F.col("k") + 1).alias("sid"), F.col("m.start").alias("start"), F.col("m.value").alias("text"))
 
 
 def chunks(docs: DataFrame, size: int = 10, overlap: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,9 +84,10 @@ def bio_decode(tagged: DataFrame) -> DataFrame:
 def bio_encode(lines: DataFrame, spans: DataFrame, overlap: bool = False) -> DataFrame:
     """(sid, pos, word, tag) from lines (sid, t) and spans (sid, a, b, label); the first span that fits wins."""
     parts = F.split("t", " ")
-    w = lines.filter("t <> ''").select("sid", parts.alias("p")).select("sid", "p", F.posexplode("p").alias("i", "word"))
-    start = F.length(F.array_join(F.slice("p", 1, F.col("i")), " ")) + F.when(F.col("i") > 0, 1).otherwise(0)
-    w = w.select("sid", (F.col("i") + 1).alias("pos"), "word", F.when(F.col("i") == 0, 0).otherwise(start).alias("ws"))
+    w = lines.filter("t <> ''").select("sid", F.posexplode(parts).alias("i", "word"))
+    before = Window.partitionBy("sid").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).cast("int")
+    w = w.select("sid", (F.col("i") + 1).alias("pos"), "word", start.alias("ws"))
     end = F.col("ws") + F.length("word")
     fits = (F.col("ws") < F.col("b")) & (end > F.col("a")) if overlap else (F.col("ws") >= F.col("a")) & (end <= F.col("b"))
     j = w.join(spans.withColumnRenamed("sid", "_sid"), (F.col("sid") == F.col("_sid")) & fits, "left")
@@ -141,6 +141,23 @@ def _matches(pattern: str, group: int):
     return find
 
 
+def _places(text: Column, name: Column) -> Column:
+    """Where a name stands in a text, without overlaps."""
+
+    @F.pandas_udf("array<int>")
+    def find(texts: pd.Series, names: pd.Series) -> pd.Series:
+        out = []
+        for t, n in zip(texts, names, strict=True):
+            at, own = t.find(n), []
+            while at >= 0:
+                own.append(at)
+                at = t.find(n, at + len(n))
+            out.append(own)
+        return pd.Series(out)
+
+    return find(text, name)
+
+
 def mentions(docs: DataFrame, most_chars: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, mention_id, label, text, start, end, sentence) by patterns.
 
@@ -181,10 +198,7 @@ def occurrences(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_
     Every occurrence counts; ``first_only`` keeps the first of each.
     """
     d = docs.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).join(names.dropDuplicates([id_col, "name", "label"]).filter("name <> ''"), id_col)
-    parts = F.split(F.col("t"), F.concat(F.lit("\\Q"), F.lower("name"), F.lit("\\E")), -1)
-    d = d.withColumn("p", parts).filter(F.size("p") > 1)
-    size = F.length("name")
-    d = d.select(id_col, "name", "label", "p", size.alias("n"), F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"))
-    start = F.length(F.array_join(F.slice("p", 1, F.col("k")), "")) + (F.col("k") - 1) * F.col("n")
-    out = d.select(id_col, "name", "label", start.alias("start"), (start + F.col("n")).alias("end"), "k")
-    return (out.filter("k = 1") if first_only else out).drop("k")
+    found = _places(F.col("t"), F.lower("name"))
+    found = F.slice(found, 1, 1) if first_only else found
+    d = d.select(id_col, "name", "label", F.explode(found).alias("start"))
+    return d.select(id_col, "name", "label", "start", (F.col("start") + F.length("name")).alias("end"))

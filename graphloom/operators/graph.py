@@ -89,10 +89,16 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4) -> Dat
     return found.filter("source <> target").select("source", "target", "hops", F.array_join("path", " > ").alias("path"))
 
 
+#: Neighbours of a hub that one task pairs with as many others.
+SIDE = 2000
+
+
 def pair_features(edges: DataFrame, vertices: DataFrame, of_type: str | None = None) -> DataFrame:
     """Topology of each pair that shares a neighbour or has an edge, as if its own edge were not there.
 
-    Only such pairs are made (others have all features zero). An own edge
+    Only such pairs are made (others have all features zero). The pairs around a
+    hub are dealt out in squares of ``SIDE`` neighbours, so no task holds them
+    all. Edges with a null end and empty tables give no pairs. An own edge
     takes one off both degrees and each end off the other's neighbours, in
     closed form. ``of_type`` keeps pairs of one vertex type.
     """
@@ -101,8 +107,12 @@ def pair_features(edges: DataFrame, vertices: DataFrame, of_type: str | None = N
     deg = adjacent.groupBy("node").agg(F.count("*").alias("deg"))
     ends = adjacent.join(vertices.filter(F.col("type") == of_type).select(F.col("id").alias("node")), "node", "left_semi") if of_type else adjacent
     via = ends.join(deg.select(F.col("node").alias("nbr"), F.col("deg").alias("via")), "nbr")
+    parts = F.ceil(F.col("via") / SIDE).cast("long")
+    via = via.withColumn("own", F.pmod(F.xxhash64("node"), parts)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    left = via.select("nbr", F.col("own").alias("i"), F.col("with").alias("j"), F.col("node").alias("u"), "via")
+    right = via.select("nbr", F.col("with").alias("i"), F.col("own").alias("j"), F.col("node").alias("v"))
     common = (
-        via.select("nbr", F.col("node").alias("u"), "via").join(ends.select("nbr", F.col("node").alias("v")), "nbr").filter("u < v").groupBy("u", "v").agg(
+        left.join(right, ["nbr", "i", "j"]).filter("u < v").groupBy("u", "v").agg(
             F.count("*").alias("common"), F.sum(F.when(F.col("via") > 1, 1 / F.log("via")).otherwise(0.0)).alias("adamic_adar"), F.sum(1 / F.col("via")).alias("resource_allocation")
         )
     )
@@ -147,7 +157,11 @@ def add_inferred(edges: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def facts(edges: DataFrame, entities: DataFrame, preferred: list[str] | None = None, most: int = 5) -> DataFrame:
-    """The first facts of each entity (node): those of preferred relations, then by confidence."""
+    """The first facts of each entity (node): those of preferred relations, then by confidence.
+
+    Spark keeps the first ``most`` of a node in each map task before it
+    shuffles (window group limit), so a hub's edges do not meet in one task.
+    """
     liked = F.lower("relation").rlike("|".join(preferred)) if preferred else F.lit(False)
     f = both_ways(edges).join(entities.select("node").distinct(), "node").withColumn("preferred", liked)
     order = Window.partitionBy("node").orderBy(F.desc("preferred"), F.desc(F.coalesce("confidence", F.lit(0.0))), "relation", "other")

@@ -54,11 +54,12 @@ def link(mentions: DataFrame, kb: DataFrame, top: int = 20, threshold: float = 0
 
 def link_report(linked: DataFrame) -> DataFrame:
     """Per label: total, linked, changed, rate and three examples."""
-    ex = F.slice(F.array_sort(F.collect_set(F.when(F.col("changed"), F.concat("text", F.lit(" -> "), "canonical")))), 1, 3)
+    ex = linked.filter("changed").select("label", F.concat("text", F.lit(" -> "), "canonical").alias("ex")).distinct()
+    ex = ex.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("ex"))).filter("k <= 3")
+    ex = ex.groupBy(F.col("label").alias("_l")).agg(F.array_join(F.array_sort(F.collect_list("ex")), "; ").alias("examples"))
     n = F.count("*")
-    return linked.groupBy("label").agg(
-        n.alias("total"), F.count_if("linked").alias("linked"), F.count_if("changed").alias("changed"), F.round(F.count_if("linked") / n, 6).alias("rate"), F.array_join(ex, "; ").alias("examples")
-    )
+    counts = linked.groupBy("label").agg(n.alias("total"), F.count_if("linked").alias("linked"), F.count_if("changed").alias("changed"), F.round(F.count_if("linked") / n, 6).alias("rate"))
+    return counts.join(ex, F.col("label").eqNullSafe(F.col("_l")), "left").select("label", "total", "linked", "changed", "rate", F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def block_key(text: Column, label: Column) -> Column:
@@ -88,7 +89,8 @@ def candidate_pairs(reps: DataFrame, max_block: int = 120, neighbours: int = 10)
     """
     r = reps.withColumn("block", block_key(F.col("text"), F.col("label")))
     of = Window.partitionBy("label", "block")
-    r = r.withColumn("size", F.count("*").over(of)).filter(F.col("size") <= max_block).withColumn("rn", F.row_number().over(of.orderBy("rep")))
+    large = r.groupBy("label", "block").agg(F.count("*").alias("size")).filter(F.col("size") > max_block).select(F.col("label").alias("_l"), F.col("block").alias("_b"))
+    r = r.join(large, F.col("label").eqNullSafe(F.col("_l")) & F.col("block").eqNullSafe(F.col("_b")), "left_anti").withColumn("rn", F.row_number().over(of.orderBy("rep")))
     cols = ["rep", "text", "filename"]
     left = r.select("label", "block", F.explode(F.sequence(F.col("rn") + 1, F.col("rn") + neighbours)).alias("rn"), *[F.col(c).alias(f"{c}_a") for c in cols])
     right = r.select("label", "block", "rn", *[F.col(c).alias(f"{c}_b") for c in cols])
@@ -104,6 +106,12 @@ def score_pairs(pairs: DataFrame, gestalt: bool = False, threshold: float = fixe
     return p.withColumn("score", er_probability({k: F.col(k) for k in f})).withColumn("merged", F.col("score") >= threshold)
 
 
+def audit(scored: DataFrame, most: int = 50_000, least: float = 0.45) -> DataFrame:
+    """The first ``most`` scored pairs that merged or score ``least``, by label and ids; without ``most`` (None) all of them."""
+    kept = scored.filter(F.col("merged") | (F.col("score") >= least))
+    return kept if most is None else kept.orderBy("label", "rep_a", "rep_b").limit(most)
+
+
 def resolve(mentions: DataFrame, gestalt: bool = False, threshold: float = fixed.ER_THRESHOLD) -> DataFrame:
     """Entities of mentions (id, text, label, filename).
 

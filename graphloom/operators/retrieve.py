@@ -133,13 +133,19 @@ def match_entities(queries: DataFrame, names: DataFrame, min_core: int = 4) -> D
 
     A name counts where its text stands, longest first, on characters that no
     other has taken; then names without their legal suffix, at word ends. The
-    containment join cuts names down to those that occur; the greedy choice
-    runs on these few, a query at a time.
+    join is on the first ``HEAD`` letters of a name against all letter runs of a
+    query, so no query meets all names; containment then cuts names down to
+    those that occur, and the greedy choice runs on these few, a query at a
+    time. Null queries and names match nothing.
     """
     n = names.filter(is_valid_entity(F.col("name"))).select("name", F.lower("name").alias("full"), F.lower(strip_legal_suffix(F.col("name"))).alias("core")).filter("full <> ''")
     q = queries.select("qid", F.lower("q").alias("q"))
+    heads = n.select("name", "full", "core", F.left("full", F.lit(HEAD)).alias("head"))
+    heads = heads.union(n.filter(F.length("core") >= min_core).select("name", "full", "core", F.left("core", F.lit(HEAD)))).distinct()
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.length("q")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(HEAD)), lambda m: F.substring(F.col("q"), i, m))))
+    at = q.filter("q <> ''").select("qid", "q", F.explode(F.array_distinct(runs)).alias("head"))
     near = F.contains("q", F.col("full")) | ((F.length("core") >= min_core) & F.contains("q", F.col("core")))
-    hits = q.join(n, near)
+    hits = at.join(heads, "head").filter(near).select("qid", "q", "name", "full", "core").distinct()
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         import re
@@ -169,6 +175,10 @@ def match_entities(queries: DataFrame, names: DataFrame, min_core: int = 4) -> D
     return hits.groupBy("qid").applyInPandas(choose, f"qid {queries.schema['qid'].dataType.simpleString()}, name string, step int")
 
 
+#: Letters of a name that are looked up in a query.
+HEAD = 8
+
+
 class Engine:
     """Searches over sentences (sid, text, entities array<struct<text,label>>) and a graph (vertices, edges).
 
@@ -217,7 +227,7 @@ class Engine:
 
     def paths(self, text: str, pairs: int = 6) -> DataFrame:
         """Shortest paths between the first pairs of entities named."""
-        names = sorted(r["name"] for r in self.recognised(text).limit(20).collect())
+        names = sorted(r["name"] for r in self.recognised(text).orderBy("name").limit(20).collect())
         few = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]][:pairs]
         return graph.shortest_paths(self.edges, self.sentences.sparkSession.createDataFrame(few, "source string, target string"))
 
