@@ -199,6 +199,27 @@ def repair_summary(resolved: DataFrame) -> DataFrame:
     )
 
 
+def proxy_metrics(judged: DataFrame) -> DataFrame:
+    """Without gold data: mean confidence of what passed as precision, the share that passed as recall, their F1; zeros of an empty table."""
+    good = F.col("reject_reason").isNull()
+    d = judged.agg(F.coalesce(F.avg(F.when(good, F.col("confidence"))), F.lit(0.0)).alias("p"), F.coalesce(F.try_divide(F.count_if(good), F.count("*")), F.lit(0.0)).alias("r"), F.coalesce(F.avg(F.when(~good, F.col("confidence"))), F.lit(0.0)).alias("x"))
+    p, r = F.col("p"), F.col("r")
+    f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+    return d.select(F.round(p, 6).alias("precision_proxy"), F.round(r, 6).alias("recall_proxy"), F.round(f1, 6).alias("f1_proxy"), F.round("x", 6).alias("mean_rejected"))
+
+
+def object_leaks(judged: DataFrame) -> DataFrame:
+    """(relation, subject_type, object_type, n, leak) of what passed; leak where the types do not suit the relation."""
+    n = judged.filter("reject_reason is null").groupBy("relation", "subject_type", "object_type").agg(F.count("*").alias("n"))
+    return n.withColumn("leak", ~type_ok(F.col("relation"), F.col("subject_type"), F.col("object_type")))
+
+
+def by_frequency(rules: DataFrame, most: int = 1000) -> DataFrame:
+    """The ``most`` frequent rules with their rank."""
+    top = rules.orderBy(F.desc("frequency"), "relation", "subject", "object").limit(most)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("frequency"), "relation", "subject", "object")))
+
+
 def reject_bucket(reason: Column) -> Column:
     """The bucket of a reject reason by how it starts."""
     starts = (("empty", "empty_or_self"), ("domain/range", "domain_range"), ("semantic", "semantic_type"), ("confidence", "low_confidence"))

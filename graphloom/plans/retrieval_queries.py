@@ -151,21 +151,29 @@ _ASK = "supply agreement governed ohio ohio"
 _AT = ", ".join(f"'{t}'" for t in _ASK.split())
 
 
-@query(
-    f"""WITH {values("f", "id, s, p, o, ok", _FACTS)}, d AS (SELECT id, ok, list_filter(string_split(lower(s || ' ' || replace(p, '_', ' ') || ' ' || o || '.' || CASE WHEN ok THEN '' ELSE ' [UNVERIFIED]' END), ' '), lambda x: x <> '') AS t FROM f),
+_RETRIEVED = f"""WITH {values("f", "id, s, p, o, ok", _FACTS)}, d AS (SELECT id, ok, list_filter(string_split(lower(s || ' ' || replace(p, '_', ' ') || ' ' || o || '.' || CASE WHEN ok THEN '' ELSE ' [UNVERIFIED]' END), ' '), lambda x: x <> '') AS t FROM f),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM d) GROUP BY 1), w0 AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
 w AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM w0) ELSE raw END AS idf FROM w0), tf AS (SELECT id, ok, len(t) AS l, term, len(list_filter(t, lambda x: x = term)) AS tf FROM d, (SELECT unnest([{_AT}]) AS term)),
 bm AS (SELECT id, ok, sum(coalesce(idf, 0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / avgdl))) AS score FROM tf LEFT JOIN w USING (term), st GROUP BY ALL)
 SELECT id, ok AS validated, round(score, 6) AS score FROM (SELECT * FROM bm ORDER BY round(score, 9) DESC, id LIMIT 5) WHERE score > 0"""
-)
+
+
+@query(_RETRIEVED)
 def fact_retrieval(spark, sf_dir):
-    """SIM15, TXT22 and AGG26: BM25 over facts as sentences."""
+    """SIM15 and TXT22: BM25 over facts as sentences."""
     f = spark.createDataFrame(_FACTS, "id int, s string, p string, o string, ok boolean")
     said = f.select("id", "ok", text.verbalize(F.col("s"), F.col("p"), F.col("o"), F.col("ok")).alias("text"))
     top = retrieve.bm25(said, _ASK.split(), "id", tokens=text.words(F.lower("text"))).orderBy(F.desc(F.round("score", 9)), "id").limit(5).filter("score > 0")
     return top.join(f.select("id", F.col("ok").alias("validated")), "id").select("id", "validated", F.round("score", 6).alias("score"))
 
 
+@query(f"SELECT count(*) FILTER (validated)::BIGINT AS validated, count(*) FILTER (NOT validated)::BIGINT AS unvalidated, count(*)::BIGINT AS retrieved, {len(_FACTS)}::BIGINT AS total FROM ({_RETRIEVED})")
+def retrieved_counts(spark, sf_dir):
+    """AGG26: validated and unvalidated facts among those retrieved, and all there are."""
+    r = fact_retrieval(spark, sf_dir).agg(F.count_if("validated").alias("validated"), F.count_if(~F.col("validated")).alias("unvalidated"), F.count("*").alias("retrieved"))
+    return r.withColumn("total", F.lit(len(_FACTS)).cast("long"))
+
+
 @query()
 def graph_search(spark, sf_dir):
     """The whole search over customers' orders: names, BM25, vectors, fusion and boost."""

@@ -118,12 +118,35 @@ def triple_verdicts(spark, sf_dir):
 @query(f"""WITH {JUDGED} SELECT CASE WHEN reject_reason LIKE 'empty%' THEN 'empty_or_self' WHEN reject_reason LIKE 'domain%' THEN 'domain_range' ELSE 'low_confidence' END AS bucket, relation, count(*)::BIGINT AS n,
 round(avg(confidence), 6) AS mean_confidence FROM judged WHERE reject_reason IS NOT NULL GROUP BY ALL""")
 def reject_buckets(spark, sf_dir):
-    """AGG17 and the leak check of FIL9."""
+    """AGG17."""
     raw = capped(spark, sf_dir)
     v = triples.verdicts(triples.score(raw, triples.induce_rules(raw))).filter("reject_reason is not null")
     return v.groupBy(triples.reject_bucket(F.col("reject_reason")).alias("bucket"), "relation").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
+@query(
+    f"""WITH {JUDGED}, c AS (SELECT coalesce(avg(confidence) FILTER (reject_reason IS NULL), 0) AS p, count(*) FILTER (reject_reason IS NULL) / count(*) AS r, coalesce(avg(confidence) FILTER (reject_reason IS NOT NULL), 0) AS x FROM judged)
+SELECT round(p, 6) AS precision_proxy, round(r, 6) AS recall_proxy, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1_proxy, round(x, 6) AS mean_rejected FROM c"""
+)
+def proxy_metrics(spark, sf_dir):
+    """AGG20."""
+    raw = capped(spark, sf_dir)
+    return triples.proxy_metrics(triples.verdicts(triples.score(raw, triples.induce_rules(raw))))
+
+
+@query(f"WITH {JUDGED} SELECT relation, subject_type, object_type, count(*)::BIGINT AS n, NOT ({_OK('relation', 'subject_type', 'object_type')}) AS leak FROM judged WHERE reject_reason IS NULL GROUP BY ALL")
+def object_leaks(spark, sf_dir):
+    """FIL9: whether a triple of wrong types has passed."""
+    raw = capped(spark, sf_dir)
+    return triples.object_leaks(triples.verdicts(triples.score(raw, triples.induce_rules(raw))))
+
+
+@query(f"WITH {CAPPED}, {RULES} SELECT subject, relation, object, frequency::BIGINT AS frequency, row_number() OVER (ORDER BY frequency DESC, relation, subject, object)::INT AS rank FROM rules")
+def rules_by_frequency(spark, sf_dir):
+    """WIN16."""
+    return triples.by_frequency(triples.induce_rules(capped(spark, sf_dir))).select("subject", "relation", "object", "frequency", "rank")
+
+
 _NEAR = norm_sql(f"regexp_extract(coalesce(w, ''), '{fixed.JURISDICTION_NEAR}', 1)")
 REPAIRED = f"""{JUDGED}, rej AS (SELECT *, {infer_sql("subject", "subject_type")} AS st, {infer_sql("object", "object_type")} AS ot FROM judged WHERE reject_reason IS NOT NULL),
 win AS (SELECT *, CASE WHEN instr(lower(sentence), lower(subject)) > 0 THEN substring(sentence, greatest(1, instr(lower(sentence), lower(subject)) - 80),

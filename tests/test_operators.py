@@ -239,3 +239,71 @@ def test_fresh_table_is_built_once(spark, tmp_path):
     for _ in range(2):
         assert io.fresh_table(spark, str(tmp_path / "t"), [str(src)], build).count() == 3
     assert built == [1]
+
+
+def test_incremental_run_keeps_entities_of_other_documents(spark, tmp_path):
+    from graphloom.__main__ import ask, run
+    from graphloom.plans.fixtures import DOCUMENTS
+
+    texts, out = tmp_path / "texts", str(tmp_path / "out")
+    texts.mkdir()
+    (texts / DOCUMENTS[0][0]).write_text(DOCUMENTS[0][1])
+    run(spark, str(texts), out)
+    before = {r.canonical for r in spark.read.json(f"{out}/entities").collect()}
+    (texts / DOCUMENTS[2][0]).write_text(DOCUMENTS[2][1])
+    run(spark, str(texts), out, incremental=True)
+    after = {r.canonical for r in spark.read.json(f"{out}/entities").collect()}
+    assert before and before < after
+    assert "Facts:" in ask(spark, out, "Who is a party of the supply agreement of Acme Widgets Inc.?")
+    with pytest.raises(ValueError, match="empty"):
+        ask(spark, out, "  ")
+
+
+def test_node_link_files_read_back(spark, tmp_path):
+    from graphloom.sources import io
+
+    v = spark.createDataFrame([("a", "PARTY"), ("b", None)], "id string, type string")
+    e = spark.createDataFrame([("a", "b", "R", 0.5)], "src string, dst string, relation string, confidence double")
+    io.write_node_link(v, e, str(tmp_path / "g"))
+    v2, e2 = io.read_node_link(spark, str(tmp_path / "g"))
+    assert sorted(map(tuple, v2.collect())) == [("a", "PARTY"), ("b", None)] and [tuple(r) for r in e2.collect()] == [("a", "b", "R", 0.5, False)]
+    assert spark.read.json(str(tmp_path / "g/metadata")).first()["links"] == 1
+
+
+def test_triples_of_any_shape(spark, tmp_path):
+    import json
+
+    from graphloom.sources import io
+
+    rows = [{"subject": "a", "predicate": "p", "object": "b", "validated": True}, {"head": "c", "rel_type": "q", "tail": "d", "validation_status": "rejected"}, {"subject": "x"}]
+    (tmp_path / "list.json").write_text(json.dumps(rows))
+    (tmp_path / "wrapped.json").write_text(json.dumps({"triples": rows}))
+    for name in ("list", "wrapped"):
+        assert sorted(map(tuple, io.triples_of(spark, str(tmp_path / f"{name}.json")).collect())) == [("a", "p", "b"), ("c", "q", "d")]
+    assert [tuple(r) for r in io.triples_of(spark, str(tmp_path / "none.json"), str(tmp_path / "list.json"), validated_only=True).collect()] == [("a", "p", "b")]
+
+
+def test_stratified_takes_the_least_hashes_of_each_label(spark):
+    from graphloom.operators import learn
+
+    d = spark.range(5000).selectExpr("id", "CASE WHEN id % 50 = 0 THEN 'rare' WHEN id % 7 = 0 THEN NULL ELSE 'often' END AS label")
+    n = {r.label: r["count"] for r in learn.stratified(d, "label", "id", 200).groupBy("label").count().collect()}
+    assert n == {"rare": 100, "often": 200, None: 200}
+
+
+def test_names_are_found_wherever_they_stand(spark):
+    from graphloom.operators import retrieve
+
+    q = spark.createDataFrame([(1, "xAcme Widgets, Inc. and beta distribution"), (2, None), (3, "")], "qid int, q string")
+    n = spark.createDataFrame([("Acme Widgets, Inc.",), ("Beta Distribution, LLC",), ("Gamma",), (None,)], "name string")
+    assert sorted(map(tuple, retrieve.match_entities(q, n).collect())) == [(1, "Acme Widgets, Inc.", 1), (1, "Beta Distribution, LLC", 2)]
+
+
+def test_pairs_around_a_hub_in_squares(spark, monkeypatch):
+    from graphloom.operators import graph
+
+    e = spark.createDataFrame([(f"s{i}", o) for i in range(30) for o in ("hub", f"o{i % 4}")], "src string, dst string")
+    v = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().withColumn("type", F.lit("T"))
+    whole = sorted(map(tuple, graph.pair_features(e, v).select("u", "v", "common").collect()))
+    monkeypatch.setattr(graph, "SIDE", 7)
+    assert sorted(map(tuple, graph.pair_features(e, v).select("u", "v", "common").collect())) == whole
