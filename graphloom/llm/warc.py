@@ -219,8 +219,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     is never the one referred to if another has one. The groups are counted
     with map-side combine and only those with two rows or more are joined
     back, so a hot payload meets in no single task. A null page is an empty
-    payload. Each attempt writes files of its own; the manifest names those
-    that counted. ``folder`` must be shared by all machines.
+    payload; smaller pages take no part in the join. A payload of any length
+    is one record; an empty table gives an empty manifest. Each attempt writes
+    files of its own; the manifest names those that counted. ``folder`` must be shared by all machines.
     """
     d = narrow(pages, id_col, url_col, html_col)
     d = d.select(F.col(id_col).cast("long").alias("p"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
@@ -228,7 +229,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     large = F.octet_length("payload") >= revisit_bytes
     d = d.withColumn("k", F.when(large, F.sha2("payload", 256)))
     copies = d.filter("k is not null").groupBy("k").agg(F.max("p").alias("first"), F.count("*").alias("n")).filter("n > 1").select("k", "first")
-    rows = d.join(copies, "k", "left").select("p", "url", "payload", "digest", F.when(~F.col("p").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
+    rows = d.filter("k is not null").join(copies, "k", "left").select("p", "url", "payload", "digest", F.when(~F.col("p").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
+    small = d.filter("k is null").select("p", "url", "payload", "digest", F.lit(None).cast("long").alias("refers"))  # no key, so no join
+    rows = rows.union(small)
     m = rows.mapInArrow(_writer(folder, date, package_bytes, zip64), "path string, records long")
     return materialise(m, "warc-manifest")
 
