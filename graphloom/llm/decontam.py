@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, narrow
+from ._common import as_bytes, materialise, narrow
 
 #: Lower-cases A-Z and turns every other ASCII byte that is not a digit into a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 WINDOW = 10
-#: Bytes of benchmark text that one pass holds; more items take more passes.
-BLOCK_BYTES = 64_000_000
+#: Bytes of benchmark text that one pass holds; more items take more passes. Tables take about 80 bytes for each, so 160 MB in a worker.
+BLOCK_BYTES = 2_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -128,9 +128,11 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     """``docs`` with _n (words), _hit (words hit), _spans (flat word intervals hit) and _items (ids of items found).
 
     The benchmark is the query set: its size is counted first, and it is taken
-    in blocks of at most about ``block_bytes``, one broadcast and one scan of
-    the documents each, chained in one stage without a shuffle. Null texts have
-    no words; items without words match nothing; an item without id marks words
+    in blocks of about ``block_bytes``, one broadcast and one scan of the
+    documents each without a shuffle. Passes are written one after another, so
+    that one block's tables are held at a time. Null and empty texts have no
+    words, long ones are searched whole, repeated rows each get a row and an
+    empty table gives none; items without words match nothing; an item without id marks words
     but is not listed; equal ids are listed once. Input columns of
     the new names are replaced.
     """
@@ -141,6 +143,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     blocks = max(1, -(-total // block_bytes))
     out = docs.select("*", F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_hit"), F.expr("cast(array() as array<int>)").alias("_spans"), F.expr("cast(array() as array<string>)").alias("_items"))
     for b in range(blocks):
+        if b:
+            out = materialise(out, "benchmark-pass")
         rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
         shared = spark.sparkContext.broadcast([(r.i, r.t.encode()) for r in sorted(rows, key=lambda r: (r.i or "", r.t))])
         out = out.mapInArrow(_scan(shared, text_col), out.schema)

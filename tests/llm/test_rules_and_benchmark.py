@@ -78,3 +78,11 @@ def test_messy_benchmark(spark, messy, empty):
     assert rows[1].n_items == 1 and rows[3].n_words == 0
     assert D.decontaminate(empty, items).count() == 0
     assert D.decontaminate(messy, items.filter("false")).filter("contaminated").count() == 0
+
+
+def test_passes_over_benchmark_blocks_find_the_same(spark, sf_dir):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    from graphloom.llm import decontam
+
+    one, many = (sorted(map(tuple, decontam.decontaminate(docs, items, **how).collect())) for how in ({}, {"block_bytes": 20_000}))
+    assert one == many
