@@ -235,8 +235,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """A row per document: held_out, score, predicted.
 
     Learns from at most ``train_docs`` labelled documents that are not held
-    out, picked by a hash of their id, and from all passages of each; their
-    ids are broadcast. Then every whole text is scored, a passage at a time.
+    out, picked by a hash of their id, and from all passages of each (of a
+    repeated id from its least text); their ids are broadcast. Then every whole text is scored, a passage at a time.
     Only the text enters a score. A null or empty text is one empty passage; a
     null id is not held out and has no label; labels that are null are left
     out; without labels every score is 0.5; repeated rows each get a row.
@@ -249,7 +249,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     share = min(1.0, 0.95 * train_docs / max(1, l.count()))
     draw = F.pmod(F.xxhash64("d"), F.lit(1 << 30)) < int(share * (1 << 30))  # so that no partition sends many to the driver
     picked = l.filter(draw).orderBy(F.xxhash64("d"), "d").limit(train_docs)
-    model = learn(d.join(F.broadcast(picked), "d").select("d", "label", "t"))
+    examples = d.join(F.broadcast(picked), "d").groupBy("d", "label").agg(F.min("t").alias("t"))  # one row of a repeated id
+    model = learn(examples)
     shared = spark.sparkContext.broadcast(model)
     rows = d.select("d", F.coalesce(held_out(F.col("d")), F.lit(False)).alias("held_out"), "t")
     out = rows.mapInArrow(_scores(shared), "d long, held_out boolean, score double")

@@ -33,3 +33,13 @@ def test_long_texts_are_learnt_whole(spark, monkeypatch):
     grams, stats, _ = M.passages([t.encode() for t in texts])
     assert seen["n"] == [1, 98] and seen["label"] == [0, 1]
     assert np.allclose(seen["stats"], stats) and np.allclose(seen["grams"], grams, atol=0.003)
+
+
+def test_a_repeated_id_is_learnt_from_once(spark, monkeypatch):
+    from graphloom.llm import quality_mil
+
+    seen = []
+    monkeypatch.setattr(quality_mil, "learn", lambda rows: seen.append(rows.count()))
+    docs = spark.createDataFrame([(i % 7, f"text {i}") for i in range(70)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int")
+    assert quality_mil.quality_scores(docs, labels).count() == 70 and seen[0] <= 7
