@@ -58,14 +58,14 @@ def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; null and empty texts stay, repeated rows each stay or go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontam.find_benchmark(_packed(docs), benchmark)
     return _unpacked(found.filter("_hit = 0"), docs.columns)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source and the pieces of each text, which decode to it again."""
+    """doc_id, lang, source and the pieces of each text, which decode to it again; a null text has no pieces, repeated rows each get a row."""
     rows = sentencepiece_codec.encode_texts(_packed(docs))
     kept = [(c, i) for i, c in enumerate(docs.columns) if c in ("doc_id", "lang", "source")]
     own = ("n_bytes", "n_pieces", "n_fallback", "ids_crc32", "decoded_crc32", "round_trip", "pieces")

@@ -1,10 +1,16 @@
-"""Near copies by Jaccard similarity: SimHash and min-wise keys find candidates, whole shingle sets confirm them.
-
-At a similarity of 0.8 two SimHash fingerprints of 64 bits differ in about ten
-bits, which no covering code reaches at a bearable number of copies. So texts
-meet at keys of ``ROWS`` least shingles each; one of ``KEYS`` is shared with a
-probability of 1 - (1 - 0.8^5)^20 = 0.9996. Fingerprints and set sizes thin out
-what meets, and a link is what the exact Jaccard similarity confirms.
+"""Near copies by Jaccard similarity: SimHash anchors and min-wise keys find candidates, whole shingle sets confirm them.
+
+Fingerprints of 64 bits meet by anchor-point covering as in ``simhash``, which
+finds the nearest copies. At a similarity of 0.8 two fingerprints differ in
+about ten bits, which no covering code reaches at a bearable number of copies.
+So texts also meet at keys of ``ROWS`` least shingles each; one of ``KEYS`` is
+shared with a probability of 1 - (1 - 0.8^5)^20 = 0.9996. A link is what the
+exact Jaccard similarity confirms.
+
+First all members of a key are compared with the one that has the most
+company, which joins large groups at a linear cost. Where a key still holds
+different groups, their members are compared by sketches inside the task (the
+least hash of each of ``BINS`` ranges), and only pairs that may be alike go out.
 """
 
 from __future__ import annotations
@@ -18,14 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ._common import as_texts, freed, materialise, narrow, shuffle_partitions
-from .simhash import _BITS, ROWS_A_TASK, SEED
+from ._common import as_texts, freed, groups, materialise, narrow, shuffle_partitions
+from .simhash import _BITS, SEED, near_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
 KEYS, ROWS = 20, 5
-#: Bits that fingerprints of candidates may differ in: five deviations above the mean at 0.8. Sets of under FEW shingles are not judged by theirs.
-DISTANCE, FEW = 24, 16
+#: Ranges of hashes in a sketch.
+BINS = 512
+#: Members of a key that one task compares with as many others.
+SIDE = 4000
 
 _RNG = np.random.default_rng(SEED)
 _MUL = _RNG.integers(0, 1 << 32, (KEYS * ROWS, 1), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -84,74 +92,91 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A byte of the least hash of each range of an ascending set; zero where there is none."""
+    out = np.zeros(BINS, np.uint8)
+    bins = (s >> np.uint64(55)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]])) if len(s) else np.empty(0, np.int64)
+    out[bins[first]] = 1 + (s[first] >> np.uint64(20)) % np.uint64(255)
+    return out.tobytes()
+
+
+def may_be_alike(k: np.ndarray, n: np.ndarray, i: int, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Of ``j`` those whose sets can be that similar to set ``i`` by size and sketch, four deviations of the sample allowed."""
+    less, more = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    j = j[less >= similarity * more - 1e-9]
+    other = k[j]
+    used = np.maximum(1, ((other | k[i]) > 0).sum(axis=1))
+    same = ((other == k[i]) & (other > 0)).sum(axis=1)
+    rest = np.maximum(0, 1 - used * (1 + similarity) / (n[i] + n[j]))  # a sketch that holds the whole set is no sample
+    return j[same / used >= similarity - 4 * np.sqrt(similarity * (1 - similarity) / used * rest) - 0.03]
+
+
+def node(w: list[str]) -> int:
+    """Texts of the same words are one node."""
+    return xxhash.xxh3_64_intdigest(" ".join(w), SEED)
+
+
 def _described(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, n, f, a = [], [], [], []
+            x, n, f, a, k = [], [], [], [], []
             for t in as_texts(batch.column(1)):
                 w = words(t)
                 s = shingles(w, shingle)
-                x.append(xxhash.xxh3_64_intdigest(" ".join(w), SEED))
+                x.append(node(w))
                 n.append(len(s))
                 f.append(fingerprint(s))
                 a.append(keys(s))
-            arrays = [batch.column(0), pa.array(np.array(x, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(f, pa.int64()), pa.array(a, pa.list_(pa.int64())), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["d", "x", "n", "f", "a", "t"])
+                k.append(sketch(s))
+            arrays = [batch.column(0), pa.array(np.array(x, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(f, pa.int64()), pa.array(a, pa.list_(pa.int64())), pa.array(k, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["d", "x", "n", "f", "a", "k"])
 
     return run
 
 
-def _like(f: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether two sets can be that similar, by their sizes and fingerprints."""
-    less, more = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    return (less >= similarity * more - 1e-9) & ((less < FEW) | (np.bitwise_count((f[i] ^ f[j]).view(np.uint64)) <= DISTANCE))
-
-
-def candidates(a: np.ndarray, x: np.ndarray, f: np.ndarray, n: np.ndarray, c: np.ndarray | None, similarity: float, cells: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of candidates: the least of each key with all others; with labels ``c``, all pairs of a key whose labels differ."""
-    order = np.lexsort((x, a))
-    a = a[order]
-    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    end = np.append(first[1:], len(a))
-    if c is None:
-        i, j = np.repeat(order[first], end - first), order
-        ok = (x[i] != x[j]) & _like(f, n, i, j, similarity)
-        yield i[ok], j[ok]
-        return
-    label = c[order]
-    mixed = np.maximum.reduceat(label, first) != np.minimum.reduceat(label, first)
-    for b, e in zip(first[mixed].tolist(), end[mixed].tolist(), strict=True):
-        g = order[b:e]
-        step = max(1, cells // len(g))
-        for k in range(0, len(g), step):
-            h = g[k : k + step]
-            p, q = np.nonzero((c[h][:, None] != c[g][None, :]) & (x[h][:, None] < x[g][None, :]))
-            i, j = h[p], g[q]
-            ok = _like(f, n, i, j, similarity)
-            yield i[ok], j[ok]
-
-
-def _paired(labelled: bool, similarity: float):
+def unlike_labels(x: np.ndarray, n: np.ndarray, k: np.ndarray, c: np.ndarray, side: np.ndarray, a: np.ndarray, own: int, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, places) of members of a key that may be alike and have different labels.
+
+    Those of side 0 meet side 1, those of side 2 each other. ``a`` has the
+    keys of each and ``own`` is the place of this one; a pair counts only at
+    the first key that it shares.
+    """
+    names, count = np.unique(c, return_counts=True)
+    few = c != names[np.argmax(count)]  # members of the largest group meet only those outside
+    for i in np.flatnonzero(few):
+        j = np.flatnonzero((c != c[i]) & np.where(few, x > x[i], True) & ((side == 2) | (side != side[i])))
+        j = j[~(a[j, :own] == a[i, :own]).any(axis=1)]
+        yield i, may_be_alike(k, n, i, j, similarity)
+
+
+def _paired(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)] for b in batches if b.num_rows]
-        if not parts:
-            return
-        a, x, f, n, *c = (np.concatenate(v) for v in zip(*parts, strict=True))
-        for i, j in candidates(a, x, f, n, c[0] if labelled else None, similarity):
-            if len(i):
-                uv = np.unique(np.stack([np.minimum(x[i], x[j]), np.maximum(x[i], x[j])], 1), axis=0)
+        for rows in groups(batches, "cell"):
+            x, n, c, side = (rows[name].to_numpy() for name in ("x", "n", "c", "side"))
+            k = np.frombuffer(b"".join(rows["k"].to_pylist()), np.uint8).reshape(len(x), BINS)
+            a, own = np.array(rows["keys"].to_pylist(), np.int64), rows["place"][0].as_py()
+            pairs = [np.stack([np.minimum(x[i], x[j]), np.maximum(x[i], x[j])], 1) for i, j in unlike_labels(x, n, k, c, side, a, own, similarity) if len(j)]
+            if pairs:
+                uv = np.concatenate(pairs)
                 yield pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
 
     return run
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = np.array([node(words(t)) for t in as_texts(batch.column(1))], np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), batch.column(1)], names=["x", "t"])
+
+
 def _confirmed(shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.empty(0, np.uint64)
         for batch in batches:
             u, ok = batch.column(0).to_pylist(), []
             for at, (s, t) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                if u[at] != last:
+                if u[at] != last:  # rows come by u from the join
                     last, own = u[at], shingles(words(s.as_py() or ""), shingle)
                 ok.append(jaccard(own, shingles(words(t.as_py() or ""), shingle)) >= similarity)
             kept = batch.filter(pa.array(ok, pa.bool_()))
@@ -164,40 +189,60 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """A row per document: component_id, the least id reachable over pairs of that Jaccard similarity or more.
 
     Words are lower-cased and split at white space; texts of the same words
-    are one node. The first round compares the least node of each key with the
-    others, which joins large groups at a linear cost; the second compares
-    all that share a key and are not joined yet. A null or empty text has no
-    words, and all such are copies of each other. Repeated rows each get a row;
-    null ids stay null and name a component only if it has no other.
+    are one node, whatever their length. A null or empty text has no words, and
+    all such are copies of each other. Repeated rows each get a row; null ids
+    stay null and name a component only if it has no other; an empty table
+    gives no rows; other columns are not read. A key of many members is dealt
+    out to tasks in squares of ``SIDE``.
     """
     spark = docs.sparkSession
     d = narrow(docs, id_col, text_col).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
     id_type = d.schema["d"].dataType.simpleString()
-    rows = materialise(d.mapInArrow(freed(_described(shingle)), f"d {id_type}, x long, n int, f long, a array<long>, t string"), "near-copies")
-    nodes = materialise(rows.groupBy("x").agg(F.min("d").alias("least"), F.first("n").alias("n"), F.first("f").alias("f"), F.first("a").alias("a")), "near-nodes")
-    tasks = max(shuffle_partitions(spark), nodes.count() * KEYS // ROWS_A_TASK)
-
-    def meet(members: DataFrame, labelled: bool) -> DataFrame:
-        pairs = members.repartition(tasks, "a").mapInArrow(freed(_paired(labelled, similarity)), "u long, v long")
-        return pairs.distinct()
+    rows = materialise(d.mapInArrow(freed(_described(shingle)), f"d {id_type}, x long, n int, f long, a array<long>, k binary"), "near-copies")
+    nodes = materialise(rows.groupBy("x").agg(F.min("d").alias("least"), *[F.first(c).alias(c) for c in ("n", "f", "a", "k")]), "near-nodes")
+
+    def ordered(u, v):
+        return F.least(u, v).alias("u"), F.greatest(u, v).alias("v")
+
+    # what anchors bring together, and texts of an equal fingerprint with the first of them
+    prints = materialise(nodes.groupBy("f").agg(F.min("x").alias("x")), "near-fingerprints")
+    by_print = {e: prints.select(F.col("f").alias(e), F.col("x").alias(f"x{e}")) for e in ("u", "v")}
+    near = near_links(prints).join(by_print["u"], "u").join(by_print["v"], "v").select(*ordered("xu", "xv"))
+    equal = nodes.select("f", "x").join(prints.withColumnRenamed("x", "first"), "f").filter("x <> first").select(*ordered("x", "first"))
+    # of each key the member with the most company, and all others
+    members = nodes.select(F.posexplode("a").alias("place", "a"), "x")
+    shared = members.groupBy("a").agg(F.count("*").alias("size")).filter("size > 1")
+    members = materialise(members.join(shared, "a"), "near-members")
+    company = members.groupBy("x").agg(F.sum("size").alias("company"))
+    centre = members.join(company, "x").groupBy("a").agg(F.max_by("x", F.struct("company", "x")).alias("centre"))
+    star = members.join(centre, "a").filter("x <> centre").select(*ordered("x", "centre"))
+    tried = materialise(near.union(equal).union(star).distinct(), "near-pairs")
+    # only texts that may be in a pair are moved, once
+    named = members.select("x").union(tried.select("u")).union(tried.select("v")).distinct()
+    texts = d.select("d", "t").mapInArrow(freed(_texts), "x long, t string").join(named, "x", "left_semi").groupBy("x").agg(F.first("t").alias("t"))
+    texts = materialise(texts, "near-texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.col("u").alias("x")).union(pairs.select(F.col("v").alias("x"))).distinct()
-        texts = materialise(rows.select("x", "t").join(named, "x", "left_semi").groupBy("x").agg(F.first("t").alias("t")), "near-texts")
         both = pairs.join(texts.select(F.col("x").alias("v"), F.col("t").alias("tv")), "v").join(texts.select(F.col("x").alias("u"), F.col("t").alias("tu")), "u")
         return materialise(both.select("u", "v", "tu", "tv").mapInArrow(freed(_confirmed(shingle, similarity)), "u long, v long"), "near-links")
 
-    members = nodes.select(F.explode("a").alias("a"), "x", "f", "n")
-    tried = materialise(meet(members, False), "near-pairs")
-    links = confirm(tried)
-    found = connected_components(links, "u", "v").select(F.col("node").alias("x"), "component")
+    found = connected_components(confirm(tried), "u", "v").select(F.col("node").alias("x"), "component")
     labels = materialise(nodes.select("x").join(found, "x", "left").select("x", F.coalesce("component", "x").alias("c")), "near-labels")
-    rest = materialise(meet(members.join(labels, "x").select("a", "x", "f", "n", "c"), True).join(tried, ["u", "v"], "left_anti"), "near-pairs")
+    # keys that still hold different groups
+    labelled = members.join(labels, "x")
+    mixed = labelled.groupBy("a").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("a")
+    mixed = labelled.join(mixed, "a", "left_semi").join(nodes.select("x", "n", "k", F.col("a").alias("keys")), "x")
+    parts = F.ceil(F.col("size") / SIDE).cast("long")
+    own = F.pmod(F.xxhash64("x"), parts)
+    cells = mixed.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
+    cells = cells.select(F.xxhash64("a", F.least("own", "with"), F.greatest("own", "with")).alias("cell"), "x", "n", "k", "c", "keys", "place", side.alias("side"))
+    met = cells.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(freed(_paired(similarity)), "u long, v long")
+    rest = materialise(met.join(tried, ["u", "v"], "left_anti"), "near-pairs")
     if not rest.isEmpty():
         # components of the first round are the nodes of the second
-        more = confirm(rest)
         by = {e: labels.select(F.col("x").alias(e), F.col("c").alias(f"c{e}")) for e in ("u", "v")}
-        outer = connected_components(more.join(by["u"], "u").join(by["v"], "v"), "cu", "cv").select(F.col("node").alias("c"), "component")
+        outer = connected_components(confirm(rest).join(by["u"], "u").join(by["v"], "v"), "cu", "cv").select(F.col("node").alias("c"), "component")
         labels = labels.join(outer, "c", "left").select("x", F.coalesce("component", "c").alias("c"))
     placed = materialise(nodes.select("x", "least").join(labels, "x"), "near-placed")
     names = placed.groupBy("c").agg(F.min("least").alias("component_id"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from graphloom.llm import near_copies as N
@@ -46,6 +47,34 @@ def test_components_against_brute_force(spark, texts):
     assert got == list(enumerate(roots(len(s), links)))
 
 
+@pytest.mark.parametrize("side", [4000, 20])
+def test_dense_group_sends_few_pairs(spark, monkeypatch, side):
+    """Of a group whose texts are about 0.6 alike, pairs are told apart inside the task, and large keys in squares."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in rng.choices(range(3000), k=300)]
+    out = [altered(rng, base, rng.randrange(9, 14)) for _ in range(160)] + [altered(rng, base, 2) for _ in range(3)]
+    s = [plain_shingles(t) for t in out]
+    links = [(i, j) for i in range(len(s)) for j in range(i) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])]
+    written, put = [], N.materialise
+    monkeypatch.setattr(N, "materialise", lambda df, what: written.append((what, put(df, what))) or written[-1][1])
+    monkeypatch.setattr(N, "SIDE", side)
+    got = sorted(map(tuple, N.near_copies(spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")).collect()))
+    assert got == list(enumerate(roots(len(s), links)))
+    met = sum(df.count() for what, df in written if what == "near-pairs")
+    assert met < 0.2 * len(out) * (len(out) - 1) / 2
+
+
+def test_sketches_pass_what_is_alike():
+    rng = np.random.default_rng(4)
+    for size in (3, 20, 200, 3000, 40_000):
+        for _ in range(30):
+            common = rng.integers(0, 2**64, size, np.uint64)
+            a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**64, int(size * 0.12), np.uint64)])) for _ in range(2))
+            if N.jaccard(a, b) >= 0.8:
+                k = np.stack([np.frombuffer(N.sketch(x), np.uint8) for x in (a, b)])
+                assert N.may_be_alike(k, np.array([len(a), len(b)]), 0, np.array([1]), 0.8).tolist() == [1]
+
+
 def test_stage_drops_pairs_that_three_bits_miss(spark, texts):
     import corpus_pipeline as P
     from graphloom.llm import simhash as S

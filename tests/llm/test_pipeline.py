@@ -3,15 +3,17 @@ import public_tokenizers
 from graphloom.llm import decontam, quality_rules, sentencepiece_codec, suffix_dedup
 from graphloom.session import materialise
 
-from .test_simhash import plain_fingerprint, roots
+from .test_near_copies import plain_shingles
+from .test_simhash import roots
 
 
 def test_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = {r.doc_id for r in quality_rules.quality_rules(docs).filter("kept").collect()}
     rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in kept)
-    f = [plain_fingerprint(t) for _, t in rows]
-    root = roots(len(f), [(i, j) for i in range(len(f)) for j in range(i) if bin(f[i] ^ f[j]).count("1") <= 3])
+    s = [plain_shingles(t) for _, t in rows]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    root = roots(len(s), [(i, j) for i in range(len(s)) for j in range(i) if alike(s[i], s[j])])
     rows = [r for i, r in enumerate(rows) if root[i] == i]
     cut = [x[1] for x in suffix_dedup.brute_force([t.encode() for _, t in rows])]
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
