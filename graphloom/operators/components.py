@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -26,8 +26,9 @@ def _small_star(e: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge; the component is its least node.
 
-    Each round writes its edges to the shared folder, so lineage stays short
-    and a lost executor costs a round at most. The number of rounds grows with
+    Each round writes its edges to the shared folder and removes those of the
+    round before, so lineage stays short and a lost executor costs a round at
+    most. The number of rounds grows with
     the logarithm of a component's size. Minima are pre-aggregated, so a hub
     meets in no single task. Self-loops make a component of one; edges with a
     null end are ignored; no edges give no rows.
@@ -40,7 +41,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if state == before or not state[0]:
             break
         before = state
-        e = materialise(_small_star(_large_star(e)), "components")
+        last, e = e, materialise(_small_star(_large_star(e)), "components")
+        discard(last)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

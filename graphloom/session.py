@@ -40,4 +40,16 @@ def materialise(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes what ``materialise`` wrote; only for tables that nothing reads any more. Other tables stay."""
+    for table in tables:
+        path = vars(table).get("_scratch")
+        if path:
+            jvm, jsc = table.sparkSession._jvm, table.sparkSession._jsc
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(jsc.hadoopConfiguration()).delete(folder, True)
