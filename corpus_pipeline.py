@@ -43,13 +43,16 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A document without id can't be named as a copy and stays. Rows of equal id
     and text count as one document.
     """
-    groups = near_copies.near_copies(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    again = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    if not again.isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.union(docs.filter("doc_id is null"))
+    groups = near_copies.near_copies(docs).filter("doc_id is not null")
+    named = groups.groupBy("doc_id").agg(F.max("component_id").alias("c"), F.count("*").alias("n"))
+    # written, so that Spark knows its size before it plans to move the texts
+    named = materialise(named.filter("c <> doc_id or n > 1"), "copies")
+    kept = docs.join(named.filter("c <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    again = named.filter("n > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..session import discard
 from ._common import as_texts, freed, groups, materialise, narrow, shuffle_partitions
 from .simhash import _BITS, SEED, near_links
 
@@ -217,8 +218,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     centre = members.join(company, "x").groupBy("a").agg(F.max_by("x", F.struct("company", "x")).alias("centre"))
     star = members.join(centre, "a").filter("x <> centre").select(*ordered("x", "centre"))
     tried = materialise(near.union(equal).union(star).distinct(), "near-pairs")
-    # only texts that may be in a pair are moved, once
-    named = members.select("x").union(tried.select("u")).union(tried.select("v")).distinct()
+    # only texts that may be in a pair are moved, once; written first, so that Spark knows the size of the list before it plans to move all texts
+    named = materialise(members.select("x").union(tried.select("u")).union(tried.select("v")).distinct(), "near-named")
     texts = d.select("d", "t").mapInArrow(freed(_texts), "x long, t string").join(named, "x", "left_semi").groupBy("x").agg(F.first("t").alias("t"))
     texts = materialise(texts, "near-texts")
 
@@ -226,7 +227,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = pairs.join(texts.select(F.col("x").alias("v"), F.col("t").alias("tv")), "v").join(texts.select(F.col("x").alias("u"), F.col("t").alias("tu")), "u")
         return materialise(both.select("u", "v", "tu", "tv").mapInArrow(freed(_confirmed(shingle, similarity)), "u long, v long"), "near-links")
 
-    found = connected_components(confirm(tried), "u", "v").select(F.col("node").alias("x"), "component")
+    links = confirm(tried)
+    found = connected_components(links, "u", "v").select(F.col("node").alias("x"), "component")
     labels = materialise(nodes.select("x").join(found, "x", "left").select("x", F.coalesce("component", "x").alias("c")), "near-labels")
     # keys that still hold different groups
     labelled = members.join(labels, "x")
@@ -246,4 +248,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         labels = labels.join(outer, "c", "left").select("x", F.coalesce("component", "c").alias("c"))
     placed = materialise(nodes.select("x", "least").join(labels, "x"), "near-placed")
     names = placed.groupBy("c").agg(F.min("least").alias("component_id"))
-    return rows.select("d", "x").join(placed.select("x", "c").join(names, "c"), "x").select(F.col("d").alias(id_col), "component_id")
+    out = rows.select("d", "x").join(placed.select("x", "c").join(names, "c"), "x").select(F.col("d").alias(id_col), "component_id")
+    out = materialise(out, "near-components")
+    discard(rows, nodes, prints, members, named, texts, links, placed)  # the pairs stay to be looked at
+    return out
