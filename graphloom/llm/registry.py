@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality_mil, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_counts, token_output, url_filter, warc
+from . import decontam, importance, quality_mil, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_counts, token_output, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages")).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_token_output, op4_quality_rules, op5_sentencepiece, op6_decontamination, op7_url_filter, op8_token_counts, op9_quality_classifier, op10_warc)}
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("n_words")
 
-ORACLE_SQL = {"op2_suffix_dedup": suffix_dedup.SQL, "op4_quality_rules": quality_rules.sql(), "op6_decontamination": decontam.SQL, "op10_warc": warc.SQL}
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_token_output, op4_quality_rules, op5_sentencepiece, op6_decontamination, op7_url_filter, op8_token_counts, op9_quality_classifier, op10_warc, op13_importance_resampling)}
+
+ORACLE_SQL = {"op2_suffix_dedup": suffix_dedup.SQL, "op4_quality_rules": quality_rules.sql(), "op6_decontamination": decontam.SQL, "op10_warc": warc.SQL, "op13_importance_resampling": importance.SQL}
