@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, importance, quality_mil, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_counts, token_output, url_filter, warc
+from . import decontam, importance, quality_mil, quality_rules, secret_scan, sentencepiece_codec, simhash, spelling, suffix_dedup, token_counts, token_output, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,10 +52,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages")).drop("url")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("n_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_token_output, op4_quality_rules, op5_sentencepiece, op6_decontamination, op7_url_filter, op8_token_counts, op9_quality_classifier, op10_warc, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_token_output, op4_quality_rules, op5_sentencepiece, op6_decontamination, op7_url_filter, op8_token_counts, op9_quality_classifier, op10_warc, op11_spelling_variants, op12_secret_scan, op13_importance_resampling)}
 
-ORACLE_SQL = {"op2_suffix_dedup": suffix_dedup.SQL, "op4_quality_rules": quality_rules.sql(), "op6_decontamination": decontam.SQL, "op10_warc": warc.SQL, "op13_importance_resampling": importance.SQL}
+ORACLE_SQL = {"op2_suffix_dedup": suffix_dedup.SQL, "op4_quality_rules": quality_rules.sql(), "op6_decontamination": decontam.SQL, "op10_warc": warc.SQL, "op11_spelling_variants": spelling.SQL, "op13_importance_resampling": importance.SQL}
