@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import coref, extract, learn
+from ..operators import coref, extract, learn, links
 from ..operators import graph as graph_ops
 from ..session import materialise
-from .graph_queries import supplier_graph
 from .registry import in_list, query, table
 from .text_queries import TOKENS
 from .triple_queries import raw_triples
@@ -52,15 +51,51 @@ def char_bisecting(spark, sf_dir):
     return learn.profile(c, "p_type", "p_name").withColumn("silhouette", F.lit(score))
 
 
+def word_graph(spark, sf_dir):
+    """Words of conversations; an edge joins two that stand side by side in two turns or more."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w"))
+    beside = F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.lit(0), F.size("w") - 1)).alias("a"), F.slice("w", F.lit(2), F.greatest(F.lit(0), F.size("w") - 1)).alias("b")))
+    p = t.filter(F.size("w") > 1).select("conv_id", "turn", beside.alias("p")).select("conv_id", "turn", F.least("p.a", "p.b").alias("src"), F.greatest("p.a", "p.b").alias("dst")).filter("src <> dst").distinct()
+    e = p.groupBy("src", "dst").agg(F.count("*").alias("n")).filter("n > 1").select("src", "dst", F.lit("BESIDE").alias("relation"), F.lit(0.5).alias("confidence"))
+    e = materialise(e, "beside")
+    v = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    return v.withColumn("type", F.when(F.length("id") > 4, "LONG").otherwise("SHORT")), e
+
+
+WORD = "[a-zà-ÿ]{3,}"
+WORDS_BESIDE = f"""tw AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '{WORD}') AS w FROM conversations), tp AS (SELECT DISTINCT conv_id, turn, unnest(list_zip(w[:-2], w[2:])) AS z FROM tw WHERE len(w) > 1),
+s AS (SELECT least(z[1], z[2]) AS u, greatest(z[1], z[2]) AS v FROM (SELECT DISTINCT conv_id, turn, [least(z[1], z[2]), greatest(z[1], z[2])] AS z FROM tp) WHERE z[1] <> z[2] GROUP BY ALL HAVING count(*) > 1),
+adj AS (SELECT u AS node, v AS other FROM s UNION ALL SELECT v, u FROM s), deg AS (SELECT node, count(*) AS d FROM adj GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {WORDS_BESIDE}, c AS (SELECT s.u, s.v, count(*) AS common, sum(CASE WHEN d > 1 THEN 1 / ln(d) ELSE 0 END) AS aa, sum(1 / d) AS ra FROM s JOIN adj x ON x.node = s.u JOIN adj y ON y.node = s.v AND y.other = x.other JOIN deg ON deg.node = x.other GROUP BY 1, 2),
+p AS (SELECT DISTINCT s.u, s.v FROM s ANTI JOIN c USING (u, v) JOIN adj x ON x.node = s.u AND x.other <> s.v JOIN adj m ON m.node = x.other AND m.other <> s.u JOIN adj y ON y.node = s.v AND y.other = m.other AND y.other <> s.u)
+SELECT s.u, s.v, coalesce(common, 0)::BIGINT AS common, round(coalesce(common / nullif(a.d + b.d - 2 - coalesce(common, 0), 0), 0), 6) AS jaccard, ((a.d - 1) * (b.d - 1))::BIGINT AS preferential, round(coalesce(aa, 0), 6) AS adamic_adar, round(coalesce(ra, 0), 6) AS resource_allocation,
+abs(a.d - b.d)::BIGINT AS degree_gap, ((length(s.u) > 4) = (length(s.v) > 4))::INT AS same, CASE WHEN common > 0 THEN 2 WHEN p.u IS NOT NULL THEN 3 ELSE 0 END::INT AS path
+FROM s JOIN deg a ON a.node = s.u JOIN deg b ON b.node = s.v LEFT JOIN c ON c.u = s.u AND c.v = s.v LEFT JOIN p ON p.u = s.u AND p.v = s.v"""
+)
+def edge_features(spark, sf_dir):
+    """GRA4 for every edge of the word graph, as if it were not there, with the length of the way round it."""
+    v, e = word_graph(spark, sf_dir)
+    x = links.features(e, v, e.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    return x.select("u", "v", *[F.round(c, 6).alias(c) if c in ("jaccard", "adamic_adar", "resource_allocation") else F.col(c) for c in links.FEATURES])
+
+
 @query()
 def link_prediction(spark, sf_dir):
-    """ML11, ML12, WIN11 and GRA10: suppliers that share much of their trade."""
-    v, e = supplier_graph(spark, sf_dir)
-    p = materialise(graph_ops.pair_features(e, v, "PARTY"), "pairs")
-    mean = p.agg(F.avg("jaccard").alias("m"))
-    p = p.join(F.broadcast(mean)).withColumn("label", (F.col("jaccard") > F.col("m")).cast("int")).withColumn("same", F.col("same_type").cast("int"))
-    links, report = learn.predict_links(p)
-    return links.join(F.broadcast(report.select("f1", "threshold")))
+    """ML11, ML12 and GRA5: figures of both models on edges and non-edges that neither was fitted on."""
+    v, e = word_graph(spark, sf_dir)
+    return links.fit_predictor(e, v)[1]
+
+
+@query()
+def inferred_links(spark, sf_dir):
+    """GRA10, FIL7 and WIN11: the word graph with the likeliest ten links after its own edges."""
+    v, e = word_graph(spark, sf_dir)
+    model, _ = links.fit_predictor(e, v)
+    added = links.predicted(e, v, model) if model else e.limit(0).select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("confidence").alias("probability"))
+    return graph_ops.add_inferred(e, materialise(added, "links"))
 
 
 @query()
@@ -69,6 +104,13 @@ def coref_classifier(spark, sf_dir):
     return learn.coref_classifier(table(spark, sf_dir, "documents"))
 
 
+@query()
+def coref_metrics(spark, sf_dir):
+    """ML2 and ML4: the kernel and a linear machine on pairs of documents that neither has seen."""
+    pairs, inputs = learn.coref_pairs(table(spark, sf_dir, "documents"))
+    return learn.coref_kernel(materialise(pairs, "coref-pairs"), inputs)[1]
+
+
 @query()
 def relation_classifiers(spark, sf_dir):
     """ML5 and SIM13 over the triples of the star schema."""
@@ -94,11 +136,3 @@ def coref_comparison(spark, sf_dir):
     """NLP6: the rule and the classifier side by side."""
     d = table(spark, sf_dir, "documents")
     return coref.compare(coref.nearest_antecedent(coref.marked_tokens(d)), learn.coref_classifier(d))
-
-
-@query()
-def inferred_links(spark, sf_dir):
-    """GRA10: the graph with inferred links after its own edges."""
-    _, e = supplier_graph(spark, sf_dir)
-    links = materialise(link_prediction(spark, sf_dir), "links")
-    return graph_ops.add_inferred(e, links)
