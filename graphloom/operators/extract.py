@@ -45,23 +45,51 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(id_col, F.posexplode(w).alias("p", "w")).select(id_col, (F.col("p") + 1).alias("pos"), "w")
 
 
+#: Features of a word's neighbours: one before, one behind, two before, two behind.
+AROUND = {
+    "p1": ("is_title", "is_upper", "is_company_suffix", "is_month", "is_date_indicator"),
+    "n1": ("is_title", "is_upper", "is_company_suffix", "is_month", "is_legal_term"),
+    "p2": ("is_title", "is_company_suffix"),
+    "n2": ("is_title", "is_legal_term"),
+}
+#: A word each of whose runs of letters is one capital with small letters behind it.
+TITLE_CASE = r"^[^\p{L}]*\p{Lu}\p{Ll}*([^\p{L}]+\p{Lu}\p{Ll}*)*[^\p{L}]*$"
+
+
+def word_features(words: DataFrame, id_col: str = "sid", pos_col: str = "pos", word_col: str = "word") -> DataFrame:
+    """``words`` with the features of each word (``WORD_FEATURES``) and of two neighbours on either side.
+
+    Neighbours are rows of one ``id_col`` in the order of ``pos_col``; where there
+    is none its features are null, and first and last words have bos and eos. A
+    null word has null features.
+    """
+    w, lw = F.col(word_col), F.lower(word_col)
+    letters = w.rlike(r"\p{L}")
+    shape = {
+        "lower": lw, "is_upper": letters & (F.upper(w) == w), "is_title": w.rlike(TITLE_CASE), "is_digit": w.rlike(r"^\d+$"), "has_hyphen": w.contains("-"), "has_digit": w.rlike(r"\d"), "has_mark": w.rlike("[.,;:]"),
+        "prefix2": F.left(lw, F.lit(2)), "prefix3": F.left(lw, F.lit(3)), "suffix2": F.right(lw, F.lit(2)), "suffix3": F.right(lw, F.lit(3)), "length": F.least(F.length(w), F.lit(20)),
+        "is_all_caps": letters & (F.upper(w) == w) & (F.length(w) > 1), "has_currency": w.startswith("$") | lw.isin(fixed.CURRENCY), "is_section": lw.isin(fixed.SECTIONS),
+    }
+    own = words.select("*", *[c.alias(k) for k, c in shape.items()], *[lw.isin(v).alias(k) for k, v in fixed.GAZETTEERS.items()])
+    win = Window.partitionBy(id_col).orderBy(pos_col)
+    out = []
+    for side, names in AROUND.items():
+        near = F.lag if side[0] == "p" else F.lead
+        seen = near(F.struct("lower", *names), int(side[1])).over(win)
+        out += [seen["lower"].alias(side), *[seen[n].alias(f"{side}_{n}") for n in names]]
+    ends = [F.lag(F.lit(True), 1, False).over(win).alias("bos"), F.lead(F.lit(True), 1, False).over(win).alias("eos")]
+    return own.select("*", *out, *[(~c).alias(k) for c, k in zip(ends, ("bos", "eos"), strict=True)])
+
+
+WORD_FEATURES = [
+    "lower", "is_upper", "is_title", "is_digit", "has_hyphen", "has_digit", "has_mark", "prefix2", "prefix3", "suffix2", "suffix3", "length", "is_all_caps", "has_currency", "is_section", *fixed.GAZETTEERS,
+    *[x for side, names in AROUND.items() for x in (side, *[f"{side}_{n}" for n in names])], "bos", "eos",
+]
+
+
 def token_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Shape, affixes, word lists and two neighbours on either side of each word."""
-    t, win = tokens(docs, id_col, text_col), Window.partitionBy(id_col).orderBy("pos")
-    lw, w = F.lower("w"), F.col("w")
-    around = [F.lag(lw, k).over(win).alias(f"p{k}") for k in (1, 2)] + [F.lead(lw, k).over(win).alias(f"n{k}") for k in (1, 2)]
-    shape = [
-        (F.upper(w) == w).alias("is_upper"),
-        w.rlike(r"^\p{Lu}").alias("is_title"),
-        w.rlike(r"^\d+$").alias("is_digit"),
-        w.rlike(r"\d").alias("has_digit"),
-        w.contains("-").alias("has_hyphen"),
-        w.rlike(r"[.,;:]").alias("has_mark"),
-        F.length(w).alias("length"),
-    ]
-    affixes = [F.left(lw, F.lit(k)).alias(f"prefix{k}") for k in (2, 3)] + [F.right(lw, F.lit(k)).alias(f"suffix{k}") for k in (2, 3)]
-    lists = [lw.isin(v).alias(k) for k, v in fixed.GAZETTEERS.items()]
-    return t.select(id_col, "pos", "w", *shape, *affixes, *lists, *around)
+    """``word_features`` of each word between blanks."""
+    return word_features(tokens(docs, id_col, text_col), id_col, "pos", "w")
 
 
 def label_samples(docs: DataFrame, most: int = 20, batch: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,19 +1,12 @@
-"""Learnt operators on Spark ML: clusters, link prediction, classifiers, a sequence tagger.
-
-Spark has no conditional random field, kernel machine or Ward clustering. In
-their place stand logistic regression with Viterbi smoothing, linear models
-and bisecting k-means; results are alike in kind, not in value.
-"""
+"""Learnt operators on Spark ML: clusters, coreference, classifiers and their figures."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, FeatureHasher, HashingTF, NGram, Normalizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,48 +156,21 @@ def relation_classifiers(pairs: DataFrame, least: int = 10) -> DataFrame:
     return out[0].union(out[1]).union(out[2])
 
 
-def viterbi(scores: np.ndarray, jumps: np.ndarray) -> list[int]:
-    """The best sequence of labels by scores of steps (n x k) and of jumps (k x k)."""
-    best, back = scores[0], []
-    for row in scores[1:]:
-        total = best[:, None] + jumps
-        back.append(total.argmax(axis=0))
-        best = total.max(axis=0) + row
-    out = [int(best.argmax())]
-    for b in reversed(back):
-        out.append(int(b[out[-1]]))
-    return out[::-1]
-
-
-def token_tagger(tagged: DataFrame, features: list[str], tags: list[str], seed: int = 42) -> DataFrame:
-    """(sid, pos, word, tag, predicted) from rows (sid, pos, word, tag, features): logistic scores, smoothed by Viterbi.
+def class_report(df: DataFrame, predicted: str, actual: str) -> DataFrame:
+    """(class, precision, recall, f1, support) of each class, then of all classes alike (macro) and by their support (weighted).
 
-    Jumps from one tag to an I- of another label are ruled out; others weigh as
-    often as the training rows have them. Each sequence is a group of its own.
+    Classes are the values of both columns; rows with a null in either are left out.
     """
-    code = F.create_map(*[F.lit(x) for i, t in enumerate(tags) for x in (t, float(i))])
-    d = FeatureHasher(inputCols=features, outputCol="features", numFeatures=1 << 14).transform(tagged.withColumn("y", code[F.col("tag")]))
-    train = d.filter(F.pmod(F.xxhash64(F.lit(seed), "sid"), F.lit(5)) > 0)
-    model = LogisticRegression(labelCol="y", maxIter=30, regParam=0.001, family="multinomial").fit(train)
-    follow = train.select("y", F.lag("y").over(Window.partitionBy("sid").orderBy("pos")).alias("before")).dropna().groupBy("before", "y").count().collect()
-    k = len(tags)
-    jumps = np.ones((k, k))
-    for r in follow:
-        jumps[int(r["before"]), int(r["y"])] += r["count"]
-    jumps = np.log(jumps / jumps.sum(axis=1, keepdims=True))
-    for i, a in enumerate(tags):
-        for j, b in enumerate(tags):
-            if b.startswith("I-") and a[2:] != b[2:]:
-                jumps[i, j] = -1e9
-    scored = model.transform(d).select("sid", "pos", "word", "tag", vector_to_array("probability").alias("p"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        p = np.stack(pdf["p"].to_numpy())[:, :k]
-        s = np.log(np.clip(np.pad(p, ((0, 0), (0, k - p.shape[1]))), 1e-9, 1))  # tags that no training row has come last
-        return pdf[["sid", "pos", "word", "tag"]].assign(predicted=[tags[i] for i in viterbi(s, jumps)])
-
-    return scored.groupBy("sid").applyInPandas(run, "sid long, pos int, word string, tag string, predicted string")
+    pairs = df.select(F.col(predicted).cast("string").alias("p"), F.col(actual).cast("string").alias("a")).dropna().groupBy("p", "a").agg(F.count("*").alias("n"))
+    c = pairs.select(F.col("a").alias("class"), F.when(F.col("p") == F.col("a"), F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("said"), F.col("n").alias("support"))
+    c = c.union(pairs.select("p", F.lit(0).cast("long"), F.col("n"), F.lit(0).cast("long"))).groupBy("class").agg(*[F.sum(x).alias(x) for x in ("tp", "said", "support")])
+    part = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    tp = F.col("tp")
+    c = c.select("class", part(tp, F.col("said")).alias("precision"), part(tp, F.col("support")).alias("recall"), part(2 * tp, F.col("said") + F.col("support")).alias("f1"), "support")
+    rates = ("precision", "recall", "f1")
+    macro = c.agg(*[F.avg(x).alias(x) for x in rates], F.sum("support").alias("support")).select(F.lit("macro avg").alias("class"), *rates, "support")
+    weighted = c.agg(*[part(F.sum(F.col(x) * F.col("support")), F.sum("support")).alias(x) for x in rates], F.sum("support").alias("support")).select(F.lit("weighted avg").alias("class"), *rates, "support")
+    return c.union(macro).union(weighted).filter("support is not null").select("class", *[F.round(x, 6).alias(x) for x in rates], "support")
 
 
 def hashed_vectors(df: DataFrame, text_col: str, dim: int = 256) -> DataFrame:

@@ -215,6 +215,27 @@ def token_features(spark, sf_dir):
     )
 
 
+def _feature_sql() -> str:
+    w = "w"
+    shape = f"""lower({w}) AS lower, regexp_matches({w}, '\\p{{L}}') AND upper({w}) = {w} AS is_upper, regexp_matches({w}, '{extract.TITLE_CASE}') AS is_title, regexp_full_match({w}, '\\d+') AS is_digit, contains({w}, '-') AS has_hyphen,
+regexp_matches({w}, '\\d') AS has_digit, regexp_matches({w}, '[.,;:]') AS has_mark, left(lower({w}), 2) AS prefix2, left(lower({w}), 3) AS prefix3, right(lower({w}), 2) AS suffix2, right(lower({w}), 3) AS suffix3, least(length({w}), 20)::INT AS length,
+regexp_matches({w}, '\\p{{L}}') AND upper({w}) = {w} AND length({w}) > 1 AS is_all_caps, starts_with({w}, '$') OR lower({w}) IN {in_list(fixed.CURRENCY)} AS has_currency, lower({w}) IN {in_list(fixed.SECTIONS)} AS is_section, {_G}"""
+    near = ", ".join(
+        f"{'lag' if side[0] == 'p' else 'lead'}({c}, {side[1]}) OVER x AS {side if c == 'lower' else f'{side}_{c}'}" for side, names in extract.AROUND.items() for c in ("lower", *names)
+    )
+    return f"""WITH t AS (SELECT conv_id, turn, i AS pos, w[i] AS w FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id, turn, {TOKENS} AS w FROM conversations))),
+f AS (SELECT conv_id, turn, pos, w, {shape} FROM t), g AS (SELECT *, {near}, lag(pos) OVER x IS NULL AS bos, lead(pos) OVER x IS NULL AS eos FROM f WINDOW x AS (PARTITION BY conv_id, turn ORDER BY pos))
+SELECT conv_id, turn, pos::INT AS pos, {", ".join(extract.WORD_FEATURES)} FROM g"""
+
+
+@query(_feature_sql())
+def word_features(spark, sf_dir):
+    """TXT24 in full: every feature of every word of the conversations, neighbours' included."""
+    c = table(spark, sf_dir, "conversations").withColumn("sid", F.struct("conv_id", "turn"))
+    f = extract.token_features(c, "sid")
+    return f.select("sid.conv_id", "sid.turn", "pos", *extract.WORD_FEATURES)
+
+
 _RANK = f"""SELECT doc_id, i AS sid, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {SENTS} AS s FROM documents))"""
 
 

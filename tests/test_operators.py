@@ -167,11 +167,6 @@ def test_antecedents(spark):
     assert got == [("They", "Parties"), ("it", "Acme")]
 
 
-def test_viterbi_follows_jumps():
-    jumps = np.array([[0.0, 0.0, -1e9], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
-    assert learn.viterbi(np.array([[1.0, 0, 0], [0, 0.4, 1.0]]), jumps) == [0, 1]
-
-
 def test_text_folder_graph_files_and_manifest(spark, tmp_path):
     for n, t in (("b.txt", "two"), ("a.txt", "one"), ("c.md", "no")):
         (tmp_path / n).write_text(t)
