@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.similarity import dot
-from ..functions.text import is_valid_entity, normalize_entity, search_tokens, strip_legal_suffix
+from ..functions.text import normalize_entity, search_tokens
 from . import graph
+from .names import match_entities
 
 
 def query_terms(text: str) -> list[str]:
@@ -128,57 +128,6 @@ def examples(entities: DataFrame, pool: int = 400, most_words: int = 6) -> DataF
     return one.select("label", F.replace(templates, F.lit("{}"), F.col("display")).alias("question")).filter("question is not null")
 
 
-def match_entities(queries: DataFrame, names: DataFrame, min_core: int = 4) -> DataFrame:
-    """(qid, name, step) of names that queries (qid, q) hold.
-
-    A name counts where its text stands, longest first, on characters that no
-    other has taken; then names without their legal suffix, at word ends. The
-    join is on the first ``HEAD`` letters of a name against all letter runs of a
-    query, so no query meets all names; containment then cuts names down to
-    those that occur, and the greedy choice runs on these few, a query at a
-    time. Null queries and names match nothing.
-    """
-    n = names.filter(is_valid_entity(F.col("name"))).select("name", F.lower("name").alias("full"), F.lower(strip_legal_suffix(F.col("name"))).alias("core")).filter("full <> ''")
-    q = queries.select("qid", F.lower("q").alias("q"))
-    heads = n.select("name", "full", "core", F.left("full", F.lit(HEAD)).alias("head"))
-    heads = heads.union(n.filter(F.length("core") >= min_core).select("name", "full", "core", F.left("core", F.lit(HEAD)))).distinct()
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.length("q")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(HEAD)), lambda m: F.substring(F.col("q"), i, m))))
-    at = q.filter("q <> ''").select("qid", "q", F.explode(F.array_distinct(runs)).alias("head"))
-    near = F.contains("q", F.col("full")) | ((F.length("core") >= min_core) & F.contains("q", F.col("core")))
-    hits = at.join(heads, "head").filter(near).select("qid", "q", "name", "full", "core").distinct()
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        text, taken, out = pdf["q"].iloc[0], set(), []
-        for full, name in sorted(zip(pdf["full"], pdf["name"], strict=True), key=lambda r: (-len(r[0]), r[1])):
-            at = text.find(full)
-            span = range(at, at + len(full))
-            if at >= 0 and not taken.intersection(span):
-                out.append((name, 1))
-                taken.update(span)
-        found = {n for n, _ in out}
-        cores: dict[str, list[str]] = {}
-        for core, name in sorted(zip(pdf["core"], pdf["name"], strict=True)):
-            if len(core) >= min_core:
-                cores.setdefault(core, []).append(name)
-        for core in sorted(cores, key=lambda c: (-len(c), c)):
-            for m in re.finditer(rf"\b{re.escape(core)}\b", text):
-                span = range(*m.span())
-                if not taken.intersection(span):
-                    out += [(name, 2) for name in cores[core] if name not in found]
-                    found.update(cores[core])
-                    taken.update(span)
-                    break
-        return pd.DataFrame([(pdf["qid"].iloc[0], n, s) for n, s in out], columns=["qid", "name", "step"])
-
-    return hits.groupBy("qid").applyInPandas(choose, f"qid {queries.schema['qid'].dataType.simpleString()}, name string, step int")
-
-
-#: Letters of a name that are looked up in a query.
-HEAD = 8
-
-
 class Engine:
     """Searches over sentences (sid, text, entities array<struct<text,label>>) and a graph (vertices, edges).
 

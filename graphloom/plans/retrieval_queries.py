@@ -126,11 +126,22 @@ def example_questions(spark, sf_dir):
 _ASKED = [(1, "What is the governing law of Beta Distribution and Acme Widgets, Inc.?"), (2, "effective date and notice"), (3, "who?")]
 
 
-@query()
+_TEXTS = "t AS (SELECT o_orderkey AS qid, lower('Order of ' || c_name || ' in ' || n_name || ' by ' || s_name) AS q FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS k FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = k)"
+
+
+@query(
+    f"""WITH {_TEXTS}, n AS (SELECT c_name AS name FROM customer UNION SELECT n_name FROM nation UNION SELECT s_name FROM supplier UNION SELECT r_name FROM region),
+h AS (SELECT qid, name, instr(q, lower(name)) AS a, length(name) AS l FROM t JOIN n ON contains(q, lower(name)))
+SELECT qid, name, 1 AS step FROM h WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.qid = h.qid AND (x.l > h.l OR (x.l = h.l AND x.name < h.name)) AND x.a < h.a + h.l AND h.a < x.a + x.l)"""
+)
 def entity_match(spark, sf_dir):
-    """JOI11: names in queries, longest first, then without their suffix."""
-    names = mentions(spark).filter("label in ('PARTY', 'CONTRACT') and t <> ''").select(F.col("t").alias("name")).distinct()
-    return retrieve.match_entities(spark.createDataFrame(_ASKED, "qid int, q string"), names)
+    """JOI11: customers, suppliers, nations and regions named in a line about each order, the longest first."""
+    t = lambda n: table(spark, sf_dir, n)
+    first = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("s_suppkey"))
+    o = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(first, "o_orderkey", "left").join(t("supplier"), "s_suppkey", "left")
+    said = F.concat(F.lit("Order of "), "c_name", F.lit(" in "), "n_name", F.lit(" by "), "s_name")
+    names = t("customer").select(F.col("c_name").alias("name")).union(t("nation").select("n_name")).union(t("supplier").select("s_name")).union(t("region").select("r_name"))
+    return retrieve.match_entities(o.select(F.col("o_orderkey").alias("qid"), said.alias("q")), names)
 
 
 _HINTS = "list_sort(list_distinct(flatten([" + ", ".join(f"CASE WHEN contains(lower(q), '{p}') THEN {r!r} ELSE []::VARCHAR[] END" for p, r in fixed.RELATION_HINTS.items()) + "])))"

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import extract, triples
+from ..operators import extract, punkt, triples
 from . import fixtures
 from .registry import in_list, query, table, values
 
@@ -215,6 +215,54 @@ def token_features(spark, sf_dir):
     )
 
 
+def _bare_sql(token: str) -> str:
+    w = f"""lower(regexp_replace(regexp_replace({token}, '^["''(\\[{{]+', ''), '["'')\\]}},;:!?]+$', ''))"""
+    return f"CASE WHEN regexp_matches({w}, '^-?[.,]?\\d[\\d,.-]*\\.$') THEN '##number##.' WHEN regexp_matches({w}, '^-?[.,]?\\d[\\d,.-]*$') THEN '##number##' ELSE {w} END"
+
+
+def _type_sql(w: str) -> str:
+    return f"regexp_replace({w}, '\\.$', '')"
+
+
+_BLANK = "list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')"
+_LOG = "ln(greatest({}, 1e-12))"
+_PUNKT = f"""pw AS (SELECT {_bare_sql("t")} AS w FROM (SELECT unnest({_BLANK.format("coalesce(text, '')")}) AS t FROM documents)),
+pc AS (SELECT {_type_sql("w")} AS type, count(*) AS n, count(*) FILTER (ends_with(w, '.')) AS k FROM pw WHERE regexp_matches(w, '[^.]') GROUP BY 1),
+pt AS (SELECT sum(n)::DOUBLE AS all_n, sum(k)::DOUBLE AS all_k FROM pc),
+pl AS (SELECT *, length(type) - length(replace(type, '.', '')) AS inside, all_k / all_n AS p FROM pc, pt WHERE k > 0 AND regexp_matches(type, '\\p{{L}}')),
+pa AS (SELECT type, -2 * (k * {_LOG.format("p")} + (n - k) * {_LOG.format("1 - p")} - k * ln(0.99::DOUBLE) - (n - k) * ln(1 - 0.99::DOUBLE)) * exp(-(length(type) - inside)) * (inside + 1) * pow((length(type) - inside)::DOUBLE, -(n - k)) AS score FROM pl),
+short AS (SELECT type, score FROM pa WHERE score >= {punkt.ABBREVIATION}),
+pp AS (SELECT doc_id, i, p[i] AS piece FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?]["'')\\]]{{0,3}})(\\s)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM documents))),
+pq AS (SELECT doc_id, i, piece, {_bare_sql("w[-1]")} AS last, w[1] AS first FROM (SELECT *, {_BLANK.format("piece")} AS w FROM pp)),
+pr AS (SELECT *, lead(first) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM pq),
+pe AS (SELECT next, {_type_sql("last")} AS type FROM pr WHERE next IS NOT NULL),
+pf AS (SELECT * FROM pe WHERE type NOT IN (SELECT type FROM short) AND NOT regexp_matches(type, '^(\\p{{L}}|##number##)$')),
+ps AS (SELECT type, pc.n::DOUBLE AS b, first::DOUBLE AS ab, (SELECT count(*) FROM pf)::DOUBLE AS a, all_n AS n FROM (SELECT {_type_sql(_bare_sql("next"))} AS type, count(*) AS first FROM pf GROUP BY 1) JOIN pc USING (type), pt WHERE regexp_matches(type, '^\\p{{L}}+$')),
+pu AS (SELECT type, ab / a > b / n AND n > a AS more, -2 * (ab * {_LOG.format("b / n")} + (a - ab) * {_LOG.format("1 - b / n")} + (b - ab) * {_LOG.format("b / n")} + (n - a - b + ab) * {_LOG.format("1 - b / n")}
+  - ab * {_LOG.format("ab / a")} - (a - ab) * {_LOG.format("1 - ab / a")} - (b - ab) * {_LOG.format("(b - ab) / (n - a)")} - (n - a - b + ab) * {_LOG.format("1 - (b - ab) / (n - a)")}) AS score FROM ps),
+starts AS (SELECT type, score FROM pu WHERE more AND score >= {punkt.STARTER})"""
+
+
+@query(f"WITH {_PUNKT} SELECT 'abbreviation' AS kind, type, round(score, 6) AS score FROM short UNION ALL SELECT 'starter', type, round(score, 6) FROM starts")
+def punkt_types(spark, sf_dir):
+    """TXT13: abbreviations and sentence starters as the documents show them."""
+    short, first = punkt.learn(table(spark, sf_dir, "documents"))
+    return short.select(F.lit("abbreviation").alias("kind"), "type", F.round("score", 6).alias("score")).union(first.select(F.lit("starter"), "type", F.round("score", 6)))
+
+
+@query(
+    f"""WITH {_PUNKT}, x AS (SELECT doc_id, i, piece, CASE WHEN ends_with(last, '.') THEN {_type_sql("last")} END AS type, {_type_sql(_bare_sql("next"))} AS start, regexp_replace(next, '^["''(\\[{{]+', '') AS head FROM pr),
+y AS (SELECT *, coalesce(((type IN (SELECT type FROM short) OR regexp_matches(type, '^\\p{{L}}$')) AND NOT (regexp_matches(head, '^\\p{{Lu}}') AND start IN (SELECT type FROM starts))) OR (type = '##number##' AND regexp_matches(head, '^\\p{{Ll}}')), FALSE) AS goes_on FROM x),
+z AS (SELECT *, coalesce(sum((NOT goes_on)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM y),
+g AS (SELECT doc_id, k, regexp_replace(string_agg(piece, '' ORDER BY i), '^\\s+|\\s+$', '', 'g') AS sentence FROM z GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k)::INT AS sid, sentence FROM g WHERE sentence <> ''"""
+)
+def punkt_sentences(spark, sf_dir):
+    """TXT13: sentences of all documents by ends learnt from them."""
+    d = table(spark, sf_dir, "documents")
+    return punkt.sentences(d, *punkt.learn(d))
+
+
 def _feature_sql() -> str:
     w = "w"
     shape = f"""lower({w}) AS lower, regexp_matches({w}, '\\p{{L}}') AND upper({w}) = {w} AS is_upper, regexp_matches({w}, '{extract.TITLE_CASE}') AS is_title, regexp_full_match({w}, '\\d+') AS is_digit, contains({w}, '-') AS has_hyphen,
