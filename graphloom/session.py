@@ -45,11 +45,15 @@ def materialise(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes what ``materialise`` wrote; only for tables that nothing reads any more. Other tables stay."""
     for table in tables:
         path = vars(table).get("_scratch")
         if path:
-            jvm, jsc = table.sparkSession._jvm, table.sparkSession._jsc
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(jsc.hadoopConfiguration()).delete(folder, True)
+            remove(table.sparkSession, path)
