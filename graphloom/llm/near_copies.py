@@ -7,14 +7,18 @@ So texts also meet at keys of ``ROWS`` least shingles each; one of ``KEYS`` is
 shared with a probability of 1 - (1 - 0.8^5)^20 = 0.9996. A link is what the
 exact Jaccard similarity confirms.
 
-First all members of a key are compared with the one that has the most
-company, which joins large groups at a linear cost. Where a key still holds
-different groups, their members are compared by sketches inside the task (the
-least hash of each of ``BINS`` ranges), and only pairs that may be alike go out.
+The sets are written once, as files of the shared folder, and read by range
+where two are compared; neither texts nor sets go through a shuffle. First all
+members of a key are compared with the one that has the most company, which
+joins large groups at a linear cost. Where a key still holds different groups,
+one task compares their members by an index of its shingles and sends only
+links that join two groups, of which there are fewer than members.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,17 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import discard
-from ._common import as_texts, freed, groups, materialise, narrow, shuffle_partitions
+from ..session import discard, remove
+from ._common import as_texts, freed, groups, materialise, narrow, open_fs, scratch, shuffle_partitions
 from .simhash import _BITS, SEED, near_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
 KEYS, ROWS = 20, 5
-#: Ranges of hashes in a sketch.
-BINS = 512
-#: Members of a key that one task compares with as many others.
-SIDE = 4000
+#: Members of a key that one task compares with as many others, and shingles that both sides hold about.
+SIDE, SIDE_SHINGLES = 4000, 2_000_000
+#: Bits of a hash that are stored, and bytes of sets that a task keeps at hand.
+STORED_BITS, AT_HAND = 48, 32 << 20
 
 _RNG = np.random.default_rng(SEED)
 _MUL = _RNG.integers(0, 1 << 32, (KEYS * ROWS, 1), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -93,24 +97,47 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """A byte of the least hash of each range of an ascending set; zero where there is none."""
-    out = np.zeros(BINS, np.uint8)
-    bins = (s >> np.uint64(55)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]])) if len(s) else np.empty(0, np.int64)
-    out[bins[first]] = 1 + (s[first] >> np.uint64(20)) % np.uint64(255)
-    return out.tobytes()
-
-
-def may_be_alike(k: np.ndarray, n: np.ndarray, i: int, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Of ``j`` those whose sets can be that similar to set ``i`` by size and sketch, four deviations of the sample allowed."""
-    less, more = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    j = j[less >= similarity * more - 1e-9]
-    other = k[j]
-    used = np.maximum(1, ((other | k[i]) > 0).sum(axis=1))
-    same = ((other == k[i]) & (other > 0)).sum(axis=1)
-    rest = np.maximum(0, 1 - used * (1 + similarity) / (n[i] + n[j]))  # a sketch that holds the whole set is no sample
-    return j[same / used >= similarity - 4 * np.sqrt(similarity * (1 - similarity) / used * rest) - 0.03]
+def stored(s: np.ndarray) -> np.ndarray:
+    """The leading ``STORED_BITS`` of ascending hashes, distinct."""
+    return np.unique(s >> np.uint64(64 - STORED_BITS))
+
+
+class Sets:
+    """Sets in files of a folder, read by range; the last ones read stay at hand up to ``AT_HAND`` bytes."""
+
+    def __init__(self, folder: str):
+        self.folder, self.size = folder, 0
+        self.files: OrderedDict = OrderedDict()
+        self.held: OrderedDict = OrderedDict()
+
+    @staticmethod
+    def packed(s: np.ndarray) -> bytes:
+        return s.astype("<u4").tobytes() + (s >> np.uint64(32)).astype("<u2").tobytes()
+
+    def read(self, file: str, at: int, n: int) -> np.ndarray:
+        """The n hashes at a place of a file."""
+        if not n:
+            return np.empty(0, np.uint64)
+        if (file, at) in self.held:
+            self.held.move_to_end((file, at))
+            return self.held[file, at]
+        if file not in self.files:
+            fs, path = open_fs(f"{self.folder}/{file}")
+            self.files[file] = fs.open_input_file(path)
+            if len(self.files) > 32:
+                self.files.popitem(last=False)[1].close()
+        self.files.move_to_end(file)
+        data = self.files[file].read_at(6 * n, at)
+        out = np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+        self.held[file, at] = out
+        self.size += out.nbytes
+        while self.size > AT_HAND and len(self.held) > 1:
+            self.size -= self.held.popitem(last=False)[1].nbytes
+        return out
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
 
 
 def node(w: list[str]) -> int:
@@ -118,70 +145,94 @@ def node(w: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(w), SEED)
 
 
-def _described(shingle: int):
+def _described(folder: str, shingle: int):
+    """(d, x, n, f, a, file, at) of documents; the set of each distinct text of a task is written."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, n, f, a, k = [], [], [], [], []
-            for t in as_texts(batch.column(1)):
-                w = words(t)
-                s = shingles(w, shingle)
-                x.append(node(w))
-                n.append(len(s))
-                f.append(fingerprint(s))
-                a.append(keys(s))
-                k.append(sketch(s))
-            arrays = [batch.column(0), pa.array(np.array(x, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(f, pa.int64()), pa.array(a, pa.list_(pa.int64())), pa.array(k, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["d", "x", "n", "f", "a", "k"])
+        file, end, written = f"{uuid.uuid4().hex}.sets", 0, {}
+        fs, path = open_fs(f"{folder}/{file}")
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(path) as out:
+            for batch in batches:
+                x, n, f, a, at = [], [], [], [], []
+                for t in as_texts(batch.column(1)):
+                    w = words(t)
+                    s = shingles(w, shingle)
+                    x.append(node(w))
+                    f.append(fingerprint(s))
+                    a.append(keys(s))
+                    if x[-1] not in written:
+                        own = stored(s)
+                        written[x[-1]] = end, len(own)
+                        out.write(Sets.packed(own))
+                        end += 6 * len(own)
+                    at.append(written[x[-1]][0])
+                    n.append(written[x[-1]][1])
+                arrays = [batch.column(0), pa.array(np.array(x, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(f, pa.int64()), pa.array(a, pa.list_(pa.int64())), pa.array([file] * len(x), pa.string()), pa.array(at, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["d", "x", "n", "f", "a", "file", "at"])
 
     return run
 
 
-def unlike_labels(x: np.ndarray, n: np.ndarray, k: np.ndarray, c: np.ndarray, side: np.ndarray, a: np.ndarray, own: int, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(place, places) of members of a key that may be alike and have different labels.
+def _confirmed(folder: str, similarity: float):
+    """The pairs whose sets are that similar."""
 
-    Those of side 0 meet side 1, those of side 2 each other. ``a`` has the
-    keys of each and ``own`` is the place of this one; a pair counts only at
-    the first key that it shares.
-    """
-    names, count = np.unique(c, return_counts=True)
-    few = c != names[np.argmax(count)]  # members of the largest group meet only those outside
-    for i in np.flatnonzero(few):
-        j = np.flatnonzero((c != c[i]) & np.where(few, x > x[i], True) & ((side == 2) | (side != side[i])))
-        j = j[~(a[j, :own] == a[i, :own]).any(axis=1)]
-        yield i, may_be_alike(k, n, i, j, similarity)
-
-
-def _paired(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups(batches, "cell"):
-            x, n, c, side = (rows[name].to_numpy() for name in ("x", "n", "c", "side"))
-            k = np.frombuffer(b"".join(rows["k"].to_pylist()), np.uint8).reshape(len(x), BINS)
-            a, own = np.array(rows["keys"].to_pylist(), np.int64), rows["place"][0].as_py()
-            pairs = [np.stack([np.minimum(x[i], x[j]), np.maximum(x[i], x[j])], 1) for i, j in unlike_labels(x, n, k, c, side, a, own, similarity) if len(j)]
-            if pairs:
-                uv = np.concatenate(pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
+        sets = Sets(folder)
+        for batch in batches:
+            place = [list(zip(*[batch.column(f"{c}{e}").to_pylist() for c in ("file", "at", "n")], strict=True)) for e in ("u", "v")]
+            ok = [jaccard(sets.read(*u), sets.read(*v)) >= similarity for u, v in zip(*place, strict=True)]
+            kept = batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            yield kept
+        sets.close()
 
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = np.array([node(words(t)) for t in as_texts(batch.column(1))], np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), batch.column(1)], names=["x", "t"])
-
+def joining_links(sets: list[np.ndarray], x: np.ndarray, c: np.ndarray, side: np.ndarray, a: np.ndarray, own: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """(label, label) of links between members of a key that join two groups.
 
-def _confirmed(shingle: int, similarity: float):
+    Members of side 0 meet side 1, those of side 2 each other. ``a`` has the keys
+    of each and ``own`` is the place of this one; a pair counts only at the
+    first key that it shares. Common shingles of a member with all others come
+    from an index of the shingles; a link within a group found so far is
+    passed over, so fewer links than members go out.
+    """
+    n = np.array([len(s) for s in sets])
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    member = np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(shingle, kind="stable")
+    by_shingle, first = member[order], np.concatenate([[0], np.cumsum(np.bincount(shingle))])
+    start = np.cumsum(n) - n
+    names, label = np.unique(c, return_inverse=True)  # groups as found so far
+    most = np.argmax(np.bincount(label))
+    few = label != most  # members of the largest group meet only those outside
+    for i in np.flatnonzero(few):
+        j = np.flatnonzero((label != label[i]) & np.where(few, x > x[i], True) & ((side == 2) | (side != side[i])) & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]) - 1e-9))
+        j = j[~(a[j, :own] == a[i, :own]).any(axis=1)]
+        if not len(j):
+            continue
+        mine = shingle[start[i] : start[i] + n[i]]
+        size = first[mine + 1] - first[mine]
+        at = np.repeat(first[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        common = np.bincount(by_shingle[at], minlength=len(sets))[j]
+        for k in j[common >= similarity * (n[i] + n[j] - common)]:
+            old, new = label[k], label[i]
+            if old != new:
+                yield int(names[old]), int(names[new])
+                label[label == old] = new
+
+
+def _joined(folder: str, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, np.empty(0, np.uint64)
-        for batch in batches:
-            u, ok = batch.column(0).to_pylist(), []
-            for at, (s, t) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                if u[at] != last:  # rows come by u from the join
-                    last, own = u[at], shingles(words(s.as_py() or ""), shingle)
-                ok.append(jaccard(own, shingles(words(t.as_py() or ""), shingle)) >= similarity)
-            kept = batch.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["u", "v"])
+        reader = Sets(folder)
+        for rows in groups(batches, "cell"):
+            x, n, c, side = (rows[name].to_numpy() for name in ("x", "n", "c", "side"))
+            sets = [reader.read(*p) for p in zip(*[rows[name].to_pylist() for name in ("file", "at", "n")], strict=True)]
+            links = list(joining_links(sets, x, c, side, np.array(rows["keys"].to_pylist(), np.int64), rows["place"][0].as_py(), similarity))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()) for y in zip(*links, strict=True)], names=["cu", "cv"])
+        reader.close()
 
     return run
 
@@ -194,13 +245,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all such are copies of each other. Repeated rows each get a row; null ids
     stay null and name a component only if it has no other; an empty table
     gives no rows; other columns are not read. A key of many members is dealt
-    out to tasks in squares of ``SIDE``.
+    out to tasks in squares of ``SIDE`` members and ``SIDE_SHINGLES`` shingles.
     """
     spark = docs.sparkSession
     d = narrow(docs, id_col, text_col).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
     id_type = d.schema["d"].dataType.simpleString()
-    rows = materialise(d.mapInArrow(freed(_described(shingle)), f"d {id_type}, x long, n int, f long, a array<long>, k binary"), "near-copies")
-    nodes = materialise(rows.groupBy("x").agg(F.min("d").alias("least"), *[F.first(c).alias(c) for c in ("n", "f", "a", "k")]), "near-nodes")
+    folder = scratch(spark, "near-sets")
+    rows = materialise(d.mapInArrow(freed(_described(folder, shingle)), f"d {id_type}, x long, n int, f long, a array<long>, file string, at long"), "near-copies")
+    nodes = rows.groupBy("x").agg(F.min("d").alias("least"), F.first("f").alias("f"), F.first("a").alias("a"), F.min(F.struct("file", "at", "n")).alias("set"))
+    nodes = materialise(nodes.select("x", "least", "f", "a", "set.*"), "near-nodes")
 
     def ordered(u, v):
         return F.least(u, v).alias("u"), F.greatest(u, v).alias("v")
@@ -218,37 +271,32 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     centre = members.join(company, "x").groupBy("a").agg(F.max_by("x", F.struct("company", "x")).alias("centre"))
     star = members.join(centre, "a").filter("x <> centre").select(*ordered("x", "centre"))
     tried = materialise(near.union(equal).union(star).distinct(), "near-pairs")
-    # only texts that may be in a pair are moved, once; written first, so that Spark knows the size of the list before it plans to move all texts
-    named = materialise(members.select("x").union(tried.select("u")).union(tried.select("v")).distinct(), "near-named")
-    texts = d.select("d", "t").mapInArrow(freed(_texts), "x long, t string").join(named, "x", "left_semi").groupBy("x").agg(F.first("t").alias("t"))
-    texts = materialise(texts, "near-texts")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("x").alias("v"), F.col("t").alias("tv")), "v").join(texts.select(F.col("x").alias("u"), F.col("t").alias("tu")), "u")
-        return materialise(both.select("u", "v", "tu", "tv").mapInArrow(freed(_confirmed(shingle, similarity)), "u long, v long"), "near-links")
-
-    links = confirm(tried)
+    place = {e: nodes.select(F.col("x").alias(e), *[F.col(c).alias(f"{c}{e}") for c in ("file", "at", "n")]) for e in ("u", "v")}
+    sized = F.least("nu", "nv") >= F.lit(similarity) * F.greatest("nu", "nv") - 1e-9
+    pairs = tried.join(place["u"], "u").join(place["v"], "v").filter(sized)
+    links = materialise(pairs.mapInArrow(freed(_confirmed(folder, similarity)), "u long, v long"), "near-links")
     found = connected_components(links, "u", "v").select(F.col("node").alias("x"), "component")
     labels = materialise(nodes.select("x").join(found, "x", "left").select("x", F.coalesce("component", "x").alias("c")), "near-labels")
     # keys that still hold different groups
     labelled = members.join(labels, "x")
     mixed = labelled.groupBy("a").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("a")
-    mixed = labelled.join(mixed, "a", "left_semi").join(nodes.select("x", "n", "k", F.col("a").alias("keys")), "x")
-    parts = F.ceil(F.col("size") / SIDE).cast("long")
+    mixed = labelled.join(mixed, "a", "left_semi").join(nodes.select("x", "n", "file", "at", F.col("a").alias("keys")), "x")
+    weight = mixed.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / SIDE), F.ceil(F.sum("n") / SIDE_SHINGLES)).cast("long").alias("parts"))
+    mixed = materialise(mixed.join(weight, "a"), "near-mixed")
+    parts = F.col("parts")
     own = F.pmod(F.xxhash64("x"), parts)
     cells = mixed.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
-    cells = cells.select(F.xxhash64("a", F.least("own", "with"), F.greatest("own", "with")).alias("cell"), "x", "n", "k", "c", "keys", "place", side.alias("side"))
-    met = cells.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(freed(_paired(similarity)), "u long, v long")
-    rest = materialise(met.join(tried, ["u", "v"], "left_anti"), "near-pairs")
-    if not rest.isEmpty():
-        # components of the first round are the nodes of the second
-        by = {e: labels.select(F.col("x").alias(e), F.col("c").alias(f"c{e}")) for e in ("u", "v")}
-        outer = connected_components(confirm(rest).join(by["u"], "u").join(by["v"], "v"), "cu", "cv").select(F.col("node").alias("c"), "component")
+    cells = cells.select(F.xxhash64("a", F.least("own", "with"), F.greatest("own", "with")).alias("cell"), "x", "n", "file", "at", "c", "keys", "place", side.alias("side"))
+    tasks = max(shuffle_partitions(spark), mixed.agg(F.sum("parts")).first()[0] // (2 * SIDE) if not mixed.isEmpty() else 0)
+    joined = materialise(cells.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(freed(_joined(folder, similarity)), "cu long, cv long"), "near-joined")
+    if not joined.isEmpty():  # components of the first round are the nodes of the second
+        outer = connected_components(joined, "cu", "cv").select(F.col("node").alias("c"), "component")
         labels = labels.join(outer, "c", "left").select("x", F.coalesce("component", "c").alias("c"))
     placed = materialise(nodes.select("x", "least").join(labels, "x"), "near-placed")
     names = placed.groupBy("c").agg(F.min("least").alias("component_id"))
     out = rows.select("d", "x").join(placed.select("x", "c").join(names, "c"), "x").select(F.col("d").alias(id_col), "component_id")
     out = materialise(out, "near-components")
-    discard(rows, nodes, prints, members, named, texts, links, placed)  # the pairs stay to be looked at
+    discard(rows, nodes, prints, members, links, mixed, placed)  # the pairs stay to be looked at
+    remove(spark, folder)
     return out
