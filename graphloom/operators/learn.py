@@ -73,13 +73,28 @@ def clusters(features: DataFrame, k: int = 8, hierarchical: bool = False, seed:
 
 
 def profile(clustered: DataFrame, label: str, text_col: str) -> DataFrame:
-    """Per cluster: size, dominant label, its share (purity) and five examples."""
-    n = clustered.groupBy("cluster", label).agg(F.count("*").alias("n"))
-    top = n.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), label))).filter("k = 1").select("cluster", F.col(label).alias("dominant"), F.col("n").alias("most"))
+    """Per cluster: size, dominant label, its share (purity), how often each label comes, and five examples; a null label counts as an empty one."""
+    named = clustered.withColumn("_l", F.coalesce(F.col(label).cast("string"), F.lit("")))
+    n = named.groupBy("cluster", "_l").agg(F.count("*").alias("n"))
+    c = n.groupBy("cluster").agg(F.sum("n").alias("size"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("_l", "n")))).alias("labels"))
+    top = n.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "_l"))).filter("k = 1").select("cluster", F.col("_l").alias("dominant"), F.col("n").alias("most"))
     shown = clustered.select("cluster", F.col(text_col).alias("t")).dropna().distinct().withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy("t"))).filter("k <= 5")
     shown = shown.groupBy("cluster").agg(F.array_sort(F.collect_list("t")).alias("examples"))
-    c = clustered.groupBy("cluster").agg(F.count("*").alias("size")).join(shown, "cluster", "left")
-    return c.join(top, "cluster").select("cluster", "size", "dominant", (F.col("most") / F.col("size")).alias("purity"), "examples")
+    return c.join(shown, "cluster", "left").join(top, "cluster").select("cluster", "size", "dominant", (F.col("most") / F.col("size")).alias("purity"), "labels", "examples")
+
+
+def purity(clustered: DataFrame, label: str) -> DataFrame:
+    """One row: the share of all rows that have the most frequent label of their cluster."""
+    n = clustered.groupBy("cluster", F.coalesce(F.col(label).cast("string"), F.lit("")).alias("_l")).agg(F.count("*").alias("n"))
+    per = n.groupBy("cluster").agg(F.max("n").alias("most"), F.sum("n").alias("size"))
+    return per.agg(F.round(F.coalesce(F.try_divide(F.sum("most"), F.sum("size")), F.lit(0.0)), 6).alias("purity"))
+
+
+def short_first(df: DataFrame, label: str, text_col: str, most: int = 500, most_words: int = 8) -> DataFrame:
+    """Of each label the texts of at most ``most_words`` words, if there are min(50, most) of them; else all."""
+    short = F.size(F.split(F.btrim(F.col(text_col)), r"\s+")) <= most_words
+    enough = df.groupBy(F.col(label).alias("_l")).agg((F.count_if(short) >= min(50, most)).alias("_enough"))
+    return df.join(enough, F.col(label).eqNullSafe(F.col("_l"))).filter(~F.col("_enough") | short).select(*df.columns)
 
 
 def metrics(df: DataFrame, predicted: str, actual: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import coref, crf, extract, learn, links
+from ..operators import coref, crf, extract, learn, links, ward
 from ..operators import graph as graph_ops
 from ..session import materialise
 from .registry import in_list, query, table
@@ -39,19 +39,43 @@ def classification_metrics(spark, sf_dir):
 def tfidf_kmeans(spark, sf_dir):
     """ML6, ML8, ML9, AGG10 and AGG11: clusters of part names by words."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    d = learn.word_tfidf(learn.stratified(p, "p_type", "p_partkey"), "p_name")
+    d = learn.word_tfidf(learn.stratified(learn.short_first(p, "p_type", "p_name"), "p_type", "p_partkey"), "p_name")
     c, score = learn.clusters(d, 8)
     return learn.profile(c, "p_type", "p_name").withColumn("silhouette", F.lit(score))
 
 
 @query()
 def char_bisecting(spark, sf_dir):
-    """ML7 and ML10: clusters of names by letters, divisive."""
+    """ML7: clusters of names by letters, divisive."""
     d = learn.char_tfidf(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "p_name")
     c, score = learn.clusters(d, 6, hierarchical=True)
     return learn.profile(c, "p_type", "p_name").withColumn("silhouette", F.lit(score))
 
 
+@query()
+def ward_clusters(spark, sf_dir):
+    """ML10, AGG10 and AGG11: all part names in the Ward clusters of a sample, by letters."""
+    d = materialise(learn.char_tfidf(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "p_name"), "names")
+    c = materialise(ward.ward(d, "p_partkey", 6), "ward")
+    return learn.profile(c, "p_type", "p_name").join(F.broadcast(learn.purity(c, "p_type").withColumnRenamed("purity", "purity_of_all")))
+
+
+_TOP = "n AS (SELECT p_size % 7 AS cluster, p_type, count(*) AS n FROM part GROUP BY ALL)"
+
+
+@query(
+    f"""WITH {_TOP}, o AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, p_type) AS k FROM n)
+SELECT cluster, sum(n)::BIGINT AS size, max(CASE WHEN k = 1 THEN p_type END) AS dominant, round(max(n) / sum(n), 6) AS purity, string_agg(p_type || ':' || n, ',' ORDER BY p_type) AS labels,
+(SELECT round(sum(m) / sum(s), 6) FROM (SELECT max(n) AS m, sum(n) AS s FROM n GROUP BY cluster)) AS purity_of_all FROM o GROUP BY cluster"""
+)
+def cluster_profile(spark, sf_dir):
+    """AGG10 and AGG11: the profile of given groups of parts."""
+    c = table(spark, sf_dir, "part").withColumn("cluster", F.col("p_size") % 7)
+    labels = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    p = learn.profile(c, "p_type", "p_name").select("cluster", "size", "dominant", F.round("purity", 6).alias("purity"), labels.alias("labels"))
+    return p.join(F.broadcast(learn.purity(c, "p_type").withColumnRenamed("purity", "purity_of_all")))
+
+
 def word_graph(spark, sf_dir):
     """Words of conversations; an edge joins two that stand side by side in two turns or more."""
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w"))
