@@ -81,9 +81,9 @@ def centres(features: DataFrame, id_col: str, k: int = 8, sample: int = SAMPLE,
     share = min(1.0, (sample + 6 * sample**0.5 + 10) / max(1, n))  # only about the sample is ordered
     few = features.filter(F.col(column).isNotNull() & (h < int(share * (1 << 40)))).orderBy(h, id_col).limit(sample)
     rows = few.select(id_col, vector_to_array(column).alias("v")).collect()
-    points = np.array([r.v for r in sorted(rows, key=lambda r: str(r[0]))], float).reshape(len(rows), -1)
-    if not len(points):
-        return points
+    if not rows:
+        return np.empty((0, 0))
+    points = np.array([r.v for r in sorted(rows, key=lambda r: str(r[0]))], float)
     own = labels(points, k)
     return np.stack([points[own == c].mean(0) for c in range(own.max() + 1)])
 
