@@ -1,4 +1,4 @@
-"""``python -m graphloom run``: from a folder of texts to checked triples; ``ask`` answers from them."""
+"""``python -m graphloom run``: from a folder of texts to checked triples; ``ask`` answers from them; ``samples`` takes sentences for labelling."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import extract, graph, resolve, retrieve, triples
 from .session import materialise
-from .sources import io
+from .sources import io, resume
 
 TRIPLE = "subject string, predicate string, object string"
 
@@ -72,9 +72,18 @@ def ask(spark: SparkSession, out_dir: str, question: str, k: int = 5) -> str:
     return "\n".join(["Passages:", passages or "none", "Facts:", *(facts or ["none"])])
 
 
+def samples(spark: SparkSession, data_dir: str, out_dir: str, limit: int | None = None, batches: int = 8) -> dict:
+    """Sentences for labelling from each text of a folder, in batches; a run that was stopped goes on where it was."""
+    log = resume.Log(spark, f"{out_dir}/samples")
+    removed = log.clean()
+    done = log.run(io.text_folder(spark, data_dir, limit).select("doc_id", "text"), "doc_id", extract.label_samples_with_text, batches)
+    rows = log.rows()
+    return {"batches": done, "removed": removed, "sentences": rows.count() if rows is not None else 0}
+
+
 def main() -> None:
     p = argparse.ArgumentParser(prog="graphloom")
-    p.add_argument("command", choices=["run", "ask"])
+    p.add_argument("command", choices=["run", "ask", "samples"])
     p.add_argument("question", nargs="?", help="for ask; without one, questions are read line by line")
     p.add_argument("--data-dir")
     p.add_argument("--out-dir", required=True)
@@ -85,12 +94,15 @@ def main() -> None:
     p.add_argument("--gold")
     a = vars(p.parse_args())
     command, question = a.pop("command"), a.pop("question")
-    if command == "run" and not a["data_dir"]:
-        p.error("run needs --data-dir")
+    if command != "ask" and not a["data_dir"]:
+        p.error(f"{command} needs --data-dir")
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
     if command == "run":
         print(json.dumps(run(spark, **a)))
         return
+    if command == "samples":
+        print(json.dumps(samples(spark, a["data_dir"], a["out_dir"], a["limit"])))
+        return
     for line in [question] if question else sys.stdin:
         if line.strip():
             print(ask(spark, a["out_dir"], line))

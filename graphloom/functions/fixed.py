@@ -134,4 +134,13 @@ ER_WEIGHTS = {"char_sim": 2.4, "token_jaccard": 2.0, "acronym_match": 1.5, "same
 ER_BIAS, ER_THRESHOLD = -3.1, 0.72
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 RRF_K, GRAPH_BOOST = 60, 0.35
+AUXILIARIES = "am is are was were be been being has have had do does did will would shall should may might must can could".split()
+ADVERBS = "not also hereby thereby duly fully then now".split()
+PREPOSITIONS = "of in to for with on at by from into under between among upon within without against through over after before about as per out off up down".split()
+VERBS = (
+    "accept acquire act agree amend apply appoint approve assign become begin bind bring buy call cause come commence comply comprise constitute contain continue control cover create date define deliver depend describe designate develop "
+    "distribute enter establish exceed execute exercise expire file follow form furnish give go govern grant hold include indemnify incorporate issue keep lease license limit locate maintain make manage mean notify obtain occur offer operate order "
+    "own pay perform permit place prepare produce promote protect provide purchase receive refer relate release remain renew rent report represent require reserve retain return sell send serve set sign specify start state submit supply take terminate transfer use work write"
+).split()
+IRREGULAR_VERBS = "made held bought brought sold sent paid given gone kept taken begun began bound written wrote chosen known found built left lent met understood undertaken".split()
 # End of the fixed values.

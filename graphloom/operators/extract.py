@@ -92,12 +92,17 @@ def token_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return word_features(tokens(docs, id_col, text_col), id_col, "pos", "w")
 
 
-def label_samples(docs: DataFrame, most: int = 20, batch: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first ``most`` sentences of 5 to 30 words with a capital, in batches."""
+def label_samples_with_text(docs: DataFrame, most: int = 20, batch: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first ``most`` sentences of 5 to 30 words with a capital, in batches; null and empty texts have none."""
     s = sentences(docs, id_col, text_col)
     s = s.filter(F.size(words(F.col("sentence"))).between(5, 30) & F.col("sentence").rlike(r"\p{Lu}"))
     s = s.withColumn("rn", F.row_number().over(Window.partitionBy(id_col).orderBy("sid"))).filter(F.col("rn") <= most)
-    return s.select(id_col, "sid", "rn", F.floor((F.col("rn") - 1) / batch).cast("int").alias("batch"))
+    return s.select(id_col, "sid", "rn", F.floor((F.col("rn") - 1) / batch).cast("int").alias("batch"), "sentence")
+
+
+def label_samples(docs: DataFrame, most: int = 20, batch: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``label_samples_with_text`` without the texts."""
+    return label_samples_with_text(docs, most, batch, id_col, text_col).drop("sentence")
 
 
 def bio_decode(tagged: DataFrame) -> DataFrame:
@@ -169,21 +174,28 @@ def _matches(pattern: str, group: int):
     return find
 
 
-def _places(text: Column, name: Column) -> Column:
-    """Where a name stands in a text, without overlaps."""
+def _places(text: Column, names: Column) -> Column:
+    """Where each of a text's names stands in it, without overlaps of one name."""
 
-    @F.pandas_udf("array<int>")
-    def find(texts: pd.Series, names: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<struct<name:string,label:string,start:int>>")
+    def find(texts: pd.Series, own: pd.Series) -> pd.Series:
         out = []
-        for t, n in zip(texts, names, strict=True):
-            at, own = t.find(n), []
-            while at >= 0:
-                own.append(at)
-                at = t.find(n, at + len(n))
-            out.append(own)
+        for t, few in zip(texts, own, strict=True):
+            found = []
+            for x in few:
+                low = x["name"].lower()
+                at = t.find(low)
+                while at >= 0:
+                    found.append({"name": x["name"], "label": x["label"], "start": at})
+                    at = t.find(low, at + len(low))
+            out.append(found)
         return pd.Series(out)
 
-    return find(text, name)
+    return find(text, names)
+
+
+def _labelled(label: str):
+    return lambda m: F.struct(F.lit(label).alias("label"), m.alias("m"))
 
 
 def mentions(docs: DataFrame, most_chars: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,17 +214,16 @@ def mentions(docs: DataFrame, most_chars: int | None = None, id_col: str = "doc_
         ("CONTRACT", fixed.CONTRACT_HINT, 1),
         ("JURISDICTION", fixed.JURISDICTION_HINT, 1),
     )
-    found = None
-    for label, pattern, group in kinds:
-        m = d.select("doc_id", "t", F.lit(label).alias("label"), F.explode(_matches(pattern, group)("head")).alias("m"))
-        m = m.select("doc_id", "t", "label", normalize_mention(F.col("m.value"), dashes=True).alias("text"), "m.start", "m.end")
-        found = m if found is None else found.union(m)
+    # one scan of the texts, which go no further than the sentence of each match
+    every = F.concat(*[F.transform(_matches(pattern, group)("head"), _labelled(label)) for label, pattern, group in kinds])
+    found = d.select("doc_id", "t", F.explode(every).alias("x")).select("doc_id", "t", "x.label", F.col("x.m.value").alias("value"), "x.m.start", "x.m.end")
+    found = found.select("doc_id", "label", normalize_mention(F.col("value"), dashes=True).alias("text"), "start", "end", sentence_around(F.col("t"), F.col("start"), F.col("end")).alias("sentence"))
     text, label = F.col("text"), F.col("label")
     key = canonical_key(text, label)
     place = canonical_key(text).isin(fixed.US_STATES) | (F.size(words(text)) <= 4)
     keep = F.when(label == "JURISDICTION", place).when(label == "PARTY", ~text.rlike(fixed.MODAL) & (F.length(text) >= 3)).otherwise(F.length(text) >= 3)
     found = found.filter(keep).withColumn("key", key).dropDuplicates(["doc_id", "label", "key", "start"])
-    found = found.withColumn("sentence", sentence_around(F.col("t"), F.col("start"), F.col("end"))).drop("t", "key")
+    found = found.drop("key")
     name = normalize_mention(F.replace(F.col("doc_id").cast("string"), F.lit("_"), F.lit(" ")), dashes=True)
     title = d.select("doc_id", name.alias("sentence"), F.regexp_extract(name, fixed.TITLE, 1).alias("text")).filter("text <> ''")
     title = title.select("doc_id", F.lit("CONTRACT").alias("label"), "text", F.lit(0).alias("start"), F.lit(0).alias("end"), "sentence")
@@ -223,10 +234,12 @@ def mentions(docs: DataFrame, most_chars: int | None = None, id_col: str = "doc_
 def occurrences(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_only: bool = False) -> DataFrame:
     """(doc_id, name, label, start, end) of names (doc_id, name, label) in their documents, without regard to case.
 
-    Every occurrence counts; ``first_only`` keeps the first of each.
+    Every occurrence counts; ``first_only`` keeps the first of each. Null texts and names have none.
     """
-    d = docs.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).join(names.dropDuplicates([id_col, "name", "label"]).filter("name <> ''"), id_col)
-    found = _places(F.col("t"), F.lower("name"))
-    found = F.slice(found, 1, 1) if first_only else found
-    d = d.select(id_col, "name", "label", F.explode(found).alias("start"))
+    own = names.filter("name <> ''").groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("name", "label"))).alias("names"))
+    d = docs.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).join(own, id_col)  # each text moves once
+    found = _places(F.col("t"), F.col("names"))
+    d = d.select(id_col, F.explode(found).alias("x")).select(id_col, "x.*")
+    if first_only:
+        d = d.groupBy(id_col, "name", "label").agg(F.min("start").alias("start"))
     return d.select(id_col, "name", "label", "start", (F.col("start") + F.length("name")).alias("end"))

@@ -89,6 +89,36 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4) -> Dat
     return found.filter("source <> target").select("source", "target", "hops", F.array_join("path", " > ").alias("path"))
 
 
+def best_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4) -> DataFrame:
+    """(source, target, hops, confidence, path, rank) for pairs (source, target): fewest hops, then the highest mean confidence.
+
+    Of parallel edges the most confident one counts, then the first relation; it
+    may be walked against its direction, which the path shows (``<-R-``). Of
+    equal paths the first by its nodes. All paths are ranked by (hops, mean
+    confidence). A null confidence counts as 0; loops, null ends, pairs of one
+    node and pairs out of reach give no row. Frontiers keep one path per source
+    and node, since at equal length the best path to a node goes over the best
+    paths to its neighbours.
+    """
+    ok = edges.filter("src is not null and dst is not null and src <> dst").withColumn("c", F.coalesce("confidence", F.lit(0.0)))
+    both = ok.select(F.col("src").alias("node"), F.col("dst").alias("other"), "relation", F.col("c").alias("confidence"), F.lit(1).alias("out"))
+    both = both.union(ok.select("dst", "src", "relation", "c", F.lit(0)))
+    best = both.groupBy("node", "other").agg(F.min(F.struct((-F.col("confidence")).alias("less"), "relation", (-F.col("out")).alias("back"))).alias("e"))
+    step = F.when(F.col("e.back") < 0, F.concat(F.lit(" -"), F.coalesce("e.relation", F.lit("")), F.lit("-> "))).otherwise(F.concat(F.lit(" <-"), F.coalesce("e.relation", F.lit("")), F.lit("- ")))
+    adjacent = materialise(best.select("node", "other", (-F.col("e.less")).alias("c"), step.alias("step")), "best-edges")
+    seen = pairs.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0).alias("hops"), F.lit(0.0).alias("sum"), F.array("source").alias("nodes"), F.col("source").alias("path"))
+    frontier = seen
+    for hop in range(1, max_hops + 1):
+        grown = frontier.join(adjacent, "node").join(seen.select("source", F.col("node").alias("other")), ["source", "other"], "left_anti")
+        grown = grown.select("source", F.col("other").alias("node"), (F.col("sum") + F.col("c")).alias("sum"), F.concat("nodes", F.array("other")).alias("nodes"), F.concat("path", "step", "other").alias("path"))
+        top = grown.groupBy("source", "node").agg(F.min(F.struct((-F.round("sum", 9)).alias("less"), "nodes", "path", "sum")).alias("b"))
+        frontier = materialise(top.select("source", "node", F.lit(hop).alias("hops"), F.col("b.sum").alias("sum"), F.col("b.nodes").alias("nodes"), F.col("b.path").alias("path")), "best-paths")
+        seen = seen.unionByName(frontier)
+    found = pairs.select("source", "target").distinct().join(seen.withColumnRenamed("node", "target"), ["source", "target"]).filter("hops > 0")
+    found = found.select("source", "target", "hops", F.round(F.col("sum") / F.col("hops"), 6).alias("confidence"), "path")
+    return found.withColumn("rank", F.row_number().over(Window.orderBy("hops", F.desc("confidence"), "source", "target")))
+
+
 #: Neighbours of a hub that one task pairs with as many others.
 SIDE = 2000
 

@@ -268,14 +268,16 @@ def two_tier(triples: DataFrame, min_confidence: float = 0.75) -> DataFrame:
 
 
 def entity_pairs(sentences: DataFrame, spans: DataFrame, max_gap: int = 25) -> DataFrame:
-    """Pairs of spans in one sentence with the words between them as predicate.
+    """Pairs of spans in one sentence with the verb phrase between them as predicate.
 
     ``sentences`` (doc_id, sid, start, text) and ``spans`` (doc_id, text,
     label, start, end) count characters in the document. A predicate of over
-    six words, capitals or mostly marks is left out, as is a gap of over
-    ``max_gap`` words.
+    six words, capitals or mostly marks is left out, as is a pair without one (``phrases.verb_phrase``)
+    or with a gap of over ``max_gap`` words. Null texts and empty tables give no pairs.
     """
+    from ..functions.once import once
     from ..functions.text import is_junk_predicate, normalize_predicate, words
+    from .phrases import verb_phrase
 
     s = sentences.select("doc_id", "sid", F.col("start").alias("s0"), F.col("text").alias("sentence"))
     inside = spans.join(s, "doc_id").filter((F.col("start") >= F.col("s0")) & (F.col("start") < F.col("s0") + F.length("sentence")))
@@ -283,9 +285,9 @@ def entity_pairs(sentences: DataFrame, spans: DataFrame, max_gap: int = 25) -> D
     b = inside.select("doc_id", "sid", F.col("text").alias("entity2"), F.col("label").alias("label2"), F.col("start").alias("b2"))
     p = a.join(b, ["doc_id", "sid"]).filter("e1 <= b2")
     between = F.btrim(F.expr("substring(sentence, e1 - s0 + 1, b2 - e1)"))
-    p = p.withColumn("predicate", between)
+    p = p.withColumn("gap", F.size(words(between))).filter(F.col("gap") <= max_gap).withColumn("predicate", once(verb_phrase(between)))
     n = F.size(words(F.col("predicate")))
-    good = (n <= max_gap) & n.between(1, 6) & ~F.lower("predicate").isin(fixed.GARBAGE_PREDICATES) & ~is_junk_predicate(F.col("predicate")) & (F.upper("predicate") != F.col("predicate"))
+    good = n.between(1, 6) & ~F.lower("predicate").isin(fixed.GARBAGE_PREDICATES) & ~is_junk_predicate(F.col("predicate")) & (F.upper("predicate") != F.col("predicate"))
     return p.filter(good).select("doc_id", "sid", "entity1", "label1", "entity2", "label2", "predicate", normalize_predicate(F.col("predicate")).alias("relation"), "sentence")
 
 

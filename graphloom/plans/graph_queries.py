@@ -95,6 +95,29 @@ def shortest_paths(spark, sf_dir):
     return graph.shortest_paths(customer_graph(spark, sf_dir)[1], spark.createDataFrame(PAIRS, "source string, target string"))
 
 
+def _best_sql() -> str:
+    both = "SELECT src AS node, dst AS other, relation, confidence, 1 AS fwd FROM e WHERE src <> dst UNION ALL SELECT dst, src, relation, confidence, 0 FROM e WHERE src <> dst"
+    out = [
+        f"one AS (SELECT node, other, confidence AS c, CASE fwd WHEN 1 THEN ' -' || relation || '-> ' ELSE ' <-' || relation || '- ' END AS step FROM (SELECT *, row_number() OVER (PARTITION BY node, other ORDER BY confidence DESC, relation, fwd DESC) AS k FROM ({both})) WHERE k = 1)",
+        f"b0 AS (SELECT DISTINCT s AS source, s AS node, 0::DOUBLE AS total, [s] AS nodes, s AS path FROM (VALUES {', '.join(f'({chr(39)}{a}{chr(39)})' for a in sorted({a for a, _ in PAIRS}))}) t(s))", "s0 AS (SELECT *, 0 AS hops FROM b0)",
+    ]
+    for h in range(1, 5):
+        grown = f"SELECT source, one.other AS node, total + c AS total, list_append(nodes, one.other) AS nodes, path || step || one.other AS path FROM b{h - 1} JOIN one USING (node) WHERE NOT EXISTS (SELECT 1 FROM s{h - 1} x WHERE x.source = b{h - 1}.source AND x.node = one.other)"
+        out.append(f"b{h} AS (SELECT source, node, total, nodes, path FROM (SELECT *, row_number() OVER (PARTITION BY source, node ORDER BY round(total, 9) DESC, nodes, path) AS k FROM ({grown})) WHERE k = 1)")
+        out.append(f"s{h} AS (SELECT * FROM s{h - 1} UNION ALL SELECT *, {h} FROM b{h})")
+    pairs = ", ".join(f"('{a}', '{b}')" for a, b in PAIRS)
+    return ", ".join(out) + (
+        f", f AS (SELECT q.source, q.target, hops, round(total / hops, 6) AS confidence, path FROM (VALUES {pairs}) q(source, target) JOIN s4 ON s4.source = q.source AND s4.node = q.target WHERE hops > 0)"
+        " SELECT source, target, hops::INT AS hops, confidence, path, row_number() OVER (ORDER BY hops, confidence DESC, source, target)::INT AS rank FROM f"
+    )
+
+
+@query(f"WITH {EDGES}, {_best_sql()}")
+def best_paths(spark, sf_dir):
+    """WIN13 with GRA7: of the shortest paths the most confident over parallel edges, ranked by hops and mean confidence."""
+    return graph.best_paths(customer_graph(spark, sf_dir)[1], spark.createDataFrame(PAIRS, "source string, target string"))
+
+
 @query(f"WITH {EDGES} SELECT DISTINCT id FROM (SELECT node AS id FROM adj WHERE node LIKE '%ation_7%' OR lower(node) LIKE '%nation_7%' UNION ALL SELECT other FROM adj WHERE lower(node) LIKE '%nation_7%')")
 def neighbour_expansion(spark, sf_dir):
     """GRA9 and GRA11."""

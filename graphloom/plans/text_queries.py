@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import extract, punkt, triples
+from ..operators import extract, phrases, punkt, triples
 from . import fixtures
 from .registry import in_list, query, table, values
 
@@ -357,6 +357,32 @@ def context_windows(spark, sf_dir):
     return c.select("conv_id", "turn", "role", F.lag("role").over(w).alias("prev_role"), F.sum("n").over(w.rowsBetween(-10, -1)).alias("context_chars"))
 
 
+def _class_sql(w: str) -> str:
+    low = f"lower({w})"
+    forms = sorted({v[:-1] + e if v.endswith("e") and e in ("ed", "ing", "es") else v + e for v in fixed.VERBS for e in ("", "s", "es", "d", "ed", "ing")} | set(fixed.IRREGULAR_VERBS))
+    base = f"regexp_replace(regexp_replace({low}, '(?:e?s|e?d|ing)$', ''), 'e$', '')"
+    small = f"regexp_matches({w}, '^\\p{{Ll}}')"
+    return f"""CASE WHEN {low} IN {in_list(fixed.AUXILIARIES)} THEN 'A' WHEN {low} IN {in_list(fixed.ADVERBS)} OR ({small} AND regexp_matches({low}, '^\\p{{L}}{{2,}}ly$')) THEN 'R' WHEN {low} IN {in_list(fixed.PREPOSITIONS)} THEN 'P'
+WHEN {small} AND ({low} IN {in_list(forms)} OR (regexp_matches({low}, '^\\p{{L}}{{2,}}(?:ed|ing)$') AND length({base}) >= 3)) THEN 'V' ELSE 'O' END"""
+
+
+#: The phrase as a pattern over the letters of the words' classes, a twin of the fold.
+_PHRASE = "A[AR]*[VP]?[PR]*|V[PR]*"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, i AS sid, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {SENTS} AS s FROM documents))),
+w AS (SELECT doc_id, sid, list_filter(list_transform({_BLANK.format("sentence")}, lambda x: regexp_replace(x, '^["''(\\[{{,.;:]+|["'')\\]}},.;:!?]+$', '', 'g')), lambda x: x <> '') AS w FROM s),
+c AS (SELECT doc_id, sid, w, array_to_string(list_transform(w, lambda x: {_class_sql("x")}), '') AS c FROM w),
+p AS (SELECT *, regexp_extract(c, '{_PHRASE}') AS p, len(regexp_extract(c, '^[^AV]*')) AS a FROM c)
+SELECT doc_id, sid::INT AS sid, CASE WHEN p <> '' THEN lower(array_to_string(w[a + 1 : a + len(p)], ' ')) WHEN len(w) BETWEEN 1 AND 5 THEN array_to_string(w, ' ') END AS phrase FROM p"""
+)
+def verb_phrases(spark, sf_dir):
+    """NLP3: the verb phrase of every sentence of the documents."""
+    s = extract.sentences(table(spark, sf_dir, "documents"))
+    return s.select("doc_id", "sid", phrases.verb_phrase(F.col("sentence")).alias("phrase"))
+
+
 @query()
 def relation_pairs(spark, sf_dir):
     """EXP10, JOI6, JOI7 and JOI17: names in one sentence and the words between them, over all documents and the fixture."""
