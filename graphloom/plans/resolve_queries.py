@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.similarity import er_probability, hard_conflict, levenshtein_similarity, pair_features
 from ..operators import resolve
+from . import fixtures
 from .registry import query, table
 from .text_queries import MENTIONS, QUALITY, acronym_sql, key_sql, mentions, norm_sql, tokens_sql, years_sql
 
@@ -100,19 +102,26 @@ def conflict_sql(a: str, b: str, la: str, lb: str) -> str:
 
 
 @query(
-    f"""WITH {MENTIONS} SELECT a.id AS id_a, b.id AS id_b, round({score_sql("a.t", "b.t", "a.label", "a.filename", "b.filename")}, 6) AS score,
-{conflict_sql("a.t", "b.t", "a.label", "b.label")} AS conflict, round(1 - levenshtein(lower(a.t), lower(b.t)) / nullif(greatest(length(a.t), length(b.t)), 0), 6) AS lev FROM m a JOIN m b ON a.id < b.id"""
+    f"""WITH {MENTIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY id) AS k FROM m)
+SELECT a.id AS id_a, b.id AS id_b, round({score_sql("a.t", "b.t", "a.label", "a.filename", "b.filename")}, 6) AS score,
+{conflict_sql("a.t", "b.t", "a.label", "b.label")} AS conflict, round(1 - levenshtein(lower(a.t), lower(b.t)) / nullif(greatest(length(a.t), length(b.t)), 0), 6) AS lev
+FROM o a JOIN o b ON a.filename = b.filename AND b.k - a.k BETWEEN 1 AND 3 UNION ALL
+SELECT a.id, b.id, round({score_sql("a.t", "b.t", "a.label", "a.filename", "b.filename")}, 6), {conflict_sql("a.t", "b.t", "a.label", "b.label")}, round(1 - levenshtein(lower(a.t), lower(b.t)) / nullif(greatest(length(a.t), length(b.t)), 0), 6)
+FROM m0 a JOIN m0 b ON a.id < b.id AND a.filename <> b.filename"""
 )
 def er_features(spark, sf_dir):
-    """SIM1 and SIM3 to SIM6 over every pair of a fixed list of mentions."""
-    m = mentions(spark)
-    a = m.select(*[F.col(c).alias(f"{c}_a") for c in m.columns])
-    b = m.select(*[F.col(c).alias(f"{c}_b") for c in m.columns])
-    p = a.join(b, F.col("id_a") < F.col("id_b"))
-    x, y = F.col("t_a"), F.col("t_b")
-    f = pair_features(x, y, F.col("label_a"), F.col("filename_a"), F.col("filename_b"))
+    """SIM1 and SIM3 to SIM6: each mention with the next three of its file, and those of the fixture's other files."""
+    m = mentions(spark, sf_dir)
+    of = Window.partitionBy("filename").orderBy("id")
+    row = F.struct(*m.columns)
+    near = m.select(row.alias("a"), F.array(*[F.lead(row, k).over(of) for k in (1, 2, 3)]).alias("next")).select("a", F.explode("next").alias("b")).filter("b is not null")
+    few = spark.createDataFrame(fixtures.MENTIONS, m.schema).select(row.alias("a"))
+    other = few.join(F.broadcast(few.withColumnRenamed("a", "b")), F.expr("a.id < b.id and a.filename <> b.filename"))  # the fixture's 28 rows
+    x, y = F.col("a.t"), F.col("b.t")
+    f = pair_features(x, y, F.col("a.label"), F.col("a.filename"), F.col("b.filename"))
     lev = F.when(F.greatest(F.length(x), F.length(y)) > 0, levenshtein_similarity(x, y))
-    return p.select("id_a", "id_b", F.round(er_probability(f), 6).alias("score"), hard_conflict(x, y, F.col("label_a"), F.col("label_b")).alias("conflict"), F.round(lev, 6).alias("lev"))
+    p = near.unionByName(other)
+    return p.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.round(er_probability(f), 6).alias("score"), hard_conflict(x, y, F.col("a.label"), F.col("b.label")).alias("conflict"), F.round(lev, 6).alias("lev"))
 
 
 REPS = f"""m0 AS (SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN substring(p_name, 1, length(p_name) - 1) ELSE p_name || ' set' END AS t, 'PARTY' AS label, p_brand AS filename FROM part),

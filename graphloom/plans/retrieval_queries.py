@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 from ..operators import retrieve
 from .registry import literal, query, table, values
-from .text_queries import mentions
+from .text_queries import by_rest, said
 
 QUERY = "the er tion and license of"
 TERMS = retrieve.query_terms(QUERY)
@@ -115,12 +115,16 @@ _CASES = " ".join(f"WHEN '{k}' THEN replace({literal(v)}, '{{}}', display)" for
 
 
 @query(
-    f"""WITH {values("e", "key, display, label, frequency", _ENT)}, t AS (SELECT * FROM e ORDER BY frequency DESC, key LIMIT 400), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY frequency DESC, key) AS k FROM t WHERE len(string_split(key, ' ')) <= 6)
+    f"""WITH {values("e0", "key, display, label, frequency", _ENT)}, {DICT}, e AS (SELECT * FROM e0 UNION ALL SELECT key, display, CASE substring(label, 7)::INT % 5 WHEN 0 THEN 'PARTY' WHEN 1 THEN 'CONTRACT' WHEN 2 THEN 'JURISDICTION' WHEN 3 THEN 'EFFECTIVE_DATE' ELSE 'OTHER' END, frequency FROM dict),
+t AS (SELECT * FROM e ORDER BY frequency DESC, key LIMIT 400), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY frequency DESC, key) AS k FROM t WHERE len(string_split(key, ' ')) <= 6)
 SELECT label, CASE label {_CASES} END AS question FROM o WHERE k = 1 AND CASE label {_CASES} END IS NOT NULL"""
 )
 def example_questions(spark, sf_dir):
     """WIN15."""
-    return retrieve.examples(spark.createDataFrame(_ENT, "key string, display string, label string, frequency long"))
+    d = part_dictionary(spark, sf_dir)
+    label = by_rest(F.substring("label", 7, 9).cast("int"), *map(F.lit, ("PARTY", "CONTRACT", "JURISDICTION", "EFFECTIVE_DATE", "OTHER")))
+    own = spark.createDataFrame(_ENT, "key string, display string, label string, frequency long")
+    return retrieve.examples(own.union(d.select("key", "display", label, "frequency")))
 
 
 _ASKED = [(1, "What is the governing law of Beta Distribution and Acme Widgets, Inc.?"), (2, "effective date and notice"), (3, "who?")]
@@ -147,10 +151,19 @@ def entity_match(spark, sf_dir):
 _HINTS = "list_sort(list_distinct(flatten([" + ", ".join(f"CASE WHEN contains(lower(q), '{p}') THEN {r!r} ELSE []::VARCHAR[] END" for p, r in fixed.RELATION_HINTS.items()) + "])))"
 
 
-@query(f"WITH {values('s', 'qid, q', _ASKED)} SELECT qid, array_to_string({_HINTS}, ',') AS hints, CASE WHEN contains(lower(q), 'law') THEN 1 ELSE 0 END AS found FROM s")
+_QUESTIONS = """SELECT (o_orderkey + 1000)::INT AS qid, CASE o_orderkey % 6 WHEN 0 THEN 'Which governing law binds order ' || o_orderkey || '?' WHEN 1 THEN 'Who is the Distributor or subsidiary of ' || o_custkey WHEN 2 THEN 'When does order ' || o_orderkey || ' terminate' WHEN 3 THEN 'effective date and NOTICE of ' || o_orderpriority
+WHEN 4 THEN 'jurisdiction' ELSE o_orderstatus END AS q FROM orders"""
+
+
+@query(f"WITH {values('s0', 'qid, q', _ASKED)}, s AS (SELECT * FROM s0 UNION ALL {_QUESTIONS}) SELECT qid, array_to_string({_HINTS}, ',') AS hints, CASE WHEN contains(lower(q), 'law') THEN 1 ELSE 0 END AS found FROM s")
 def relation_hints(spark, sf_dir):
     """TXT23 and TXT25."""
-    s = spark.createDataFrame(_ASKED, "qid int, q string")
+    key = F.col("o_orderkey")
+    shapes = (
+        said("Which governing law binds order ", key, "?"), said("Who is the Distributor or subsidiary of ", F.col("o_custkey")), said("When does order ", key, " terminate"),
+        said("effective date and NOTICE of ", F.col("o_orderpriority")), F.lit("jurisdiction"), F.col("o_orderstatus"),
+    )
+    s = spark.createDataFrame(_ASKED, "qid int, q string").union(table(spark, sf_dir, "orders").select((key + 1000).cast("int"), by_rest(key, *shapes)))
     return s.select("qid", F.array_join(text.relation_hints(F.col("q")), ",").alias("hints"), text.heuristic_score(F.lit("Law (any)"), F.col("q")).alias("found"))
 
 
@@ -158,31 +171,38 @@ _FACTS = [
     (1, "Acme", "GOVERNED_BY", "Ohio", True), (2, "Acme", "PARTY_OF", "Supply Agreement", True), (3, "Supply Agreement", "EFFECTIVE_ON", "May 1 2020", True), (4, "Beta", "LOCATED_IN", "Ohio", False),
     (5, "Beta", "PARTY_OF", "License", False), (6, "Supply Agreement", "GOVERNED_BY", "Ohio", False),
 ]
-_ASK = "supply agreement governed ohio ohio"
+_ASK = "supply agreement governed ohio ohio nation_7 located"
 _AT = ", ".join(f"'{t}'" for t in _ASK.split())
 
 
-_RETRIEVED = f"""WITH {values("f", "id, s, p, o, ok", _FACTS)}, d AS (SELECT id, ok, list_filter(string_split(lower(s || ' ' || replace(p, '_', ' ') || ' ' || o || '.' || CASE WHEN ok THEN '' ELSE ' [UNVERIFIED]' END), ' '), lambda x: x <> '') AS t FROM f),
+_RETRIEVED = f"""WITH {values("f0", "id, s, p, o, ok", _FACTS)}, f AS (SELECT * FROM f0 UNION ALL SELECT (c_custkey + 100)::INT, c_name, 'LOCATED_IN', n_name, c_custkey % 3 > 0 FROM customer JOIN nation ON n_nationkey = c_nationkey), d AS (SELECT id, ok, list_filter(string_split(lower(s || ' ' || replace(p, '_', ' ') || ' ' || o || '.' || CASE WHEN ok THEN '' ELSE ' [UNVERIFIED]' END), ' '), lambda x: x <> '') AS t FROM f),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM d) GROUP BY 1), w0 AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
 w AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM w0) ELSE raw END AS idf FROM w0), tf AS (SELECT id, ok, len(t) AS l, term, len(list_filter(t, lambda x: x = term)) AS tf FROM d, (SELECT unnest([{_AT}]) AS term)),
 bm AS (SELECT id, ok, sum(coalesce(idf, 0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / avgdl))) AS score FROM tf LEFT JOIN w USING (term), st GROUP BY ALL)
 SELECT id, ok AS validated, round(score, 6) AS score FROM (SELECT * FROM bm ORDER BY round(score, 9) DESC, id LIMIT 5) WHERE score > 0"""
 
 
+def facts_of_customers(spark, sf_dir):
+    """The fixture's facts, and where each customer is, every third one unverified."""
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    own = spark.createDataFrame(_FACTS, "id int, s string, p string, o string, ok boolean")
+    return own.union(c.select((F.col("c_custkey") + 100).cast("int"), "c_name", F.lit("LOCATED_IN"), "n_name", F.col("c_custkey") % 3 > 0))
+
+
 @query(_RETRIEVED)
 def fact_retrieval(spark, sf_dir):
     """SIM15 and TXT22: BM25 over facts as sentences."""
-    f = spark.createDataFrame(_FACTS, "id int, s string, p string, o string, ok boolean")
-    said = f.select("id", "ok", text.verbalize(F.col("s"), F.col("p"), F.col("o"), F.col("ok")).alias("text"))
-    top = retrieve.bm25(said, _ASK.split(), "id", tokens=text.words(F.lower("text"))).orderBy(F.desc(F.round("score", 9)), "id").limit(5).filter("score > 0")
+    f = facts_of_customers(spark, sf_dir)
+    sentences = f.select("id", "ok", text.verbalize(F.col("s"), F.col("p"), F.col("o"), F.col("ok")).alias("text"))
+    top = retrieve.bm25(sentences, _ASK.split(), "id", tokens=text.words(F.lower("text"))).orderBy(F.desc(F.round("score", 9)), "id").limit(5).filter("score > 0")
     return top.join(f.select("id", F.col("ok").alias("validated")), "id").select("id", "validated", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT count(*) FILTER (validated)::BIGINT AS validated, count(*) FILTER (NOT validated)::BIGINT AS unvalidated, count(*)::BIGINT AS retrieved, {len(_FACTS)}::BIGINT AS total FROM ({_RETRIEVED})")
+@query(f"SELECT count(*) FILTER (validated)::BIGINT AS validated, count(*) FILTER (NOT validated)::BIGINT AS unvalidated, count(*)::BIGINT AS retrieved, {len(_FACTS)} + (SELECT count(*) FROM customer)::BIGINT AS total FROM ({_RETRIEVED})")
 def retrieved_counts(spark, sf_dir):
     """AGG26: validated and unvalidated facts among those retrieved, and all there are."""
     r = fact_retrieval(spark, sf_dir).agg(F.count_if("validated").alias("validated"), F.count_if(~F.col("validated")).alias("unvalidated"), F.count("*").alias("retrieved"))
-    return r.withColumn("total", F.lit(len(_FACTS)).cast("long"))
+    return r.join(F.broadcast(facts_of_customers(spark, sf_dir).agg(F.count("*").alias("total"))))
 
 
 @query()

@@ -74,20 +74,31 @@ def sql_surface(spark, sf_dir):
     return spark.sql("SELECT type, relation, count(*) AS n, round(avg(confidence), 6) AS confidence FROM relations JOIN entities ON entities.name = relations.subject GROUP BY type, relation")
 
 
-@query("SELECT name, value FROM (VALUES ('a.b', '1'), ('a.c.d', '\"x\"'), ('e', 'true')) t(name, value)")
+@query("SELECT 'tables.customer' AS name, (SELECT count(*) FROM customer)::VARCHAR AS value UNION ALL SELECT 'tables.orders.all', (SELECT count(*) FROM orders)::VARCHAR UNION ALL SELECT 'tables.orders.status.' || o_orderstatus, count(*)::VARCHAR FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'first', '\"' || min(c_name) || '\"' FROM customer UNION ALL SELECT 'ok', 'true'")
 def metrics_flatten(spark, sf_dir):
-    """SNK8."""
+    """SNK8: nested counts of the tables as rows of names and values."""
     v, e = customer_graph(spark, sf_dir)
-    return io.sql_tables(v, e, {"a": {"b": 1, "c": {"d": "x"}}, "e": True})["metrics"]
+    c, o = table(spark, sf_dir, "customer").agg(F.count("*").alias("n"), F.min("c_name").alias("first")).first(), table(spark, sf_dir, "orders").groupBy("o_orderstatus").count().collect()
+    counts = {"customer": c["n"], "orders": {"all": sum(r["count"] for r in o), "status": {r["o_orderstatus"]: r["count"] for r in o}}}
+    return io.sql_tables(v, e, {"tables": counts, "first": c["first"], "ok": True})["metrics"]
 
 
-_QA = '{"data":[{"title":"t","paragraphs":[{"context":"Acme of Ohio.","qas":[{"question":"Which Parties sign?","answers":[{"text":"Acme","answer_start":0}]},{"question":"Governing Law?","answers":[{"text":"Ohio","answer_start":8}]},{"question":"Why?","answers":[{"text":"of","answer_start":5}]}]},{"context":"Nothing.","qas":[]}]}]}'
-
-
-@query("SELECT * FROM (VALUES ('Acme of Ohio.', 0, 4, 'PARTY', 'Acme'), ('Acme of Ohio.', 8, 12, 'JURISDICTION', 'Ohio')) t(text, \"start\", \"end\", label, entity)")
+@query(
+    """WITH t AS (SELECT c_name || ' of ' || n_name || '.' AS text, c_name, n_name, c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT text, 0 AS start, length(c_name)::INT AS "end", 'PARTY' AS label, c_name AS entity FROM t WHERE c_custkey % 5 <> 4 UNION ALL SELECT text, (length(c_name) + 4)::INT, (length(c_name) + 4 + length(n_name))::INT, 'JURISDICTION', n_name FROM t WHERE c_custkey % 5 <> 4"""
+)
 def qa_flatten(spark, sf_dir):
-    """SRC4."""
-    raw = spark.createDataFrame([(_QA,)], "j string").select(F.from_json("j", io.QA_SCHEMA).alias("r")).select("r.*")
+    """SRC4: questions and answers about customers, a JSON text for each nation."""
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    answer = lambda text, at: F.array(F.struct(text.alias("text"), at.cast("int").alias("answer_start")))
+    ask = lambda q, a: F.struct(F.lit(q).alias("question"), a.alias("answers"))
+    name, nation = F.col("c_name"), F.col("n_name")
+    qas = F.array(ask("Which Parties sign?", answer(name, F.lit(0))), ask("Governing Law?", answer(nation, F.length(name) + 4)), ask("Why?", answer(F.lit("of"), F.length(name) + 1)))
+    none = F.filter(qas, lambda x: F.lit(False))
+    paragraph = F.struct(F.concat(name, F.lit(" of "), nation, F.lit(".")).alias("context"), F.when(F.col("c_custkey") % 5 == 4, none).otherwise(qas).alias("qas"))
+    texts = c.groupBy("n_name").agg(F.collect_list(paragraph).alias("paragraphs"))
+    texts = texts.select(F.to_json(F.struct(F.array(F.struct(F.col("n_name").alias("title"), "paragraphs")).alias("data"))).alias("j"))
+    raw = texts.select(F.from_json("j", io.QA_SCHEMA).alias("r")).select("r.*")
     return io.flatten_qa(raw).select("text", F.explode("entities").alias("e")).select("text", "e.start", "e.end", "e.label", F.col("e.text").alias("entity"))
 
 

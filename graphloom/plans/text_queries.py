@@ -10,13 +10,38 @@ from ..operators import extract, phrases, punkt, triples
 from . import fixtures
 from .registry import in_list, query, table, values
 
-MENTIONS = values("m", "id, t, label, filename", fixtures.MENTIONS)
+#: Names of parts in the shapes that mentions take, beside those of the fixture.
+PART_MENTIONS = """SELECT (p_partkey + 1000)::INT AS id, CASE p_partkey % 9 WHEN 0 THEN p_name || ', Inc.' WHEN 1 THEN upper(p_name) || ' LLC' WHEN 2 THEN p_name || ' Agreement ' || (1990 + p_size) WHEN 3 THEN 'State of ' || p_brand WHEN 4 THEN p_name || ', ' || p_type || ', and Sons'
+WHEN 5 THEN substring(p_name, 1, 2) WHEN 6 THEN '  "' || p_name || '"  ' WHEN 7 THEN p_size || ' units ' || p_partkey || ' ' || p_size ELSE 'the ' || p_name || ' Holdings Co., Ltd.' END AS t,
+CASE p_partkey % 4 WHEN 0 THEN 'CONTRACT' WHEN 1 THEN 'JURISDICTION' ELSE 'PARTY' END AS label, p_brand AS filename FROM part"""
+MENTIONS = values("m0", "id, t, label, filename", fixtures.MENTIONS) + f", m AS (SELECT * FROM m0 UNION ALL {PART_MENTIONS})"
 STRIP = " || chr(9) || chr(13) || chr(10) || ',.;:()[]{}\"'''"
 SUFFIXES = in_list(fixed.ENTITY_SUFFIXES)
 
 
-def mentions(spark):
-    return spark.createDataFrame(fixtures.MENTIONS, "id int, t string, label string, filename string")
+def by_rest(number, *values):
+    """The value whose place is the rest of a number by how many there are."""
+    out = None
+    for i, v in enumerate(values):
+        out = F.when(number % len(values) == i, v) if out is None else out.when(number % len(values) == i, v)
+    return out
+
+
+def said(*parts):
+    """Columns as text, one behind the other; a str is itself."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def mentions(spark, sf_dir):
+    """(id, t, label, filename) of the fixture and of all parts."""
+    own = spark.createDataFrame(fixtures.MENTIONS, "id int, t string, label string, filename string")
+    name, key, size = F.col("p_name"), F.col("p_partkey"), F.col("p_size")
+    shapes = (
+        said(name, ", Inc."), said(F.upper(name), " LLC"), said(name, " Agreement ", size + 1990), said("State of ", F.col("p_brand")), said(name, ", ", F.col("p_type"), ", and Sons"),
+        F.substring(name, 1, 2), said('  "', name, '"  '), said(size, " units ", key, " ", size), said("the ", name, " Holdings Co., Ltd."),
+    )
+    labels = by_rest(key, F.lit("CONTRACT"), F.lit("JURISDICTION"), F.lit("PARTY"), F.lit("PARTY"))
+    return own.union(table(spark, sf_dir, "part").select((key + 1000).cast("int"), by_rest(key, *shapes), labels, "p_brand"))
 
 
 def norm_sql(c: str) -> str:
@@ -63,7 +88,7 @@ SELECT id, {norm_sql("t")} AS normalized, {key_sql("t", "label")} AS key, array_
 )
 def mention_keys(spark, sf_dir):
     """TXT2 to TXT6 and stable ids."""
-    t, m = F.col("t"), mentions(spark)
+    t, m = F.col("t"), mentions(spark, sf_dir)
     return m.select(
         "id",
         text.normalize_mention(t).alias("normalized"),
@@ -102,7 +127,7 @@ SELECT id, quality, length(n) >= 2 AND NOT regexp_full_match(n, '[\\W_]+') AS in
 def mention_judgements(spark, sf_dir):
     """TXT7 to TXT11 and TXT17 to TXT19."""
     t = F.col("t")
-    return mentions(spark).select(
+    return mentions(spark, sf_dir).select(
         "id",
         text.mention_quality(t).alias("quality"),
         text.is_informative(t).alias("informative"),
@@ -121,14 +146,17 @@ def predicate_sql(p: str) -> str:
 
 
 @query(
-    f"""WITH {values("p", "id, t", fixtures.PREDICATES)}
+    f"""WITH {values("p0", "id, t", fixtures.PREDICATES)}, p AS (SELECT * FROM p0 UNION ALL SELECT (p_partkey + 1000)::INT, CASE p_partkey % 7 WHEN 0 THEN 'entered into ' || p_name WHEN 1 THEN p_name || ' (' || p_size || ')' WHEN 2 THEN upper(p_name) WHEN 3 THEN 'is ' || p_name
+WHEN 4 THEN '(' || p_size || ') ' || p_partkey WHEN 5 THEN 'shall be governed by_' || p_type ELSE 'of' END FROM part)
 SELECT id, {predicate_sql("lower(trim(t, ' '))")} AS relation, length(replace(t, ' ', '')) = 0
        OR length(regexp_replace(replace(t, ' ', ''), '[^\\p{{L}}]', '', 'g')) * 10 < length(replace(t, ' ', '')) * 6 AS junk,
        lower(t) IN {in_list(fixed.GARBAGE_PREDICATES)} AS garbage, 'a ' || replace(t, '_', ' ') || ' b.' || CASE WHEN id % 2 = 0 THEN '' ELSE ' [UNVERIFIED]' END AS said FROM p"""
 )
 def predicate_rules(spark, sf_dir):
     """TXT20 to TXT22 and the garbage list of FIL2."""
-    t, p = F.col("t"), spark.createDataFrame(fixtures.PREDICATES, "id int, t string")
+    t, name, key, size = F.col("t"), F.col("p_name"), F.col("p_partkey"), F.col("p_size")
+    shapes = (said("entered into ", name), said(name, " (", size, ")"), F.upper(name), said("is ", name), said("(", size, ") ", key), said("shall be governed by_", F.col("p_type")), F.lit("of"))
+    p = spark.createDataFrame(fixtures.PREDICATES, "id int, t string").union(table(spark, sf_dir, "part").select((key + 1000).cast("int"), by_rest(key, *shapes)))
     return p.select(
         "id",
         text.normalize_predicate(t).alias("relation"),
@@ -144,7 +172,8 @@ _TITLE = norm_sql("regexp_extract(" + norm_sql("w") + ", '" + fixed.CONTRACT_TIT
 
 
 @query(
-    f"""WITH {values("s", "id, t, a", fixtures.SENTENCES)},
+    f"""WITH {values("s0", "id, t, a", fixtures.SENTENCES)}, s AS (SELECT * FROM s0 UNION ALL SELECT (c_custkey + 1000)::INT, CASE c_custkey % 5 WHEN 0 THEN 'The Supply Agreement of ' || c_name || ' is effective as of March 4, 20' || (c_nationkey + 10) || ' and no later.'
+WHEN 1 THEN repeat(c_mktsegment || ' ', 12) || c_name || ' is organized under the laws of Delaware, with ' || repeat(c_mktsegment || ' ', 12) WHEN 2 THEN c_name || ' was seated in new york on 3/4/20' || (c_nationkey + 10) || '.' WHEN 3 THEN 'Nothing about anyone.' ELSE 'In Ohio ' || lower(c_name) || ' signed the License.' END, c_name FROM customer),
 x AS (SELECT *, CASE WHEN instr(lower(t), lower(a)) > 0 THEN substring(t, greatest(1, instr(lower(t), lower(a)) - 80),
       least(length(t), instr(lower(t), lower(a)) - 1 + length(a) + 80) - greatest(1, instr(lower(t), lower(a)) - 80) + 1) END AS w FROM s)
 SELECT id, w AS around, {norm_sql(f"regexp_extract(coalesce(w, ''), '{fixed.ANY_DATE}', 0)")} AS date_text,
@@ -154,7 +183,13 @@ FROM x"""
 )
 def pattern_windows(spark, sf_dir):
     """TXT15 and TXT16."""
-    s = spark.createDataFrame(fixtures.SENTENCES, "id int, t string, a string").withColumn("w", text.window_around(F.col("t"), F.col("a")))
+    name, key, year, market = F.col("c_name"), F.col("c_custkey"), F.col("c_nationkey") + 10, F.repeat(said(F.col("c_mktsegment"), " "), F.lit(12))
+    shapes = (
+        said("The Supply Agreement of ", name, " is effective as of March 4, 20", year, " and no later."), said(market, name, " is organized under the laws of Delaware, with ", market), said(name, " was seated in new york on 3/4/20", year, "."),
+        F.lit("Nothing about anyone."), said("In Ohio ", F.lower(name), " signed the License."),
+    )
+    own = spark.createDataFrame(fixtures.SENTENCES, "id int, t string, a string")
+    s = own.union(table(spark, sf_dir, "customer").select((key + 1000).cast("int"), by_rest(key, *shapes), name)).withColumn("w", text.window_around(F.col("t"), F.col("a")))
     w = F.col("w")
     return s.select("id", w.alias("around"), text.extract_date(w).alias("date_text"), text.extract_contract(w).alias("contract_text"), text.extract_jurisdiction(w).alias("place_text"))
 
@@ -304,14 +339,17 @@ BIO = [
 
 
 @query(
-    f"""WITH {values("t", "sid, pos, word, tag", BIO)},
+    f"""WITH {values("t0", "sid, pos, word, tag", BIO)}, tw AS (SELECT conv_id, turn, {TOKENS} AS w FROM conversations),
+t AS (SELECT * FROM t0 UNION ALL SELECT (conv_id * 1000 + turn + 10)::INT, i::INT, w[i], CASE i % 7 WHEN 1 THEN 'B-PARTY' WHEN 2 THEN 'I-PARTY' WHEN 3 THEN 'I-PARTY' WHEN 5 THEN 'I-DATE' WHEN 6 THEN 'B-DATE' ELSE 'O' END FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM tw)),
 g AS (SELECT *, sum(CASE WHEN tag LIKE 'I-%' THEN 0 ELSE 1 END) OVER (PARTITION BY sid ORDER BY pos) AS run FROM t),
 e AS (SELECT sid, run, min(pos) AS start, min_by(tag, pos) AS first, string_agg(word, ' ' ORDER BY pos) AS text FROM g GROUP BY sid, run)
 SELECT sid, start::INT AS start, substring(first, 3) AS label, text FROM e WHERE first LIKE 'B-%'"""
 )
 def bio_decode(spark, sf_dir):
     """EXP5: entities from tags; an I- without an open entity is left out."""
-    return extract.bio_decode(spark.createDataFrame(BIO, "sid int, pos int, word string, tag string"))
+    c = extract.tokens(table(spark, sf_dir, "conversations").withColumn("sid", (F.col("conv_id") * 1000 + F.col("turn") + 10).cast("int")), "sid")
+    tag = by_rest(F.col("pos"), *map(F.lit, ("O", "B-PARTY", "I-PARTY", "I-PARTY", "O", "I-DATE", "B-DATE")))
+    return extract.bio_decode(spark.createDataFrame(BIO, "sid int, pos int, word string, tag string").union(c.select("sid", "pos", F.col("w"), tag)))
 
 
 SPANS = [(1, 0, 12, "PARTY"), (1, 18, 23, "PARTY"), (2, 4, 12, "DATE")]
@@ -319,7 +357,9 @@ LINES = [(1, "Acme Widgets pays Beta, promptly."), (2, "On 4 March all is due.")
 
 
 def bio_sql(cond: str) -> str:
-    return f"""WITH {values("s", "sid, t", LINES)}, {values("e", "sid, a, b, label", SPANS)},
+    turns = "(conv_id * 1000 + turn + 10)::INT"
+    return f"""WITH {values("s0", "sid, t", LINES)}, {values("e0", "sid, a, b, label", SPANS)}, s AS (SELECT * FROM s0 UNION ALL SELECT {turns}, text FROM conversations WHERE text IS NOT NULL),
+e AS (SELECT * FROM e0 UNION ALL SELECT {turns}, 0, 12, 'PARTY' FROM conversations UNION ALL SELECT {turns}, 20 + (conv_id % 9)::INT, 37, 'DATE' FROM conversations),
 w AS (SELECT sid, i AS pos, p[i] AS word, (len(array_to_string(p[1 : i - 1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END) AS ws
       FROM (SELECT sid, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT sid, string_split(t, ' ') AS p FROM s WHERE t <> ''))),
 j AS (SELECT w.sid, pos, word, a, label, row_number() OVER (PARTITION BY w.sid, pos ORDER BY a) AS k,
@@ -327,16 +367,24 @@ j AS (SELECT w.sid, pos, word, a, label, row_number() OVER (PARTITION BY w.sid,
 SELECT sid, pos::INT AS pos, word, CASE WHEN label IS NULL THEN 'O' WHEN nth = 1 THEN 'B-' || label ELSE 'I-' || label END AS tag FROM j WHERE k = 1"""
 
 
+def lines_and_spans(spark, sf_dir):
+    """The fixture's lines and spans, and turns of conversations with two spans each."""
+    c = table(spark, sf_dir, "conversations").withColumn("sid", (F.col("conv_id") * 1000 + F.col("turn") + 10).cast("int"))
+    lines = spark.createDataFrame(LINES, "sid int, t string").union(c.filter("text is not null").select("sid", "text"))
+    spans = spark.createDataFrame(SPANS, "sid int, a int, b int, label string").union(c.select("sid", F.lit(0), F.lit(12), F.lit("PARTY")))
+    return lines, spans.union(c.select("sid", (F.col("conv_id") % 9 + 20).cast("int"), F.lit(37), F.lit("DATE")))
+
+
 @query(bio_sql("ws >= a AND ws + length(word) <= b"))
 def bio_encode(spark, sf_dir):
     """EXP3: a word inside a span takes its tag."""
-    return extract.bio_encode(spark.createDataFrame(LINES, "sid int, t string"), spark.createDataFrame(SPANS, "sid int, a int, b int, label string"))
+    return extract.bio_encode(*lines_and_spans(spark, sf_dir))
 
 
 @query(bio_sql("ws < b AND ws + length(word) > a"))
 def bio_encode_overlap(spark, sf_dir):
     """EXP4: a word that overlaps a span takes its tag."""
-    return extract.bio_encode(spark.createDataFrame(LINES, "sid int, t string"), spark.createDataFrame(SPANS, "sid int, a int, b int, label string"), overlap=True)
+    return extract.bio_encode(*lines_and_spans(spark, sf_dir), overlap=True)
 
 
 @query()
