@@ -18,6 +18,11 @@ def build(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return vertices, triples.select(F.col("subject").alias("src"), F.col("object").alias("dst"), "relation", "confidence")
 
 
+def occurrences(triples: DataFrame) -> DataFrame:
+    """(id, type, seq) of each end of each triple in their order, for what takes the first type that is seen."""
+    return triples.select(F.col("subject").alias("id"), F.col("subject_type").alias("type"), (F.col("seq") * 2).alias("seq")).union(triples.select("object", "object_type", F.col("seq") * 2 + 1))
+
+
 def simple(edges: DataFrame) -> DataFrame:
     """Distinct undirected edges (a < b) without loops."""
     return edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct()

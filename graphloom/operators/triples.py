@@ -64,25 +64,32 @@ def harmonic_mean(a: Column, b: Column) -> Column:
 def score(raw: DataFrame, rules: DataFrame) -> DataFrame:
     """A row per (subject, relation, object), with the types of its first row, counts and confidence.
 
-    All counts are grouped sums; distinct sentences and predicates are counted
-    beside the rows in one pass over the key.
+    Rows of a key, its distinct sentences and its distinct predicates are counted
+    as numbers, combined map-side and added up in one grouping, with the least
+    (seq, place) as one number; the other columns of that first row are then
+    looked up by its place. Nulls in a key make a key of their own; of rows of
+    equal key and seq any may be the first; a null seq comes last; no rows give none.
     """
     key = ["subject", "relation", "object"]
-    u = raw.groupBy(*key).agg(
-        F.count("*").alias("mentions"),
-        F.countDistinct(F.substring("sentence", 1, 160)).alias("sentence_support"),
-        F.countDistinct(F.lower("predicate")).alias("predicates"),
-        F.min_by(F.struct(*RAW), "seq").alias("first"),
-    )
-    u = u.select(*key, "mentions", "sentence_support", "predicates", *[F.col(f"first.{c}").alias(c) for c in RAW if c not in key])
-    by_subject = raw.groupBy("subject").agg(F.count("*").alias("subject_mentions"))
+    raw = materialise(raw.select(*RAW).withColumn("place", F.monotonically_increasing_id()), "placed")
+    digits = F.lit(str(10**19)).cast("decimal(20,0)")
+    none, nowhere = F.lit(0).cast("long"), F.lit(None).cast("decimal(38,0)")
+    first = (F.coalesce(F.col("seq").cast("long"), F.lit(10**18 - 1)).cast("decimal(18,0)") * digits + F.col("place").cast("decimal(19,0)")).cast("decimal(38,0)")
+    said = raw.select(*key, F.substring("sentence", 1, 160).alias("x")).distinct().select(*key, none.alias("mentions"), nowhere.alias("first"), F.col("x").isNotNull().cast("long").alias("sentence_support"), none.alias("predicates"))
+    named = raw.select(*key, F.lower("predicate").alias("x")).distinct().select(*key, none, nowhere, none, F.col("x").isNotNull().cast("long"))
+    rows = raw.select(*key, F.lit(1).cast("long"), first, none, none)
+    n = said.union(named).union(rows).groupBy(*key).agg(F.min("first").alias("first"), *[F.sum(c).alias(c) for c in ("mentions", "sentence_support", "predicates")])
+    n = n.withColumn("place", (F.col("first") % digits).cast("long")).drop("first")
+    rest = raw.select("place", *[c for c in RAW if c not in key])
+    u = n.join(rest, "place").select(*key, "mentions", "sentence_support", "predicates", *[c for c in RAW if c not in key])
+    quality = lambda d, side: d.withColumn("_n", once(normalize_mention(F.col(side)))).withColumn(f"_q_{side}", once(mention_quality(F.col("_n"), bare=True))).drop("_n")
+    by_subject = quality(raw.groupBy("subject").agg(F.count("*").alias("subject_mentions")), "subject")  # once a name
     by_types = raw.groupBy("relation", "subject_type", "object_type").agg(F.count("*").alias("pair_rows"))
     by_types = by_types.withColumn("relation_rows", F.sum("pair_rows").over(Window.partitionBy("relation")))
     prior = rules.groupBy(F.col("relation"), F.col("subject").alias("subject_type"), F.col("object").alias("object_type")).agg(F.max("confidence").alias("exact_prior"))
     has_rules = rules.select("relation").distinct().withColumn("has_rules", F.lit(True))
     u = u.join(by_subject, "subject").join(by_types, ["relation", "subject_type", "object_type"]).join(prior, ["relation", "subject_type", "object_type"], "left").join(has_rules, "relation", "left")
-    for side in ("subject", "object"):
-        u = u.withColumn("_n", once(normalize_mention(F.col(side)))).withColumn(f"_q_{side}", once(mention_quality(F.col("_n"), bare=True))).drop("_n")
+    u = quality(u, "object")
     type_prior = F.coalesce("exact_prior", F.when(F.col("has_rules"), 0.0).otherwise(0.45))
     confidence = (
         0.28 * (1 - F.exp(-F.col("mentions") / 3))
@@ -199,6 +206,18 @@ def repair_summary(resolved: DataFrame) -> DataFrame:
     )
 
 
+def reasons(resolved: DataFrame) -> DataFrame:
+    """(validation_status, reason, n, share): why triples were rejected or how they were repaired, and the share of each in its status.
+
+    Of validated triples the reason is "none"; of repaired ones the way of the
+    repair, of rejected ones the bucket of the reject reason.
+    """
+    s = F.col("validation_status")
+    why = F.when(s == "validated", "none").when(s == "repaired", F.coalesce("repair_reason", F.lit("none"))).otherwise(reject_bucket(F.coalesce("reject_reason", F.lit(""))))
+    n = resolved.groupBy("validation_status", why.alias("reason")).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("validation_status")), 6))
+
+
 def proxy_metrics(judged: DataFrame) -> DataFrame:
     """Without gold data: mean confidence of what passed as precision, the share that passed as recall, their F1; zeros of an empty table."""
     good = F.col("reject_reason").isNull()
@@ -214,9 +233,9 @@ def object_leaks(judged: DataFrame) -> DataFrame:
     return n.withColumn("leak", ~type_ok(F.col("relation"), F.col("subject_type"), F.col("object_type")))
 
 
-def by_frequency(rules: DataFrame, most: int = 1000) -> DataFrame:
-    """The ``most`` frequent rules with their rank."""
-    top = rules.orderBy(F.desc("frequency"), "relation", "subject", "object").limit(most)
+def by_frequency(rules: DataFrame, most: int | None = None) -> DataFrame:
+    """All rules with their rank by frequency, or the first ``most``; rules are pairs of types, few whatever the data."""
+    top = rules if most is None else rules.orderBy(F.desc("frequency"), "relation", "subject", "object").limit(most)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("frequency"), "relation", "subject", "object")))
 
 

@@ -147,6 +147,13 @@ def er_pairs(spark, sf_dir):
     return p.select("rep_a", "rep_b", F.round("score", 6).alias("score"), "merged")
 
 
+@query(f"WITH {REPS} SELECT rep_a, rep_b, round(score, 6) AS score, score >= 0.72 AS merged FROM scored WHERE score >= 0.45 ORDER BY label, rep_a, rep_b LIMIT 50000")
+def er_audit(spark, sf_dir):
+    """WIN17: the scored pairs that a reader looks through, the first 50,000 of them."""
+    p = resolve.audit(resolve.score_pairs(resolve.candidate_pairs(resolve.representatives(part_mentions(spark, sf_dir)))))
+    return p.select("rep_a", "rep_b", F.round("score", 6).alias("score"), "merged")
+
+
 CLUSTERS = f"""{REPS}, link AS (SELECT rep_a AS a, rep_b AS b FROM scored WHERE score >= 0.72 UNION SELECT rep_b, rep_a FROM scored WHERE score >= 0.72),
 reach AS (SELECT rep AS a, rep AS b FROM reps UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
 comp AS (SELECT a AS rep, min(b) AS cluster FROM reach GROUP BY a),

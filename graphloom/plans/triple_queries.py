@@ -156,7 +156,7 @@ tried AS (SELECT *, CASE WHEN lower(subject) = lower(object) THEN 'empty_or_self
 pool AS (SELECT CASE WHEN repair_reason = 'direction_swap' THEN object ELSE subject END AS subject, CASE WHEN repair_reason = 'direction_swap' THEN ot ELSE st END AS subject_type, relation,
   CASE repair_reason WHEN 'direction_swap' THEN subject WHEN 'type_relabel' THEN object ELSE near END AS object, CASE repair_reason WHEN 'direction_swap' THEN st WHEN 'type_relabel' THEN ot ELSE 'JURISDICTION' END AS object_type,
   predicate, sentence, filename, seq FROM tried WHERE repair_reason NOT IN ('empty_or_self', 'unrepairable_schema_violation')), {score_sql("pool", "again")},
-done AS (SELECT t.subject, t.relation, t.object, repair_reason, CASE WHEN repair_reason IN ('empty_or_self', 'unrepairable_schema_violation') OR a.reject_reason IS NOT NULL THEN 'rejected' ELSE 'repaired' END AS status, a.confidence AS nc
+done AS (SELECT t.subject, t.relation, t.object, repair_reason, t.reject_reason AS why, CASE WHEN repair_reason IN ('empty_or_self', 'unrepairable_schema_violation') OR a.reject_reason IS NOT NULL THEN 'rejected' ELSE 'repaired' END AS status, a.confidence AS nc
   FROM tried t LEFT JOIN again a ON t.relation = a.relation AND CASE WHEN repair_reason = 'direction_swap' THEN t.object ELSE t.subject END = a.subject
   AND CASE repair_reason WHEN 'direction_swap' THEN t.subject WHEN 'type_relabel' THEN t.object ELSE near END = a.object)"""
 
@@ -183,6 +183,16 @@ def repair_summary(spark, sf_dir):
     return triples.repair_summary(resolved(spark, sf_dir))
 
 
+@query(
+    f"""WITH {REPAIRED}, x AS (SELECT 'validated' AS validation_status, 'none' AS reason FROM judged WHERE reject_reason IS NULL UNION ALL SELECT status, CASE status WHEN 'repaired' THEN repair_reason ELSE CASE WHEN why LIKE 'empty%' THEN 'empty_or_self' WHEN why LIKE 'domain%' THEN 'domain_range' ELSE 'low_confidence' END END FROM done),
+n AS (SELECT validation_status, reason, count(*) AS n FROM x GROUP BY ALL)
+SELECT validation_status, reason, n::BIGINT AS n, round(n / sum(n) OVER (PARTITION BY validation_status), 6) AS share FROM n"""
+)
+def repair_reasons(spark, sf_dir):
+    """AGG15: the histogram of reasons."""
+    return triples.reasons(resolved(spark, sf_dir))
+
+
 @query(f"WITH {RAW} SELECT relation, predicate, count(*)::BIGINT AS n FROM raw GROUP BY ALL ORDER BY n DESC, relation, predicate LIMIT 20")
 def relation_frequencies(spark, sf_dir):
     """AGG8."""
