@@ -58,18 +58,27 @@ def _put(spark: SparkSession, new: DataFrame, path: str, done: DataFrame, keep:
 
 
 def ask(spark: SparkSession, out_dir: str, question: str, k: int = 5) -> str:
-    """Passages and facts for a question from what ``run`` has written, as text; an empty question is an error."""
+    """Names, passages, paths and facts for a question from what ``run`` has written, as text; an empty question is an error.
+
+    Names without an accepted triple show their rejected ones, marked as unverified.
+    """
     if not question.strip():
         raise ValueError("an empty question")
     m = spark.read.json(f"{out_dir}/mentions")
     said = m.groupBy("doc_id", "sentence").agg(F.array_sort(F.collect_set(F.struct("text", "label"))).alias("entities"))
     said = said.select(F.xxhash64("doc_id", "sentence").alias("sid"), F.col("sentence").alias("text"), "entities")
-    t = spark.read.json(f"{out_dir}/validated_triples").withColumn("seq", F.monotonically_increasing_id()).withColumnRenamed("predicate", "relation")
-    vertices, edges = graph.build(t)
-    e = retrieve.Engine(materialise(said, "sentences"), vertices, materialise(edges, "edges"))
-    facts = [f"{r['node']} {r['relation']} {r['other']}" for r in e.facts(question).orderBy("node", "rank").collect()]
-    passages = retrieve.render(e.search(question, k).collect())
-    return "\n".join(["Passages:", passages or "none", "Facts:", *(facts or ["none"])])
+
+    def edges_of(name: str) -> tuple[DataFrame, DataFrame]:
+        t = io.optional(spark, lambda: spark.read.schema(_TRIPLES).json(f"{out_dir}/{name}"), _TRIPLES)
+        return graph.build(t.withColumn("seq", F.monotonically_increasing_id()).withColumnRenamed("predicate", "relation"))
+
+    vertices, edges = edges_of("validated_triples")
+    _, rejected = edges_of("rejected_triples")
+    e = retrieve.Engine(materialise(said, "sentences"), vertices, materialise(edges, "edges"), materialise(rejected, "candidates"))
+    return retrieve.report(e.evidence(question, k))
+
+
+_TRIPLES = "subject string, subject_type string, predicate string, object string, object_type string, confidence double"
 
 
 def samples(spark: SparkSession, data_dir: str, out_dir: str, limit: int | None = None, batches: int = 8) -> dict:

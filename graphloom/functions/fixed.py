@@ -129,6 +129,7 @@ GAZETTEERS = {
     "is_notice_term": ["notice", "notification", "written notice", "prior notice", "advance notice", "formal notice"],
     "is_date_indicator": ["dated", "effective", "executed", "entered", "signed", "commencing", "expiring", "terminating"],
 }
+OBJECT_TYPES = {"GOVERNED_BY": ["JURISDICTION"], "LOCATED_IN": ["JURISDICTION"], "ORGANIZED_UNDER": ["JURISDICTION"], "EFFECTIVE_ON": ["DATE", "EFFECTIVE_DATE"]}
 CURRENCY, SECTIONS = ["usd", "dollars"], ["section", "article", "clause", "exhibit"]
 ER_WEIGHTS = {"char_sim": 2.4, "token_jaccard": 2.0, "acronym_match": 1.5, "same_file": 0.4, "len_ratio": 0.7}
 ER_BIAS, ER_THRESHOLD = -3.1, 0.72

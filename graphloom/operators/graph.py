@@ -133,7 +133,9 @@ def pair_features(edges: DataFrame, vertices: DataFrame, of_type: str | None = N
 
     Only such pairs are made (others have all features zero). The pairs around a
     hub are dealt out in squares of ``SIDE`` neighbours, so no task holds them
-    all. Edges with a null end and empty tables give no pairs. An own edge
+    all; the pairs themselves still grow with the square of a hub's degree
+    (``links.graph_without_hubs`` bounds it, ``links.features`` makes the
+    features of given pairs alone). Edges with a null end and empty tables give no pairs. An own edge
     takes one off both degrees and each end off the other's neighbours, in
     closed form. ``of_type`` keeps pairs of one vertex type.
     """

@@ -180,6 +180,18 @@ class Engine:
         few = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]][:pairs]
         return graph.shortest_paths(self.edges, self.sentences.sparkSession.createDataFrame(few, "source string, target string"))
 
+    def evidence(self, text: str, k: int = 5, pairs: int = 6) -> dict:
+        """Names, passages, best paths between the first pairs of names, facts, and names without a checked fact; an empty question is an error."""
+        if not text.strip():
+            raise ValueError("an empty question")
+        names = sorted(r["name"] for r in self.recognised(text).orderBy("name").limit(20).collect())
+        spark = self.sentences.sparkSession
+        few = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]][:pairs]
+        paths = graph.best_paths(self.edges, spark.createDataFrame(few, "source string, target string")).orderBy("rank").collect() if few else []
+        facts = [r.asDict() for r in self.facts(text).orderBy("node", "rank").collect()]
+        known = {f["node"] for f in facts if f["validated"]}
+        return {"names": names, "passages": self.search(text, k).collect(), "paths": [p.asDict() for p in paths], "facts": facts, "missing": [n for n in names if n not in known]}
+
     def prompt(self, text: str, k: int = 5) -> str:
         """The evidence of a query as text for an answerer; none is called here."""
         said = [r["text"] for r in self.search(text, k).collect()]
@@ -208,3 +220,15 @@ def key_variants(records: DataFrame) -> DataFrame:
 def render(rows: Iterator) -> str:
     """Result rows as numbered lines."""
     return "\n".join(f"{i}. [{r['boosted']:.4f}] {r['text']}" for i, r in enumerate(rows, 1))
+
+
+def report(found: dict) -> str:
+    """What ``Engine.evidence`` found, as text: names, passages, ways between names, facts, and facts that no check has passed for names that have none."""
+    fact = lambda f: f"{f['node']} {f['relation']} {f['other']}" + ("" if f["confidence"] is None else f" ({f['confidence']:.2f})")
+    good, other = [f for f in found["facts"] if f["validated"]], [f for f in found["facts"] if not f["validated"]]
+    lines = [f"Names: {', '.join(found['names']) or 'none'}", "Passages:", render(found["passages"]) or "none", "Paths:"]
+    lines += [f"{p['path']} ({p['hops']} hops, {p['confidence']:.2f})" for p in found["paths"]] or ["none"]
+    lines += ["Facts:", *([fact(f) for f in good] or ["none"])]
+    if found["missing"]:
+        lines.append(f"Without facts: {', '.join(found['missing'])}")
+    return "\n".join([*lines, *(["Unverified:", *[fact(f) for f in other]] if other else [])])

@@ -170,13 +170,23 @@ def facts_topk(spark, sf_dir):
 
 @query(f"WITH {EDGES} SELECT s_name AS name FROM supplier WHERE s_name NOT IN (SELECT id FROM v) UNION ALL SELECT c_name FROM customer WHERE c_name NOT IN (SELECT node FROM adj)")
 def missing_from_kg(spark, sf_dir):
-    """FIL4 and FIL6: names that have no edge."""
+    """FIL4: names that have no edge."""
     e = customer_graph(spark, sf_dir)[1]
     known = graph.both_ways(e).select(F.col("node").alias("name")).distinct()
     names = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")).union(table(spark, sf_dir, "customer").select("c_name"))
     return names.join(known, "name", "left_anti")
 
 
+@query(f"WITH {EDGES} SELECT name FROM (SELECT s_name AS name FROM supplier UNION ALL SELECT c_name FROM customer UNION ALL SELECT n_name FROM nation) WHERE name IN (SELECT id FROM v) AND name IN (SELECT node FROM adj)")
+def names_in_graph(spark, sf_dir):
+    """FIL6: of all names those that are vertices with an edge."""
+    v, e = customer_graph(spark, sf_dir)
+    t = lambda n, c: table(spark, sf_dir, n).select(F.col(c).alias("name"))
+    names = t("supplier", "s_name").union(t("customer", "c_name")).union(t("nation", "n_name"))
+    names = names.join(v.select(F.col("id").alias("name")), "name", "left_semi")
+    return names.join(graph.both_ways(e).select(F.col("node").alias("name")), "name", "left_semi")
+
+
 @query(
     f"""WITH {EDGES}, miss AS (SELECT s_name AS name, s_nationkey FROM supplier WHERE s_name NOT IN (SELECT node FROM adj)),
 cand AS (SELECT s_name AS name, 'ENTERED_INTO' AS relation, 'order ' || l_orderkey AS other, round(l_discount, 2) AS confidence FROM lineitem JOIN miss ON l_suppkey = CAST(right(name, 9) AS BIGINT) JOIN supplier ON s_name = name)

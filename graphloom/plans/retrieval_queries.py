@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import retrieve
+from ..operators import learn, retrieve
 from .registry import literal, query, table, values
 from .text_queries import by_rest, said
 
@@ -215,3 +215,12 @@ def graph_search(spark, sf_dir):
     said = F.concat("c_name", F.lit(" has order "), F.col("o_orderkey").cast("string"), F.lit(" with priority "), "o_orderpriority")
     s = s.select(F.col("o_orderkey").alias("sid"), said.alias("text"), F.array(F.struct(F.col("c_name").alias("text"), F.lit("PARTY").alias("label"))).alias("entities"))
     return retrieve.Engine(s, v, e).search("Which order of Customer#000000001 is urgent").select("id", "score", "near", "boosted", "text")
+
+
+@query()
+def hashed_neighbours(spark, sf_dir):
+    """ML13 and SIM9: the parts nearest to the first one by vectors of hashed words, where no encoder is at hand."""
+    p = learn.hashed_vectors(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name")
+    first = p.orderBy("p_partkey").limit(1)
+    near = retrieve.cosine(p.select(F.col("p_partkey").alias("id"), "embedding"), first.select(F.col("embedding").alias("q")), "id")
+    return near.orderBy(F.desc(F.round("score", 6)), "id").limit(10)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import sql
 from ..functions import fixed
 from ..operators import extract, resolve, triples
 from ..session import materialise
@@ -156,7 +157,7 @@ tried AS (SELECT *, CASE WHEN lower(subject) = lower(object) THEN 'empty_or_self
 pool AS (SELECT CASE WHEN repair_reason = 'direction_swap' THEN object ELSE subject END AS subject, CASE WHEN repair_reason = 'direction_swap' THEN ot ELSE st END AS subject_type, relation,
   CASE repair_reason WHEN 'direction_swap' THEN subject WHEN 'type_relabel' THEN object ELSE near END AS object, CASE repair_reason WHEN 'direction_swap' THEN st WHEN 'type_relabel' THEN ot ELSE 'JURISDICTION' END AS object_type,
   predicate, sentence, filename, seq FROM tried WHERE repair_reason NOT IN ('empty_or_self', 'unrepairable_schema_violation')), {score_sql("pool", "again")},
-done AS (SELECT t.subject, t.relation, t.object, repair_reason, t.reject_reason AS why, CASE WHEN repair_reason IN ('empty_or_self', 'unrepairable_schema_violation') OR a.reject_reason IS NOT NULL THEN 'rejected' ELSE 'repaired' END AS status, a.confidence AS nc
+done AS (SELECT t.subject, t.relation, t.object, repair_reason, t.reject_reason AS why, CASE repair_reason WHEN 'direction_swap' THEN t.st WHEN 'type_relabel' THEN t.ot ELSE 'JURISDICTION' END AS new_type, CASE WHEN repair_reason IN ('empty_or_self', 'unrepairable_schema_violation') OR a.reject_reason IS NOT NULL THEN 'rejected' ELSE 'repaired' END AS status, a.confidence AS nc
   FROM tried t LEFT JOIN again a ON t.relation = a.relation AND CASE WHEN repair_reason = 'direction_swap' THEN t.object ELSE t.subject END = a.subject
   AND CASE repair_reason WHEN 'direction_swap' THEN t.subject WHEN 'type_relabel' THEN t.object ELSE near END = a.object)"""
 
@@ -193,6 +194,22 @@ def repair_reasons(spark, sf_dir):
     return triples.reasons(resolved(spark, sf_dir))
 
 
+_LEAK = " OR ".join(f"(relation = '{k}' AND object_type NOT IN {in_list(v)})" for k, v in fixed.OBJECT_TYPES.items())
+
+
+@query(
+    f"""WITH {REPAIRED}, a AS (SELECT relation, object_type FROM judged WHERE reject_reason IS NULL UNION ALL SELECT relation, new_type FROM done WHERE status = 'repaired')
+SELECT relation, object_type, {_LEAK} AS leak, count(*)::BIGINT AS n FROM a GROUP BY ALL"""
+)
+def leaks_after_repair(spark, sf_dir):
+    """FIL9 and API5: accepted triples, repaired ones among them, whose object does not suit the relation, by a view of SQL."""
+    raw = capped(spark, sf_dir)
+    rules = materialise(triples.induce_rules(raw), "rules")
+    names = raw.select(F.col("subject_type").alias("label"), F.col("subject").alias("text"))
+    sql.inspection_views(triples.validate_with_repairs(raw, rules), rules, names)
+    return spark.sql("SELECT relation, object_type, leak, n FROM object_leaks")
+
+
 @query(f"WITH {RAW} SELECT relation, predicate, count(*)::BIGINT AS n FROM raw GROUP BY ALL ORDER BY n DESC, relation, predicate LIMIT 20")
 def relation_frequencies(spark, sf_dir):
     """AGG8."""

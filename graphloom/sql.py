@@ -13,7 +13,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
@@ -79,3 +80,27 @@ def register(spark: SparkSession) -> list[str]:
     for name, own in (("text_sentences", TextSentences), ("text_chunks", TextChunks)):
         spark.udtf.register(name, udtf(own, useArrow=True))
     return [*(s[0] for s in SCALARS), "text_sentences", "text_chunks"]
+
+
+def inspection_views(resolved: DataFrame, rules: DataFrame, mentions: DataFrame, sample: int = 30, seed: int = 42) -> list[str]:
+    """Views to look through a run with: reject_reasons, object_leaks, domain_rules, mention_sample; their names.
+
+    object_leaks counts accepted triples by relation and object type, with leak
+    where the relation takes no such object (``fixed.OBJECT_TYPES``). mention_sample
+    has ``sample`` mentions (label, text, words) by hash, the same in each run. ``resolved`` is
+    what ``triples.validate_with_repairs`` gives. Empty tables give empty views.
+    """
+    from .operators import triples
+
+    accepted = resolved.filter("validation_status <> 'rejected'")
+    allowed = F.create_map(*[x for k, v in fixed.OBJECT_TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col("relation")]
+    leak = F.coalesce(~F.array_contains(allowed, F.col("object_type")), F.lit(False))
+    views = {
+        "reject_reasons": triples.reasons(resolved).filter("validation_status = 'rejected'").select("reason", "n"),
+        "object_leaks": accepted.groupBy("relation", "object_type", leak.alias("leak")).agg(F.count("*").alias("n")),
+        "domain_rules": rules.select("subject", "relation", "object", "frequency"),
+        "mention_sample": mentions.orderBy(F.xxhash64(F.lit(seed), "label", "text"), "label", "text").limit(sample).select("label", "text", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("words")),
+    }
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return list(views)

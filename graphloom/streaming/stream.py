@@ -63,15 +63,19 @@ def run_once(stream: DataFrame, key: list[str] | None, what: str, mode: str = "u
     return last.select(*key, "r.*").select(*schema.names)
 
 
-def ingest(documents: DataFrame, target: str, state: str, key: str = "doc_id") -> None:
+def ingest(documents: DataFrame, target: str, state: str, key: str = "doc_id", order: str | None = None) -> None:
     """Streams documents into versions of a table at ``target``: each batch is upserted into the last one.
 
-    Of equal keys in a batch the last row in its order stays.
+    Of equal keys in a batch the row of the largest ``order`` stays (a time of
+    the event, or an offset of its source); without ``order`` that of the
+    last partition, which is not the order of arrival.
     """
 
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        last = batch.withColumn("_at", F.monotonically_increasing_id()).groupBy(key).agg(F.max_by(F.struct(*batch.columns), "_at").alias("r"))
+        place = F.monotonically_increasing_id()
+        at = F.struct(F.col(order), place) if order else place
+        last = batch.withColumn("_at", at).groupBy(key).agg(F.max_by(F.struct(*batch.columns), "_at").alias("r"))
         new = last.select("r.*")
         rows = new if epoch == 0 else upsert(spark.read.parquet(f"{target}/v{epoch - 1}"), new, [key])
         rows.write.mode("overwrite").parquet(f"{target}/v{epoch}")

@@ -302,3 +302,19 @@ def test_pairs_around_a_hub_in_squares(spark, monkeypatch):
     whole = sorted(map(tuple, graph.pair_features(e, v).select("u", "v", "common").collect()))
     monkeypatch.setattr(graph, "SIDE", 7)
     assert sorted(map(tuple, graph.pair_features(e, v).select("u", "v", "common").collect())) == whole
+
+
+def test_the_latest_version_of_a_document_stays(spark, tmp_path):
+    from graphloom.streaming import stream
+
+    rows = [(1, "old", 5), (1, "new", 9), (2, "only", 1), (1, "older", 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, at long").repartition(4, "text").write.parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema("doc_id long, text string, at long").parquet(f"{tmp_path}/in")
+    stream.ingest(s, f"{tmp_path}/out", f"{tmp_path}/state", order="at")
+    assert sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/out/v0").collect()) == [(1, "new"), (2, "only")]
+
+
+def test_hashed_vectors_are_of_unit_norm_and_alike_for_like_words(spark):
+    d = spark.createDataFrame([(1, "Red ring"), (2, "ring, red!"), (3, "blue"), (4, ""), (5, None)], "id int, t string").filter("t is not null")
+    v = {r.id: np.array(r.embedding) for r in learn.hashed_vectors(d, "t").collect()}
+    assert np.allclose(v[1], v[2]) and abs(v[1] @ v[1] - 1) < 1e-6 and v[1] @ v[3] < 0.5 and not v[4].any()

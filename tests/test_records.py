@@ -158,3 +158,35 @@ def test_functions_of_sql(spark):
     for bad in ("text_chunks(text, 2, 2)", "text_chunks(text, doc_id, 1)", "text_sentences(doc_id)", "text_chunks(text, 'x', 1)"):
         with pytest.raises(AnalysisException):
             spark.sql(f"SELECT 1 FROM few_texts, LATERAL {bad}").collect()
+
+
+def test_a_report_names_what_it_found_and_what_is_missing(spark):
+    from graphloom.operators import retrieve
+
+    s = spark.createDataFrame([(1, "Acme works in Ohio", [("Acme", "PARTY"), ("Ohio", "JURISDICTION")]), (2, "Beta Sons signs", [("Beta Sons", "PARTY")])], "sid long, text string, entities array<struct<text:string,label:string>>")
+    v = spark.createDataFrame([("Acme", "PARTY"), ("Ohio", "JURISDICTION")], "id string, type string")
+    e = spark.createDataFrame([("Acme", "Ohio", "LOCATED_IN", 0.9), ("Acme", "Ohio", "GOVERNED_BY", 0.5)], "src string, dst string, relation string, confidence double")
+    c = spark.createDataFrame([("Beta Sons", "License", "PARTY_OF", None)], "src string, dst string, relation string, confidence double")
+    engine = retrieve.Engine(s, v, e, c)
+    text = retrieve.report(engine.evidence("Acme, Ohio and Beta Sons"))
+    assert "Names: Acme, Beta Sons, Ohio" in text and "Acme -LOCATED_IN-> Ohio (1 hops, 0.90)" in text and "Without facts: Beta Sons" in text
+    assert text.endswith("Unverified:\nBeta Sons PARTY_OF License")
+    none = retrieve.report(engine.evidence("nothing known"))
+    assert none == "Names: none\nPassages:\nnone\nPaths:\nnone\nFacts:\nnone"
+    with pytest.raises(ValueError, match="empty"):
+        engine.evidence(" ")
+
+
+def test_views_to_look_through_a_run(spark):
+    r = spark.createDataFrame(
+        [("a", "GOVERNED_BY", "b", "PARTY", "repaired", "type_relabel", None), ("a", "GOVERNED_BY", "c", "JURISDICTION", "validated", None, None), ("a", "PARTY_OF", "d", "PARTY", "validated", None, None), ("a", "GOVERNED_BY", "e", "PARTY", "rejected", None, "domain/range violation")],
+        "subject string, relation string, object string, object_type string, validation_status string, repair_reason string, reject_reason string",
+    )
+    rules = spark.createDataFrame([("PARTY", "PARTY_OF", "CONTRACT", 3)], "subject string, relation string, object string, frequency long")
+    m = spark.createDataFrame([("PARTY", f"name {i}") for i in range(50)] + [("PARTY", None)], "label string, text string")
+    assert set(sql.inspection_views(r, rules, m)) == {"reject_reasons", "object_leaks", "domain_rules", "mention_sample"}
+    q = lambda s: sorted(map(tuple, spark.sql(s).collect()))
+    assert q("SELECT relation, object_type, n FROM object_leaks WHERE leak") == [("GOVERNED_BY", "PARTY", 1)]  # the planted one, which repair let through
+    assert q("SELECT * FROM reject_reasons") == [("domain_range", 1)] and q("SELECT count(*), max(words) FROM mention_sample") == [(30, 2)]
+    sql.inspection_views(r.limit(0), rules.limit(0), m.limit(0))
+    assert q("SELECT count(*) FROM object_leaks") == [(0,)]
