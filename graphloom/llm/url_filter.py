@@ -25,8 +25,8 @@ SEED_WORDS = (
 #: Seeds that are common words: they label a URL only beside another seed.
 WEAK_SEEDS = ("cheap", "free", "track", "win")
 
-#: Letters of the longest word that segmentation looks for.
-MAX_WORD = 24
+#: Letters of the longest word that segmentation looks for, and letters of a name whose words are listed at once.
+MAX_WORD, LETTERS = 24, 4096
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -105,10 +105,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What may be a word of each name, ``LETTERS`` places at a time; a long name may give one more than once."""
     for batch in batches:
-        for name in batch.column(0).to_pylist():
-            w = sorted({name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + MAX_WORD) + 1)})
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(w), pa.string()), pa.array(w, pa.string())], names=["part", "w"])
+        for number, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k in range(0, len(name), LETTERS):
+                w = sorted({name[i:j] for i in range(k, min(len(name), k + LETTERS)) for j in range(i + 1, min(len(name), i + MAX_WORD) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(w), pa.int64()), pa.array(w, pa.string())], names=["i", "w"])
 
 
 def _segmented(total: int):
@@ -133,8 +135,9 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
 def segmented(parts: DataFrame, counts: DataFrame) -> DataFrame:
     """(part, words) of distinct parts, by the counts of all words that occur in them."""
     total = counts.agg(F.sum("n")).first()[0] or 1
-    known = parts.mapInArrow(_substrings, "part string, w string").join(counts, "w").groupBy("part").agg(F.collect_list(F.struct("w", "n")).alias("known"))
-    return parts.join(known, "part", "left").select("part", "known").mapInArrow(_segmented(total), "part string, words array<string>")
+    numbered = materialise(parts.select("part").withColumn("i", F.monotonically_increasing_id()), "url-names")
+    known = numbered.select("i", "part").mapInArrow(_substrings, "i long, w string").join(counts, "w").groupBy("i").agg(F.collect_set(F.struct("w", "n")).alias("known"))
+    return numbered.join(known, "i", "left").select("part", "known").mapInArrow(_segmented(total), "part string, words array<string>")
 
 
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, threshold: float = 0.0) -> DataFrame:
