@@ -68,10 +68,17 @@ def record_counts(spark, sf_dir):
     return spark.createDataFrame([tuple(counts[c] for c in records.COUNTS)], ", ".join(f"{c} long" for c in records.COUNTS))
 
 
-@query()
+@query(
+    f"""WITH {_LABELLED}, k AS (SELECT *, regexp_extract_all(text, '[ \\t\\r\\n]+') AS seps, CASE WHEN regexp_matches(text, '^[ \\t\\r\\n]') THEN 1 ELSE 0 END AS lead FROM r
+  WHERE status = 'kept' AND (n < 500 OR len(list_filter(range(n), lambda i: i % 500 = 499 AND i % 11 <> 10)) = 0)),
+e AS (SELECT 'c' || conv_id || '-' || turn AS source_file, w[i] AS word, (len(array_to_string(w[1 : i - 1], '')) + len(array_to_string(seps[1 : i - 1 + lead], '')))::INT AS a FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM k) WHERE regexp_matches(w[i], '^[A-Z]'))
+SELECT 'labelled' AS origin, source_file, a AS start, (a + length(word))::INT AS "end", 'NAME' AS label, word AS entity FROM e
+UNION ALL SELECT 'spans', NULL, 0, length(regexp_extract(text, '^([A-Z][a-z]+)'))::INT, 'NAME', regexp_extract(text, '^([A-Z][a-z]+)') FROM benchmark WHERE regexp_matches(text, '^[A-Z][a-z]+')"""
+)
 def combined_training(spark, sf_dir):
-    """EXP8: spans of benchmark items and labelled turns in one training set."""
+    """EXP8: the spans of benchmark items and labelled turns in one training set."""
     b = table(spark, sf_dir, "benchmark").filter("text is not null")
     first = F.regexp_extract("text", "^([A-Z][a-z]+)", 1)
     spans = b.select("text", F.when(first != "", F.array(F.struct(F.lit(0).alias("start"), F.length(first).alias("end"), F.lit("NAME").alias("label"), first.alias("text")))).otherwise(F.array()).alias("entities"))
-    return records.combine(spans, records.read_labelled(labelled_turns(spark, sf_dir)))
+    both = records.combine(spans, records.read_labelled(labelled_turns(spark, sf_dir)))
+    return both.select("origin", "source_file", F.explode("entities").alias("e")).select("origin", "source_file", "e.start", "e.end", "e.label", F.col("e.text").alias("entity"))
