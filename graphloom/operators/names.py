@@ -1,15 +1,16 @@
-"""Names of a dictionary in texts, by Aho-Corasick automata over blocks of the dictionary.
+"""Names of a dictionary in texts, by an Aho-Corasick automaton.
 
-Every text is read once for each block, whatever number of names begin alike.
-A block holds a stated number of bytes of names, so what is broadcast and what
-an automaton takes are bounded while the dictionary may grow.
+Every text is read once. What is broadcast is a stated number of bytes: a
+small dictionary as it is; of a larger one the heads of its names, as long as
+fit, with the lengths of the names behind each. The pieces of texts that a head
+and a length point at are looked up in the dictionary by a join.
 """
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from ..functions.text import is_valid_entity, strip_legal_suffix
 from ..session import materialise
 
-#: Bytes of names in a block; its automaton takes some fifty times as much.
+#: Bytes of names or heads that are broadcast; their automaton takes some fifty times as much.
 BLOCK_BYTES = 1 << 20
+#: Letters of a head, the longest that fit are taken.
+HEADS = (64, 48, 32, 24, 20, 16, 14, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 #: Letters of a name without its legal suffix at least.
 MIN_CORE = 4
 
@@ -105,7 +108,51 @@ def choose(hits: list[tuple[str, bool, list[str], list[int]]]) -> list[tuple[str
     return out
 
 
-_HITS = "array<struct<pattern:string,full:boolean,names:array<string>,starts:array<int>>>"
+def heads(dictionary: DataFrame, most_bytes: int = BLOCK_BYTES) -> list[tuple[str, list[int]]]:
+    """(head, lengths of the patterns that begin so), with the longest heads whose rows take ``most_bytes`` at most, one letter at least.
+
+    Heads of n letters are no more than those of n + 1, so the longest that fit are found by halving.
+    """
+    d = dictionary.select("pattern", F.length("pattern").alias("n"))
+    low, high = 0, len(HEADS) - 1
+    while low < high:
+        at = (low + high) // 2
+        cut = d.select(F.substring("pattern", 1, HEADS[at]).alias("head"), "n").distinct()
+        if (cut.agg(F.sum(F.octet_length("head") + 64)).first()[0] or 0) <= most_bytes:
+            high = at
+        else:
+            low = at + 1
+    rows = d.groupBy(F.substring("pattern", 1, HEADS[low]).alias("head")).agg(F.sort_array(F.collect_set("n")).alias("sizes"))
+    return sorted((r.head, list(r.sizes)) for r in rows.collect())
+
+
+def pieces(text: str, block: Broadcast) -> list[tuple[str, int, list[int]]]:
+    """(piece, first place, places between word edges) of a text that a head and a length of its patterns point at."""
+    import ahocorasick
+
+    global _last
+    key, rows = block.value
+    if _last is None or _last[0] != key:
+        a = ahocorasick.Automaton()
+        for head, sizes in rows:
+            a.add_word(head, (len(head), sizes))
+        a.make_automaton()
+        _last = key, a
+    found: dict[str, tuple[int, list[int]]] = {}
+    for last, (own, sizes) in _last[1].iter(text):
+        start = last + 1 - own
+        for n in sizes:
+            if start + n <= len(text):
+                edged = found.setdefault(text[start : start + n], (start, []))[1]
+                if _edge(text, start) and _edge(text, start + n):
+                    edged.append(start)
+    return [(piece, first, edged) for piece, (first, edged) in found.items()]
+
+
+def nested(lists: pa.ListArray) -> list[list]:
+    """The lists of a column without nulls, its values converted at once."""
+    values, ends = lists.flatten().to_pylist(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return [values[a:b] for a, b in itertools.pairwise(ends.tolist())]
 
 
 def _rows(ids: pa.Array, chosen: list[list[tuple[str, int]]]) -> pa.RecordBatch:
@@ -128,43 +175,43 @@ def match_entities(queries: DataFrame, names: DataFrame, min_core: int = MIN_COR
     kind = queries.schema["qid"].dataType.simpleString()
     d = materialise(patterns(names, min_core), "patterns")
     size = F.octet_length("pattern") + F.aggregate("names", F.lit(0), lambda a, n: a + F.octet_length(n)) + 64
-    n_blocks = -(-(d.agg(F.sum(size)).first()[0] or 0) // block_bytes)
+    total = d.agg(F.sum(size)).first()[0] or 0
     q = queries.select("qid", F.lower("q").alias("q")).filter("q <> ''")
-    if n_blocks > 1:
-        q = materialise(q, "texts").withColumn("row", F.monotonically_increasing_id())
-
-    def in_block(k: int) -> Broadcast:
-        own = d if n_blocks == 1 else d.filter(F.pmod(F.xxhash64("pattern"), F.lit(n_blocks)) == k)
-        return spark.sparkContext.broadcast((uuid.uuid4().hex, sorted(tuple(r) for r in own.collect())))  # a block's bytes
-
-    if n_blocks == 1:
-        block = in_block(0)
+    if not total:
+        return q.select("qid", F.lit("").alias("name"), F.lit(0).alias("step")).filter("false")
+    if total <= block_bytes:
+        block = spark.sparkContext.broadcast((uuid.uuid4().hex, sorted(tuple(r) for r in d.collect())))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield _rows(batch.column(0), [choose(places(t, block)) for t in batch.column(1).to_pylist()])
 
         return q.mapInArrow(whole, f"qid {kind}, name string, step int")
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, heads(d, block_bytes)))
 
-    def hits_of(block: Broadcast):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [places(t, block) for t in batch.column(1).to_pylist()]
-                hits = [[dict(zip(("pattern", "full", "names", "starts"), h, strict=True)) for h in own] for own in rows]
-                keep = [i for i, own in enumerate(hits) if own]
-                kind_ = pa.list_(pa.struct([("pattern", pa.string()), ("full", pa.bool_()), ("names", pa.list_(pa.string())), ("starts", pa.list_(pa.int32()))]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(2).take(pa.array(keep, pa.int64())), pa.array([hits[i] for i in keep], kind_)], names=["qid", "row", "hits"])
-
-        return run
-
-    if not n_blocks:
-        return q.select("qid", F.lit("").alias("name"), F.lit(0).alias("step")).filter("false")
-    parts = [materialise(q.mapInArrow(hits_of(in_block(k)), f"qid {kind}, row long, hits {_HITS}"), "hits") for k in range(n_blocks)]
-    gathered = reduce(DataFrame.union, parts).groupBy("row").agg(F.first("qid").alias("qid"), F.flatten(F.collect_list("hits")).alias("hits"))
+    def pointed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(a, 1000) for a in range(0, batch.num_rows, 1000)):
+                at, flat = [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    own = pieces(text, shared)
+                    at += [i] * len(own)
+                    flat += own
+                at = pa.array(at, pa.int64())
+                columns = [pa.array([x[k] for x in flat], t) for k, t in ((0, pa.string()), (1, pa.int32()), (2, pa.list_(pa.int32())))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), *columns], names=["qid", "row", "pattern", "first", "edged"])
+
+    found = q.withColumn("row", F.monotonically_increasing_id()).mapInArrow(pointed, f"qid {kind}, row long, pattern string, first int, edged array<int>")
+    # written, since numbers of rows must not change between tries
+    found = materialise(found, "pieces").join(d, "pattern").filter("full or size(edged) > 0")
+    hit = F.struct("pattern", "full", "names", F.when(F.col("full"), F.array("first")).otherwise(F.col("edged")).alias("starts"))
+    gathered = found.groupBy("row").agg(F.first("qid").alias("qid"), F.collect_list(hit).alias("hits"))
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = batch.column(1).to_pylist()
-            yield _rows(batch.column(0), [choose([(h["pattern"], h["full"], h["names"], h["starts"]) for h in own]) for own in hits])
+            hits = batch.column(1)
+            one, ends = [nested(c) if pa.types.is_list(c.type) else c.to_pylist() for c in hits.flatten().flatten()], hits.offsets.to_numpy() - hits.offsets[0].as_py()
+            every = list(zip(*one, strict=True))
+            yield _rows(batch.column(0), [choose(every[a:b]) for a, b in itertools.pairwise(ends.tolist())])
 
     return gathered.select("qid", "hits").mapInArrow(picked, f"qid {kind}, name string, step int")

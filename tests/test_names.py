@@ -79,3 +79,15 @@ def test_messy_rows(spark):
         assert got == sorted([(None, "ACME WIDGETS, INC.", 1), *2 * [(3, "ACME WIDGETS, INC.", 2), (3, "Acme Widgets, Inc.", 2), (3, "Zürich AG", 1)]], key=str)
     q = spark.createDataFrame(rows, "qid int, q string")
     assert op.match_entities(q, n.limit(0)).collect() == [] and op.match_entities(q.limit(0), n).collect() == []
+
+
+def test_a_large_dictionary_is_no_row_of_passes(spark, monkeypatch):
+    """Texts are read once whatever the dictionary's size: two tables are written, not one for each block."""
+    written = []
+    kept = op.materialise
+    monkeypatch.setattr(op, "materialise", lambda df, what, *a: written.append(what) or kept(df, what, *a))
+    n = spark.range(3_000).select(F.format_string("Customer#%09d", "id").alias("name"))
+    q = spark.createDataFrame([(i, f"of customer#{i:09d} and customer#{i + 1:09d}") for i in range(40)], "qid long, q string")
+    got = op.match_entities(q, n, block_bytes=4_000)
+    assert got.count() == 80 and got.select("name").distinct().count() == 41 and written == ["patterns", "pieces"]
+    assert sum(len(h) + 64 for h, _ in op.heads(op.patterns(n), 4_000)) <= 4_000
