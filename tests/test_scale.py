@@ -25,3 +25,25 @@ def test_classifiers_are_fitted_on_weighted_rows(spark, monkeypatch):
     assert rows.count() <= 6 * learn.SHARES * 2 and rows.agg(F.sum("_weight")).first()[0] == 19_999
     assert set(got) == {"linear_svm", "random_forest", "naive_bayes"} and {r["rows"] for r in got.values()} == {learn.split(p.filter("pair_id > 0"), "pair_id", (0.7, 0.3))[1].count()}
     assert got["random_forest"]["accuracy"] == 1.0
+
+
+def test_paths_of_three_do_not_grow_hubs(spark, monkeypatch):
+    """Two hubs of 400 neighbours each and 400 pairs at them: what is written stays near the edges."""
+    from graphloom.operators import links
+
+    edges = [(f"a{i}", "A") for i in range(400)] + [(f"b{i}", "B") for i in range(400)] + [("A", "B")] + [(f"a{i}", f"b{i}") for i in range(0, 400, 2)]
+    e = spark.createDataFrame([(x, y) for x, y in edges], "src string, dst string")
+    written = []
+    kept = links.materialise
+
+    def spy(df, what, *a):
+        out = kept(df, what, *a)
+        written.append(out.count())
+        return out
+
+    adjacent = links.adjacency(e).cache()
+    monkeypatch.setattr(links, "materialise", spy)
+    pairs = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(400)] + [("A", "B"), ("a1", "A")], "u string, v string")
+    got = {(r.u, r.v): r.path for r in links.path_lengths(adjacent, pairs).collect()}
+    assert got == {**{(f"a{i}", f"b{i}"): 3 for i in range(400)}, ("A", "B"): 3, ("a1", "A"): 0}
+    assert max(written) < 10 * len(edges)
