@@ -47,3 +47,16 @@ def test_paths_of_three_do_not_grow_hubs(spark, monkeypatch):
     got = {(r.u, r.v): r.path for r in links.path_lengths(adjacent, pairs).collect()}
     assert got == {**{(f"a{i}", f"b{i}"): 3 for i in range(400)}, ("A", "B"): 3, ("a1", "A"): 0}
     assert max(written) < 10 * len(edges)
+
+
+def test_scores_deal_triples_by_their_size(spark, sf_dir, monkeypatch):
+    """No copy of the triples is written for the scores, and tables of type pairs are broadcast, so their few keys get no rows of triples."""
+    from graphloom.operators import triples
+    from graphloom.session import parts_for
+
+    raw = spark.createDataFrame([(f"s{i % 5}", "PARTY", "PARTY_OF", None if i == 7 else f"order {i % 20}", "CONTRACT", "Is" if i % 2 else "is", f"line {i % 3}", "f", 40 - i if i % 20 else None) for i in range(40)], ", ".join(f"{c} {'long' if c == 'seq' else 'string'}" for c in triples.RAW))
+    monkeypatch.setattr(triples, "materialise", lambda *a: 1 / 0)
+    got = triples.score(raw, triples.induce_rules(raw)).cache()
+    rows = {(r.subject, r.object): (r.mentions, r.sentence_support, r.predicates, r.seq) for r in got.collect()}
+    assert len(rows) == 21 and rows[("s2", None)] == (1, 1, 1, 33) and rows[("s1", "order 1")] == (2, 2, 1, 19) and rows[("s0", "order 0")] == (2, 2, 1, None)
+    assert parts_for(raw, 100) > parts_for(raw) >= 2
