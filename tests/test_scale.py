@@ -59,4 +59,6 @@ def test_scores_deal_triples_by_their_size(spark, sf_dir, monkeypatch):
     got = triples.score(raw, triples.induce_rules(raw)).cache()
     rows = {(r.subject, r.object): (r.mentions, r.sentence_support, r.predicates, r.seq) for r in got.collect()}
     assert len(rows) == 21 and rows[("s2", None)] == (1, 1, 1, 33) and rows[("s1", "order 1")] == (2, 2, 1, 19) and rows[("s0", "order 0")] == (2, 2, 1, None)
-    assert parts_for(raw, 100) > parts_for(raw) >= 2
+    assert parts_for(raw) == int(spark.conf.get("spark.sql.shuffle.partitions"))  # no known size
+    known = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    assert parts_for(known, 100) > parts_for(known) >= 2
