@@ -23,15 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_texts, freed, narrow
+from ._common import as_texts, freed, narrow, slices_of_bytes
 
 MARK = "▁"
 UNKNOWN = 10.0
 #: Log scores are multiples of this, so that sums are exact in any order and precision.
 GRID = 1 / 256
 ZIPF_SHIFT = 2.7
-#: Remembered words of a task; beyond it new ones are forgotten after their batch (speed only).
-MEMO = 600_000
+#: Remembered words of a task, some 200 bytes each; beyond it new ones are forgotten after their part (speed only).
+MEMO = 200_000
+#: Bytes of texts that are encoded at once, but for single texts; some ten times as much in memory.
+STEP = 1 << 20
 
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -240,7 +242,7 @@ def _coder(model: str, text_col: str, with_pieces: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path(model))
         for batch in batches:
-            for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
+            for part, _ in slices_of_bytes(batch, text_col, STEP):
                 texts = as_texts(part.column(part.schema.names.index(text_col)))
                 out: dict[str, list] = {n: [] for n, *_ in _OWN}
                 for t, ids in zip(texts, codec.encode(texts), strict=True):

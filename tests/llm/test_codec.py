@@ -50,3 +50,18 @@ def test_messy_codec(messy, empty):
     assert S.codec_report(empty).count() == 0
     back = S.decode_pieces(S.encode_texts(messy.select("doc_id", "text")).select("doc_id", "pieces"))
     assert {r.doc_id: r.text for r in back.collect()}[1] == messy.filter("doc_id = 1").first().text
+
+
+def test_parts_and_words_of_a_task_are_bounded_by_bytes(codec, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "STEP", 5000, raising=False)
+    monkeypatch.setattr(S, "MEMO", 300)
+    monkeypatch.setattr(codec, "memo", {})
+    monkeypatch.setitem(S._CODECS, S.model_path("piece_bpe_32k.model"), codec)
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(100)] + ["y" * 9000, None, ""]
+    out = list(S._coder("piece_bpe_32k.model", "text", True)(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+    assert max(sum(len(t or "") for t in b["text"].to_pylist()) for b in out if b.num_rows > 1) <= 5000
+    assert len(codec.memo) <= 300
+    assert [t for b in out for t in b["text"].to_pylist()] == texts
+    assert [x for b in out for x in b["pieces"].to_pylist()] == [x.tolist() for x in codec.encode([t or "" for t in texts])]
