@@ -62,3 +62,19 @@ def test_scores_deal_triples_by_their_size(spark, sf_dir, monkeypatch):
     assert parts_for(raw) == int(spark.conf.get("spark.sql.shuffle.partitions"))  # no known size
     known = spark.read.parquet(f"{sf_dir}/orders.parquet")
     assert parts_for(known, 100) > parts_for(known) >= 2
+
+
+def test_caps_deal_triples_once_and_by_their_size(spark, sf_dir, monkeypatch):
+    """The rows of capped relations move once, in parts by the size of the tables that are joined; rows without object or file go."""
+    from graphloom import session
+    from graphloom.operators import triples
+    from graphloom.plans import triple_queries
+
+    raw = triple_queries.raw_triples(spark, sf_dir)
+    monkeypatch.setattr(session.parts_for, "__defaults__", (1 << 12,))
+    assert (n := session.parts_for(raw)) > 2 * spark.sparkContext.defaultParallelism
+    plan = triples.cap_fanout(raw)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {n})") + plan.count(f", {n}),") >= 1 and "LeftSemi" not in plan
+    rows = [("a", "R", x, f, i) for i, (x, f) in enumerate([("x", "f"), ("y", "f"), ("y", "f"), (None, "f"), ("z", None)])] + [(None, "R", "x", "f", 9), ("a", "FREE", None, None, 10)]
+    some = spark.createDataFrame(rows, "subject string, relation string, object string, filename string, seq long")
+    assert sorted(r.seq for r in triples.cap_fanout(some, {"R": 1}).collect()) == [1, 2, 10]
