@@ -167,3 +167,21 @@ def test_query_gives_a_digest(spark, sf_dir):
     none = hashlib.sha256(b"").hexdigest()
     rows = df.collect()
     assert all((r.base_sha256 == none) == (r.n_assign + r.n_access + r.n_hex == 0) for r in rows)
+
+
+def test_learns_from_all_findings(spark):
+    """More of each kind than the 1500 that once were drawn; thresholds are those of all that are kept back."""
+    r = np.random.default_rng(3)
+    some = lambda alphabet, n: "".join(r.choice(list(alphabet), n))
+    docs = [f"key token = {some('0123456789abcdefghij', 24)} then AKIA{some('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 16)} or {some('0123456789abcdef', 40)} at {some('0123456789', 16)} zu" for _ in range(2600)]
+    df = spark.createDataFrame([(t,) for t in docs + docs[:500]], "text string").repartition(5)
+    every = {x for t in docs for x in S.findings(t)}
+    rows = S.training_rows(df).collect()
+    assert len(rows) == len(every) and {(x.kind, bytes(x.codes)) for x in rows} == every
+    net = S.train(df, recall=0.9)
+    for k in range(3):
+        own = [bytes(x.codes) for x in rows if x.kind == k and x.h % 4 == 0]
+        p = net.probabilities(np.frombuffer(b"".join(own), np.uint8).reshape(-1, S.WIDE))[:, k]
+        assert abs(np.sort(p)[int((1 - 0.9) * len(p))] - net.threshold[k]) < 1e-5
+        other = [bytes(x.codes) for x in rows if x.kind == 3]
+        assert (net.probabilities(np.frombuffer(b"".join(other), np.uint8).reshape(-1, S.WIDE))[:, k] >= net.threshold[k]).mean() < 0.1
