@@ -25,3 +25,8 @@ def test_equal_pairs_count_by_their_number(spark):
     d = spark.createDataFrame([(1, 1)] * 5 + [(1, 0)] * 3 + [(0, 1)] * 2 + [(0, 0)], "p int, a int")
     few = d.groupBy("p", "a").agg(F.count("*").alias("n"))
     assert learn.metrics(d, "p", "a").collect() == learn.metrics(few, "p", "a", "n").collect()
+
+
+def test_rows_are_dealt_before_they_grow(spark):
+    d = spark.range(200).select("id", F.concat(F.lit("some word "), F.col("id") % 7).alias("t")).coalesce(1)
+    assert learn.char_tfidf(d, "t").rdd.getNumPartitions() == parts_for(d) > 1
