@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..session import materialise
+from ..session import materialise, parts_for
 from .registry import query, table
 from .triple_queries import CAPPED, RAW, capped, raw_triples
 
@@ -155,7 +155,13 @@ def vertex_types(spark, sf_dir):
 @query(f"WITH {CAPPED} SELECT relation, count(DISTINCT (subject, object))::BIGINT AS edges, count(DISTINCT subject)::BIGINT AS sources FROM capped GROUP BY 1")
 def relation_histogram(spark, sf_dir):
     """AGG22 after the fan-out cap."""
-    return capped(spark, sf_dir).groupBy("relation").agg(F.countDistinct("subject", "object").alias("edges"), F.countDistinct("subject").alias("sources"))
+    # by steps, in parts by size, so that no task holds a relation's edges and sources side by side
+    e = capped(spark, sf_dir).select("relation", "subject", "object")
+    parts = parts_for(e)
+    e = e.repartition(parts, "relation", "subject", "object").groupBy("relation", "subject", "object").agg(F.lit(1))
+    e = e.repartition(parts, "relation", "subject").groupBy("relation", "subject").agg(F.count("object").alias("n"))
+    known = F.col("subject").isNotNull()
+    return e.groupBy("relation").agg(F.sum(F.when(known, F.col("n")).otherwise(0)).alias("edges"), F.count("subject").alias("sources"))
 
 
 @query(

@@ -27,6 +27,10 @@ def test_equal_pairs_count_by_their_number(spark):
     assert learn.metrics(d, "p", "a").collect() == learn.metrics(few, "p", "a", "n").collect()
 
 
+def test_histogram_holds_no_two_sets(spark, sf_dir):
+    assert "Expand" not in plan(QUERIES["relation_histogram"](spark, sf_dir))
+
+
 def test_rows_are_dealt_before_they_grow(spark):
     d = spark.range(200).select("id", F.concat(F.lit("some word "), F.col("id") % 7).alias("t")).coalesce(1)
     assert learn.char_tfidf(d, "t").rdd.getNumPartitions() == parts_for(d) > 1
