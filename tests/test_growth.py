@@ -34,3 +34,11 @@ def test_histogram_holds_no_two_sets(spark, sf_dir):
 def test_rows_are_dealt_before_they_grow(spark):
     d = spark.range(200).select("id", F.concat(F.lit("some word "), F.col("id") % 7).alias("t")).coalesce(1)
     assert learn.char_tfidf(d, "t").rdd.getNumPartitions() == parts_for(d) > 1
+
+
+def test_spans_are_made_a_sentence_at_a_time(spark):
+    row = lambda i, s, *x: (i, s, [dict(zip(("word", "label"), w, strict=True)) if w else None for w in x])
+    rows = [row(1, "a bb a", ("a", "B-X"), ("bb", "I-X"), None, ("a", "B-Y")), row(2, None, ("a", "B-X")), (3, "a", None), row(4, "a", ("z", "B-X"), ("a", None))]
+    got = extract.words_to_spans(spark.createDataFrame(rows, "sid long, sentence string, labels array<struct<word:string,label:string>>"))
+    assert "MapInArrow" in plan(got)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 4, "X", "a bb"), (1, 5, 6, "Y", "a")]
