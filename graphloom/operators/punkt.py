@@ -35,9 +35,11 @@ def _words(text: Column) -> Column:
 
 def type_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(type, n, stopped): how often each word comes, and with a full stop behind it."""
-    w = docs.select(F.explode(F.transform(_words(F.col(text_col)), bare)).alias("w")).filter(F.col("w").rlike(r"[^.]"))
+    # words are counted as they stand, so each is stripped once and not wherever it comes
+    w = docs.select(F.explode(_words(F.col(text_col))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    w = w.select(bare(F.col("w")).alias("w"), "n").filter(F.col("w").rlike(r"[^.]"))
     stop = F.col("w").endswith(".")
-    return w.groupBy(F.when(stop, F.expr("left(w, length(w) - 1)")).otherwise(F.col("w")).alias("type")).agg(F.count("*").alias("n"), F.count_if(stop).alias("stopped"))
+    return w.groupBy(F.when(stop, F.expr("left(w, length(w) - 1)")).otherwise(F.col("w")).alias("type")).agg(F.sum("n").alias("n"), F.sum(F.when(stop, F.col("n")).otherwise(0)).alias("stopped"))
 
 
 def _log(x: Column) -> Column:
@@ -58,11 +60,16 @@ def abbreviations(counts: DataFrame) -> DataFrame:
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, i, piece, last, next): texts cut wherever a sentence may end, with the words on both sides of each cut."""
-    d = docs.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), CUT)).alias("i", "piece"))
-    w = _words(F.col("piece"))
-    d = d.select(id_col, "i", "piece", bare(F.get(w, F.size(w) - 1)).alias("last"), F.get(w, F.lit(0)).alias("first"))
-    return d.select(id_col, "i", "piece", "last", F.lead("first").over(Window.partitionBy(id_col).orderBy("i")).alias("next"))
+    """(id, i, piece, last, next): texts cut wherever a sentence may end, with the words on both sides of each cut.
+
+    Both words are taken inside the row, so nothing is shuffled.
+    """
+    cut = docs.select(id_col, F.split(F.coalesce(F.col(text_col), F.lit("")), CUT).alias("p"))
+    words = lambda x: F.btrim(F.translate(x, "\t\n\x0b\f\r", "     "))
+    d = cut.select(id_col, F.posexplode(F.arrays_zip("p", F.expr("slice(p, 2, size(p))").alias("q"))).alias("i", "x"))
+    d = d.select(id_col, "i", F.col("x.p").alias("piece"), words(F.col("x.p")).alias("own"), words(F.col("x.q")).alias("behind"))
+    last, first = F.nullif(F.substring_index("own", " ", -1), F.lit("")), F.nullif(F.substring_index("behind", " ", 1), F.lit(""))
+    return d.select(id_col, "i", "piece", bare(last).alias("last"), first.alias("next"))
 
 
 def starters(parts: DataFrame, counts: DataFrame, short: DataFrame) -> DataFrame:
