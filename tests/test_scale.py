@@ -78,3 +78,36 @@ def test_caps_deal_triples_once_and_by_their_size(spark, sf_dir, monkeypatch):
     rows = [("a", "R", x, f, i) for i, (x, f) in enumerate([("x", "f"), ("y", "f"), ("y", "f"), (None, "f"), ("z", None)])] + [(None, "R", "x", "f", 9), ("a", "FREE", None, None, 10)]
     some = spark.createDataFrame(rows, "subject string, relation string, object string, filename string, seq long")
     assert sorted(r.seq for r in triples.cap_fanout(some, {"R": 1}).collect()) == [1, 2, 10]
+
+
+def test_pairs_are_moved_once_with_degrees_and_types(spark, monkeypatch):
+    """Nothing is joined to the pairs once they are added up; with hubs, own edges, a missing vertex and null ends they equal brute force."""
+    from itertools import combinations
+    from math import log
+
+    from graphloom.operators import graph
+
+    edges = [(f"s{i}", o) for i in range(12) for o in ("hub", f"o{i % 3}", f"o{i % 4}")] + [("s1", "s2"), ("s2", "s1"), ("s3", "hub2"), ("s4", "hub2"), ("lone", "s1"), ("x", "y"), ("s5", None), (None, "s6"), ("s7", "s7")]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    near = {}
+    for a, b in edges:
+        if a and b and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    kind = {n: n[0] for n in near if n != "lone"}
+    v = spark.createDataFrame(list(kind.items()), "id string, type string")
+    monkeypatch.setattr(graph, "SIDE", 5)
+    for of_type in (None, "s"):
+        want = {}
+        for x, y in combinations(sorted(n for n in near if not of_type or kind.get(n) == of_type), 2):
+            both, own = near[x] & near[y], y in near[x]
+            if both or own:
+                dx, dy = len(near[x]) - own, len(near[y]) - own
+                want[x, y] = (own, len(both), len(both) / (dx + dy - len(both)) if dx + dy > len(both) else 0.0, dx * dy, abs(dx - dy), x in kind and y in kind and kind[x] == kind[y], sum(1 / log(len(near[z])) for z in both), sum(1 / len(near[z]) for z in both))
+        p = graph.pair_features(e, v, of_type)
+        assert "Join" not in p._jdf.queryExecution().executedPlan().toString().split("HashAggregate")[0]
+        got = {tuple(r)[:2]: tuple(r)[2:] for r in p.collect()}
+        assert got.keys() == want.keys()
+        for k, row in want.items():
+            assert got[k][:2] == row[:2] and got[k][3:6] == row[3:6] and all(abs(got[k][i] - row[i]) < 1e-9 for i in (2, 6, 7)), (k, got[k], row)
+    assert graph.pair_features(e.limit(0), v).collect() == []
