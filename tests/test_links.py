@@ -171,3 +171,40 @@ def test_random_features_give_the_gaussian_kernel(xor):
     s = (x - k.mean) / k.spread
     exact = np.exp(-0.7 * ((s[:, None] - s[None]) ** 2).sum(2))
     np.testing.assert_allclose(z @ z.T, exact, atol=0.03)
+
+
+class Plain:
+    """A model that goes by the common neighbours and the types alone."""
+
+    def __init__(self, best):
+        self.best = best
+
+    def alike(self):
+        if self.best == "svm":
+            return lambda x: (None, 1 - 1 / (1 + x[:, 0] + x[:, 6] / 2))
+        return lambda x: ((2 * x[:, 0] + x[:, 6]).astype(np.int64), None)
+
+    def score(self, df):
+        return df.withColumn("probability", 1 - 1 / (1 + F.col("common") + F.col("same") / 2))
+
+
+def test_likeliest_pairs_of_blocks_are_those_of_all(spark, monkeypatch):
+    """Blocks of few nodes, without joining or scoring each pair, give the likeliest of all pairs, hubs, null types and own edges included."""
+    from graphloom.operators import graph
+
+    edges = [*communities(groups=3, size=10), *[("hub", f"g{g}_{i}") for g in range(3) for i in range(7)], ("g0_1", "g0_1"), (None, "hub")]
+    types = {f"g{g}_{i}": "AB"[i % 2] for g in range(3) for i in range(10)}
+    v, e = graph_of(spark, edges, types)
+    v = v.withColumn("type", F.when(~F.col("id").isin("g1_1", "hub"), F.col("type")))
+    del types["g1_1"]
+    adj = neighbours(edges)
+    every = {(a, b): plain_features(adj, types, a, b, 2) for a in adj for b in adj if a < b and b not in adj[a] and adj[a] & adj[b]}
+    monkeypatch.setattr(links, "BLOCK", 11)
+    monkeypatch.setattr(links, "features", lambda *a: 1 / 0)
+    monkeypatch.setattr(graph, "pair_features", lambda *a: 1 / 0)
+    for best, of_type in (("random_forest", None), ("svm", "A")):
+        want = [(-round(1 - 1 / (1 + x[0] + x[6] / 2), 9), *k, *(round(float(y), 9) for y in x)) for k, x in every.items() if not of_type or types.get(k[0]) == types.get(k[1]) == of_type]
+        got = links.predicted(e, v, Plain(best), 40, 0.3, of_type).collect()
+        assert [(-round(r.probability, 9), r.u, r.v, *(round(float(r[c]), 9) for c in links.FEATURES)) for r in got] == sorted(want)[:40]
+        assert len(got) == 40
+    assert links.predicted(e.limit(0), v, Plain("svm")).collect() == []
