@@ -149,3 +149,16 @@ def test_features_with_nulls_are_left_out(spark):
     one, two = (set(r.x) for r in d.select("x").collect())
     assert len(one) == 3 and len(two) == 3 and len(one & two) == 2
     assert d.select(F.size("x")).distinct().count() == 1
+
+
+def test_words_of_all_lines_are_tagged(spark, sf_dir):
+    """Lines without personal data are tagged and reported on too; alone or among all, held-out sentences get the same tags."""
+    from graphloom.plans import learn_queries
+
+    texts = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    want = sorted((f"{i}:{at}", pos, w) for i, t in texts for at, line in enumerate(t.split("\n")) if line for pos, w in enumerate(line.split(" "), 1))
+    rows = learn_queries.tagged_words(spark, sf_dir).collect()
+    assert sorted((r.sid, r.pos, r.word) for r in rows) == want and {r.tag for r in rows} > {"O", "B-CARD"}
+    words = extract.word_features(made(spark, 60)).cache()
+    run = lambda **k: crf.tagger(words, ["lower", "p1"], ["O", "B-PER", "I-PER"], iterations=4, buckets=64, **k).collect()
+    assert sorted(run(held_out_only=True, tagged=words)) == sorted(r for r in run() if r.held_out)
