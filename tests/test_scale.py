@@ -111,3 +111,19 @@ def test_pairs_are_moved_once_with_degrees_and_types(spark, monkeypatch):
         for k, row in want.items():
             assert got[k][:2] == row[:2] and got[k][3:6] == row[3:6] and all(abs(got[k][i] - row[i]) < 1e-9 for i in (2, 6, 7)), (k, got[k], row)
     assert graph.pair_features(e.limit(0), v).collect() == []
+
+
+def test_scores_move_triples_once(spark, sf_dir):
+    """What is known of a subject is made where its triples lie, not joined to them; rows without relation count among its mentions."""
+    from graphloom.operators import triples
+
+    at = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    raw = spark.createDataFrame([("s", "PARTY", r, "order 1", "CONTRACT", "is", "line", "f", i) for i, r in enumerate(("PARTY_OF", None))], ", ".join(f"{c} {'long' if c == 'seq' else 'string'}" for c in triples.RAW))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = triples.score(raw, triples.induce_rules(raw))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    one, both = (triples.score(d, triples.induce_rules(raw)).collect() for d in (raw.filter("relation is not null"), raw))
+    assert len(both) == 1 and abs(one[0].confidence - both[0].confidence - 0.09) < 1e-9
